@@ -9,8 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.operators import marts
-from ledgerflow.operators.enrich import enrich_transactions
+from pyspark.sql import functions as F
+
+from ledgerflow.functions import stats
+from ledgerflow.operators import marts, metrics
+from ledgerflow.operators.enrich import enrich_transactions, process_transactions
 from ledgerflow.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +27,63 @@ def daily_transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.daily_transaction_summary(scored_transactions(spark, sf_dir))
 
 
+MONEY_COLUMNS = ["amount", "sender_old_balance", "sender_new_balance", "receiver_old_balance", "receiver_new_balance"]
+
+
+def _money_as_double(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in MONEY_COLUMNS if c in df.columns})
+
+
+def _on_scored(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(scored_transactions(spark, sf_dir))
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
+def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _money_as_double(scored_transactions(spark, sf_dir))
+
+
+def processed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _money_as_double(process_transactions(scored_transactions(spark, sf_dir))).drop("processed_at")
+
+
+def staging_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.staging(scored_transactions(spark, sf_dir)).select(
+        "time_step", "transaction_type", "sender_id", "receiver_id", "transaction_date",
+        "is_amount_null", "is_risk_score_invalid", "is_transaction_date_null",
+    )
+
+
+def percentile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.percentile_lines(fixtures.transactions(spark, sf_dir))
+
+
+def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.daily_report(scored_transactions(spark, sf_dir), "2018-06-15").drop("generated_at")
+
+
 QUERIES: dict[str, Query] = {
+    "p9_scored_transactions": scored_table,
+    "p15_processed_transactions": processed_table,
+    "p16_staging_flags": staging_flags,
+    "a1_fraud_metrics": _on_scored(metrics.fraud_metrics_flat),
+    "a2_summary": _on_scored(metrics.summary),
+    "a3_transactions_by_step": _on_scored(metrics.transactions_by_step),
+    "a4_type_distribution": _on_scored(metrics.type_distribution),
+    "a5_amount_distribution": _on_scored(metrics.amount_distribution),
+    "a6_fraud_by_type": _on_scored(metrics.fraud_by_type),
+    "a7_fraud_amount_stats": _on_scored(metrics.fraud_amount_stats),
+    "a8_fraud_by_step": _on_scored(metrics.fraud_by_step),
+    "a9_detection_stats": _on_scored(metrics.detection_stats),
+    "a11_hourly_volume": _on_scored(metrics.hourly_volume),
+    "a12_daily_volume": _on_scored(metrics.daily_volume),
+    "a13_dashboard_metrics": _on_scored(metrics.dashboard_metrics),
+    "a15_percentile_lines": percentile_lines,
+    "a16_type_totals_vs_fraud": _on_scored(metrics.type_totals_vs_fraud),
+    "a17_daily_report": daily_report,
     "a20_daily_transaction_summary": daily_transaction_summary,
+    "a23_null_counts": _on_scored(metrics.null_counts),
 }

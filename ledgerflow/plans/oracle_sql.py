@@ -108,3 +108,157 @@ ORDER BY 1, 2""",
 ORACLE: dict[str, str] = {
     "a20_daily_transaction_summary": DAILY_MART,
 }
+
+# --- transaction features and metrics (P, A) -----------------------------------------------------
+
+SCORED_COLUMNS = """
+  time_step, transaction_type, CAST(amount AS DOUBLE) AS amount, sender_id,
+  CAST(sender_old_balance AS DOUBLE) AS sender_old_balance, CAST(sender_new_balance AS DOUBLE) AS sender_new_balance,
+  receiver_id, CAST(receiver_old_balance AS DOUBLE) AS receiver_old_balance,
+  CAST(receiver_new_balance AS DOUBLE) AS receiver_new_balance, is_fraud, is_flagged_fraud,
+  transaction_date, transaction_hour, transaction_day, amount_category, high_value_transaction,
+  unusual_amount, balance_change_ratio, risk_score"""
+
+
+def _scored(body: str, *extra: str) -> str:
+    return with_ctes(*SCORED, *extra, body=body)
+
+
+def _type_counts(where: str) -> str:
+    return (
+        "coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT transaction_type || ':' || CAST(COUNT(*) AS VARCHAR) AS k "
+        f"FROM enriched WHERE transaction_type IS NOT NULL {where} GROUP BY transaction_type)), '')"
+    )
+
+
+ORACLE.update(
+    {
+        "p9_scored_transactions": _scored(f"SELECT {SCORED_COLUMNS} FROM enriched"),
+        "p15_processed_transactions": _scored(
+            f"""SELECT {SCORED_COLUMNS},
+              CAST(amount AS DOUBLE) * 1.1::DOUBLE AS amount_usd,
+              CASE WHEN risk_score IS NULL OR isnan(risk_score) OR risk_score <= 0 THEN NULL
+                   WHEN risk_score <= 0.3 THEN 'low' WHEN risk_score <= 0.7 THEN 'medium'
+                   WHEN risk_score <= 1.0 THEN 'high' ELSE NULL END AS risk_category,
+              transaction_hour AS hour_of_day,
+              dayname(transaction_date) AS day_of_week,
+              coalesce(time_step IS NOT NULL AND transaction_type IS NOT NULL AND amount IS NOT NULL
+                       AND sender_id IS NOT NULL AND receiver_id IS NOT NULL AND amount > 0, false) AS is_valid
+            FROM enriched"""
+        ),
+        "p16_staging_flags": _scored(
+            """SELECT time_step, transaction_type, sender_id, receiver_id, transaction_date,
+                 amount IS NULL AS is_amount_null,
+                 coalesce(risk_score < 0 OR risk_score > 1, false) AS is_risk_score_invalid,
+                 transaction_date IS NULL AS is_transaction_date_null
+               FROM enriched"""
+        ),
+        "a1_fraud_metrics": _scored(
+            f"""SELECT CAST(COUNT(*) AS BIGINT) AS total_transactions,
+                 CAST(COUNT(*) FILTER (WHERE is_fraud) AS BIGINT) AS total_fraud,
+                 coalesce(CAST(COUNT(*) FILTER (WHERE is_fraud) AS DOUBLE) / NULLIF(COUNT(*), 0), 0.0) AS fraud_rate,
+                 {_type_counts('')} AS transaction_types,
+                 {_type_counts('AND is_fraud')} AS fraud_by_type,
+                 CAST(SUM(amount) AS DOUBLE) / NULLIF(COUNT(amount), 0) AS avg_amount,
+                 CAST(SUM(amount) FILTER (WHERE is_fraud) AS DOUBLE) / NULLIF(COUNT(amount) FILTER (WHERE is_fraud), 0) AS fraud_amount,
+                 CAST(SUM(CAST(risk_score AS DECIMAL(20,4))) AS DOUBLE) / NULLIF(COUNT(risk_score), 0) AS avg_risk_score,
+                 CAST(COUNT(*) FILTER (WHERE risk_score > 0.5 AND NOT isnan(risk_score)) AS BIGINT) AS high_risk_transactions
+               FROM enriched"""
+        ),
+        "a2_summary": _scored(
+            """SELECT COUNT(*) AS total_transactions, COUNT(*) FILTER (WHERE is_fraud) AS total_fraud,
+                 round_even(coalesce(CAST(COUNT(*) FILTER (WHERE is_fraud) AS DOUBLE) / NULLIF(COUNT(*), 0), 0.0) * 100, 2) AS fraud_rate,
+                 round_even(coalesce(CAST(SUM(amount) AS DOUBLE), 0.0), 2) AS total_volume,
+                 round_even(CAST(SUM(amount) AS DOUBLE) / NULLIF(COUNT(amount), 0), 2) AS avg_amount,
+                 round_even(coalesce(CAST(SUM(amount) FILTER (WHERE is_fraud) AS DOUBLE), 0.0), 2) AS fraud_amount,
+                 round_even(CASE WHEN COUNT(*) FILTER (WHERE is_fraud) > 0
+                      THEN CAST(SUM(amount) FILTER (WHERE is_fraud) AS DOUBLE) / NULLIF(COUNT(amount) FILTER (WHERE is_fraud), 0)
+                      ELSE 0.0 END, 2) AS avg_fraud_amount
+               FROM enriched"""
+        ),
+        "a3_transactions_by_step": _scored(
+            "SELECT time_step, COUNT(*) AS transaction_count FROM enriched GROUP BY time_step"
+        ),
+        "a4_type_distribution": _scored(
+            """SELECT transaction_type, COUNT(*) AS transaction_count FROM enriched
+               WHERE transaction_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1"""
+        ),
+        "a5_amount_distribution": _scored(
+            """SELECT l.amount_category, CAST(coalesce(c.n, 0) AS BIGINT) AS transaction_count
+               FROM (VALUES ('small', 0), ('medium', 1), ('large', 2), ('very_large', 3)) l(amount_category, rnk)
+               LEFT JOIN (SELECT amount_category, COUNT(*) AS n FROM enriched WHERE amount_category IS NOT NULL GROUP BY 1) c
+               ON l.amount_category = c.amount_category
+               ORDER BY 2 DESC, l.rnk"""
+        ),
+        "a6_fraud_by_type": _scored(
+            """SELECT transaction_type, COUNT(*) AS fraud_count FROM enriched
+               WHERE is_fraud AND transaction_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1"""
+        ),
+        "a7_fraud_amount_stats": _scored(
+            """SELECT coalesce(CAST(SUM(amount) FILTER (WHERE is_fraud) AS DOUBLE), 0.0) AS total_fraud_amount,
+                 CAST(SUM(amount) FILTER (WHERE is_fraud) AS DOUBLE) / NULLIF(COUNT(amount) FILTER (WHERE is_fraud), 0) AS avg_fraud_amount,
+                 CAST(MAX(amount) FILTER (WHERE is_fraud) AS DOUBLE) AS max_fraud_amount,
+                 CAST(MIN(amount) FILTER (WHERE is_fraud) AS DOUBLE) AS min_fraud_amount
+               FROM enriched"""
+        ),
+        "a8_fraud_by_step": _scored(
+            "SELECT time_step, COUNT(*) AS fraud_count FROM enriched WHERE is_fraud GROUP BY time_step"
+        ),
+        "a9_detection_stats": _scored(
+            """SELECT COUNT(*) FILTER (WHERE is_fraud) AS total_fraud,
+                 COUNT(*) FILTER (WHERE is_flagged_fraud) AS flagged_fraud,
+                 CASE WHEN COUNT(*) FILTER (WHERE is_fraud) > 0
+                      THEN COUNT(*) FILTER (WHERE is_flagged_fraud) / COUNT(*) FILTER (WHERE is_fraud)
+                      ELSE 0.0 END AS detection_rate
+               FROM enriched"""
+        ),
+        "a11_hourly_volume": _scored(
+            """SELECT CAST(((time_step % 24) + 24) % 24 AS INTEGER) AS hour, CAST(SUM(amount) AS DOUBLE) AS volume
+               FROM enriched GROUP BY 1"""
+        ),
+        "a12_daily_volume": _scored(
+            """SELECT CAST(floor(time_step / 24.0) AS INTEGER) AS day, CAST(SUM(amount) AS DOUBLE) AS volume
+               FROM enriched GROUP BY 1"""
+        ),
+        "a13_dashboard_metrics": _scored(
+            """SELECT COUNT(*) AS total_transactions, COUNT(*) FILTER (WHERE is_fraud) AS total_fraud,
+                 CAST(COUNT(*) FILTER (WHERE is_fraud) AS DOUBLE) / NULLIF(COUNT(*), 0) * 100.0::DOUBLE AS fraud_rate,
+                 CAST(SUM(amount) AS DOUBLE) AS total_volume,
+                 CAST(SUM(amount) AS DOUBLE) / NULLIF(COUNT(amount), 0) AS avg_amount,
+                 COUNT(*) FILTER (WHERE amount > 10000) AS high_value_transactions,
+                 COUNT(*) FILTER (WHERE CAST(amount AS DOUBLE) > (SELECT p95 FROM p95)) AS unusual_patterns,
+                 COUNT(*) FILTER (WHERE balance_change_ratio > 0.5 AND NOT isnan(balance_change_ratio)) AS balance_changes,
+                 COUNT(*) FILTER (WHERE is_fraud) + COUNT(*) FILTER (WHERE amount > 10000)
+                   + COUNT(*) FILTER (WHERE CAST(amount AS DOUBLE) > (SELECT p95 FROM p95)) AS high_risk_transactions
+               FROM enriched"""
+        ),
+        "a15_percentile_lines": with_ctes(
+            TXN,
+            body="""SELECT quantile_cont(CAST(amount AS DOUBLE), 0.95) AS p95,
+                      quantile_cont(CAST(amount AS DOUBLE), 0.99) AS p99 FROM txn""",
+        ),
+        "a16_type_totals_vs_fraud": _scored(
+            """SELECT transaction_type, COUNT(*) AS transaction_count, COUNT(*) FILTER (WHERE is_fraud) AS fraud_count
+               FROM enriched GROUP BY 1"""
+        ),
+        "a17_daily_report": _scored(
+            """SELECT DATE '2018-06-15' AS date, COUNT(*) AS total_transactions,
+                 coalesce(CAST(SUM(amount) AS DOUBLE), 0.0) AS total_volume,
+                 coalesce(CAST(SUM(CAST(risk_score AS DECIMAL(20,4))) AS DOUBLE) / NULLIF(COUNT(risk_score), 0), 0.0) AS avg_risk_score,
+                 COUNT(*) FILTER (WHERE risk_score > 0.7) AS high_risk_count
+               FROM enriched
+               WHERE transaction_date >= TIMESTAMP '2018-06-15 00:00:00' AND transaction_date < TIMESTAMP '2018-06-16 00:00:00'"""
+        ),
+        "a23_null_counts": _scored(
+            " UNION ALL ".join(
+                f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM enriched"
+                for c in [
+                    "time_step", "transaction_type", "amount", "sender_id", "sender_old_balance",
+                    "sender_new_balance", "receiver_id", "receiver_old_balance", "receiver_new_balance",
+                    "is_fraud", "is_flagged_fraud", "transaction_date", "transaction_hour", "transaction_day",
+                    "amount_category", "high_value_transaction", "unusual_amount", "balance_change_ratio", "risk_score",
+                ]
+            )
+        ),
+    }
+)
