@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import stats
+from ledgerflow.operators import alerts as AL
 from ledgerflow.operators import marts, metrics
 from ledgerflow.operators.enrich import enrich_transactions, process_transactions
 from ledgerflow.sources import fixtures
@@ -65,6 +66,61 @@ def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.daily_report(scored_transactions(spark, sf_dir), "2018-06-15").drop("generated_at")
 
 
+def payment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.transform_payments(fixtures.payments(spark, sf_dir))
+
+
+def alert_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.transform_alerts(fixtures.alerts(spark, sf_dir))
+
+
+def risk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.risk_metrics(fixtures.payments(spark, sf_dir), fixtures.alerts(spark, sf_dir))
+
+
+def payment_method_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.payment_method_fraud_rates(fixtures.payments(spark, sf_dir), fixtures.alerts(spark, sf_dir))
+
+
+def alerts_with_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.alerts_with_transaction(fixtures.alerts(spark, sf_dir), fixtures.payments(spark, sf_dir))
+
+
+def orphan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.orphan_alerts(fixtures.alerts(spark, sf_dir), fixtures.payments(spark, sf_dir))
+
+
+def patched_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = fixtures.alerts(spark, sf_dir)
+    patch = base.where(F.pmod("id", F.lit(14)) == 0).select(
+        "id",
+        F.lit("resolved").alias("status"),
+        F.lit(None).cast("double").alias("risk_score"),
+        F.when(F.pmod("id", F.lit(28)) == 0, F.col("amount") * 2).alias("amount"),
+    )
+    return AL.apply_patch(base, patch)
+
+
+def alert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.page_envelope(fixtures.alerts(spark, sf_dir), ["id"], 3, 50)
+
+
+def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.with_velocity(scored_transactions(spark, sf_dir)).select(
+        "time_step", "sender_id", "receiver_id", "sender_velocity", "velocity_check"
+    )
+
+
+def first_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.with_first_payment(scored_transactions(spark, sf_dir)).select(
+        "time_step", "sender_id", "receiver_id", "first_to_receiver"
+    )
+
+
+def generated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.generate_alerts(scored_transactions(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "p9_scored_transactions": scored_table,
     "p15_processed_transactions": processed_table,
@@ -86,4 +142,15 @@ QUERIES: dict[str, Query] = {
     "a17_daily_report": daily_report,
     "a20_daily_transaction_summary": daily_transaction_summary,
     "a23_null_counts": _on_scored(metrics.null_counts),
+    "p21_p25_payment_features": payment_features,
+    "p26_p28_alert_features": alert_features,
+    "a21_risk_metrics": risk_metrics,
+    "a22_payment_method_fraud_rates": payment_method_rates,
+    "j1_alerts_with_transaction": alerts_with_transaction,
+    "j2_orphan_alerts": orphan_alerts,
+    "j5_patched_alerts": patched_alerts,
+    "o3_alert_page": alert_page,
+    "w3_velocity": velocity,
+    "w4_first_payment": first_payment,
+    "f1_generated_alerts": generated_alerts,
 }

@@ -262,3 +262,131 @@ ORACLE.update(
         ),
     }
 )
+
+# --- payment / alert layouts (B3) -----------------------------------------------------------------
+
+PAYMENTS = """
+payments AS (
+  SELECT event_id AS id, CAST(CAST(value AS DECIMAL(18,2)) * 50 AS DOUBLE) AS amount,
+    ['USD', 'EUR', 'GBP'][event_id % 3 + 1] AS currency,
+    ['completed', 'pending', 'failed', 'fraudulent', 'cancelled', 'invalid_status'][event_id % 6 + 1] AS status,
+    event_type AS payment_method, ts AS created_at, user_id
+  FROM events
+)"""
+
+ALERTS = """
+alerts AS (
+  SELECT event_id AS id,
+    event_id + CASE WHEN event_id % 70 = 0 THEN 1000000 ELSE 0 END AS transaction_id,
+    least(value / 250.0::DOUBLE, 1.0::DOUBLE) AS risk_score,
+    ['suspicious_amount', 'new_merchant', 'unusual_pattern', 'high_risk_location', 'velocity_check', 'device_mismatch'][event_id % 6 + 1] AS alert_type,
+    ['open', 'investigating', 'resolved', 'false_positive', 'confirmed_fraud'][event_id % 5 + 1] AS status,
+    ts AS created_at, CAST(CAST(value AS DECIMAL(18,2)) * 50 AS DOUBLE) AS amount, event_type AS payment_method
+  FROM events WHERE event_id % 7 = 0
+)"""
+
+AMOUNT_CATEGORY_SQL = """CASE WHEN amount IS NULL OR amount <= 0 THEN NULL WHEN amount <= 100 THEN 'small'
+  WHEN amount <= 1000 THEN 'medium' WHEN amount <= 10000 THEN 'large' ELSE 'very_large' END"""
+
+VELOCITY = """
+velocity AS (
+  SELECT *, COUNT(*) OVER (PARTITION BY sender_id ORDER BY time_step RANGE BETWEEN 24 PRECEDING AND CURRENT ROW) AS sender_velocity,
+    time_step = MIN(time_step) OVER (PARTITION BY sender_id, receiver_id) AS first_to_receiver
+  FROM enriched
+)"""
+
+ORACLE.update(
+    {
+        "p21_p25_payment_features": with_ctes(
+            PAYMENTS,
+            body=f"""SELECT p.id, p.amount, p.currency, p.status, p.payment_method, p.created_at, p.user_id,
+                  CAST(p.created_at AS DATE) AS transaction_date, CAST(hour(p.created_at) AS INTEGER) AS transaction_hour,
+                  dayname(p.created_at) AS transaction_day_of_week,
+                  CASE p.status WHEN 'completed' THEN 'successful' WHEN 'failed' THEN 'failed'
+                       WHEN 'fraudulent' THEN 'fraudulent' ELSE 'other' END AS status_category,
+                  {AMOUNT_CATEGORY_SQL} AS amount_category,
+                  p.amount * r.usd_rate AS amount_usd,
+                  coalesce(p.amount > 10000, false) AS is_high_value
+                FROM payments p
+                LEFT JOIN (VALUES ('EUR', 1.1::DOUBLE), ('GBP', 1.3::DOUBLE), ('USD', 1.0::DOUBLE)) r(currency, usd_rate)
+                ON p.currency = r.currency""",
+        ),
+        "p26_p28_alert_features": with_ctes(
+            ALERTS,
+            body=f"""SELECT *, CAST(created_at AS DATE) AS alert_date, CAST(hour(created_at) AS INTEGER) AS alert_hour,
+                  CASE WHEN risk_score IS NULL OR isnan(risk_score) THEN NULL WHEN risk_score <= 0.5 THEN 'low'
+                       WHEN risk_score <= 0.9 THEN 'medium' ELSE 'high' END AS risk_category,
+                  CASE status WHEN 'open' THEN 'high' WHEN 'investigating' THEN 'medium' ELSE 'low' END AS alert_priority,
+                  {AMOUNT_CATEGORY_SQL} AS amount_category
+                FROM alerts""",
+        ),
+        "a21_risk_metrics": with_ctes(
+            PAYMENTS,
+            ALERTS,
+            body="""SELECT t.total_transactions, coalesce(CAST(t.vol AS DOUBLE), 0.0) AS total_volume,
+                  CAST(t.vol AS DOUBLE) / NULLIF(t.n_amount, 0) AS avg_transaction,
+                  a.total_fraud_alerts,
+                  coalesce(CAST(a.total_fraud_alerts AS DOUBLE) / NULLIF(t.total_transactions, 0), 0.0) AS fraud_rate,
+                  CAST(a.risk_sum AS DOUBLE) / NULLIF(a.risk_n, 0) AS avg_risk_score,
+                  coalesce(CAST(a.hv AS DOUBLE) / NULLIF(t.hv, 0), 0.0) AS high_value_fraud_rate
+                FROM (SELECT COUNT(*) AS total_transactions, SUM(CAST(amount AS DECIMAL(24,6))) AS vol,
+                             COUNT(amount) AS n_amount, COUNT(*) FILTER (WHERE amount > 10000) AS hv FROM payments) t,
+                     (SELECT COUNT(*) AS total_fraud_alerts, SUM(CAST(risk_score AS DECIMAL(20,6))) AS risk_sum,
+                             COUNT(risk_score) AS risk_n, COUNT(*) FILTER (WHERE amount > 10000) AS hv FROM alerts) a""",
+        ),
+        "a22_payment_method_fraud_rates": with_ctes(
+            PAYMENTS,
+            ALERTS,
+            body="""SELECT t.payment_method, t.transactions, coalesce(a.alerts, 0) AS alerts,
+                  coalesce(a.alerts, 0) / t.transactions AS fraud_rate
+                FROM (SELECT payment_method, COUNT(*) AS transactions FROM payments GROUP BY 1) t
+                LEFT JOIN (SELECT payment_method, COUNT(*) AS alerts FROM alerts GROUP BY 1) a
+                ON t.payment_method = a.payment_method""",
+        ),
+        "j1_alerts_with_transaction": with_ctes(
+            PAYMENTS,
+            ALERTS,
+            body="""SELECT a.*, p.id AS tx_id, p.amount AS tx_amount, p.currency AS tx_currency, p.status AS tx_status,
+                  p.payment_method AS tx_payment_method, p.created_at AS tx_created_at, p.user_id AS tx_user_id
+                FROM alerts a LEFT JOIN payments p ON a.transaction_id = p.id""",
+        ),
+        "j2_orphan_alerts": with_ctes(
+            PAYMENTS,
+            ALERTS,
+            body="SELECT a.* FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.id = a.transaction_id)",
+        ),
+        "j5_patched_alerts": with_ctes(
+            ALERTS,
+            body="""SELECT a.id, a.transaction_id, coalesce(p.risk_score, a.risk_score) AS risk_score, a.alert_type,
+                  coalesce(p.status, a.status) AS status, a.created_at, coalesce(p.amount, a.amount) AS amount, a.payment_method
+                FROM alerts a LEFT JOIN (
+                  SELECT id, 'resolved' AS status, CAST(NULL AS DOUBLE) AS risk_score,
+                         CASE WHEN id % 28 = 0 THEN amount * 2 END AS amount
+                  FROM alerts WHERE id % 14 = 0) p ON a.id = p.id""",
+        ),
+        "o3_alert_page": with_ctes(
+            ALERTS,
+            body="""SELECT a.*, (SELECT COUNT(*) FROM alerts) AS total, 3 AS page, 50 AS size
+                FROM alerts a ORDER BY id LIMIT 50 OFFSET 100""",
+        ),
+        "w3_velocity": _scored(
+            """SELECT time_step, sender_id, receiver_id, sender_velocity, sender_velocity >= 3 AS velocity_check
+               FROM velocity""",
+            VELOCITY,
+        ),
+        "w4_first_payment": _scored(
+            "SELECT time_step, sender_id, receiver_id, first_to_receiver FROM velocity", VELOCITY
+        ),
+        "f1_generated_alerts": _scored(
+            """SELECT time_step, sender_id, receiver_id, CAST(amount AS DOUBLE) AS amount, risk_score, alert_type, 'open' AS status
+               FROM (
+                 SELECT *, unnest(list_filter([
+                   CASE WHEN unusual_amount THEN 'suspicious_amount' END,
+                   CASE WHEN balance_change_ratio > 0.5 AND NOT isnan(balance_change_ratio) AND risk_score > 0.5 THEN 'unusual_pattern' END,
+                   CASE WHEN sender_velocity >= 3 THEN 'velocity_check' END,
+                   CASE WHEN first_to_receiver AND high_value_transaction THEN 'new_merchant' END], lambda x: x IS NOT NULL)) AS alert_type
+                 FROM velocity)""",
+            VELOCITY,
+        ),
+    }
+)
