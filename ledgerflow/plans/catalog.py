@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions import stats
 from ledgerflow.operators import alerts as AL
-from ledgerflow.operators import marts, metrics
+from ledgerflow.operators import marts, metrics, quality
 from ledgerflow.operators.enrich import enrich_transactions, process_transactions
 from ledgerflow.sources import fixtures
+from ledgerflow.streaming import consumer, upsert
+from ledgerflow.streaming.decode import decode_messages
+
+
+def transaction_date_from(step, epoch: str):
+    return F.to_timestamp_ntz(F.lit(epoch)) + F.make_dt_interval(hours=step)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +127,51 @@ def generated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AL.generate_alerts(scored_transactions(spark, sf_dir))
 
 
+def transaction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.transaction_quality(scored_transactions(spark, sf_dir))
+
+
+def payment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.payment_quality(fixtures.payments(spark, sf_dir))
+
+
+def alert_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.alert_quality(fixtures.alerts(spark, sf_dir), fixtures.payments(spark, sf_dir))
+
+
+def payment_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.completeness(fixtures.payments(spark, sf_dir))
+
+
+def message_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consumer.process_messages(fixtures.topic_messages(spark, sf_dir)).select(
+        "message_key", "offset", "partition", "status"
+    )
+
+
+def stream_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consumer.status_counts(consumer.process_messages(fixtures.topic_messages(spark, sf_dir)))
+
+
+def upserted_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _money_as_double(upsert.upsert_all(consumer.process_messages(fixtures.topic_messages(spark, sf_dir))))
+
+
+def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msgs = fixtures.topic_messages(spark, sf_dir)
+    read_up_to = msgs.where(F.col("timestamp") < F.lit("2024-01-25 00:00:00").cast("timestamp"))
+    return consumer.consumer_lag(read_up_to, consumer.end_offsets_of(msgs))
+
+
+def delay_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decode_messages(fixtures.topic_messages(spark, sf_dir))
+    step_start = transaction_date_from(F.col("time_step"), "2024-01-01 00:00:00")
+    delay = F.unix_micros(F.col("message_timestamp")).cast("double") / 1e6 - F.unix_micros(
+        step_start.cast("timestamp")
+    ).cast("double") / 1e6
+    return consumer.delay_histogram(d, delay, [60.0, 600.0, 3600.0, 21600.0, 86400.0])
+
+
 QUERIES: dict[str, Query] = {
     "p9_scored_transactions": scored_table,
     "p15_processed_transactions": processed_table,
@@ -153,4 +204,13 @@ QUERIES: dict[str, Query] = {
     "w3_velocity": velocity,
     "w4_first_payment": first_payment,
     "f1_generated_alerts": generated_alerts,
+    "q_transaction_checks": transaction_checks,
+    "q_payment_checks": payment_checks,
+    "q_alert_checks": alert_checks,
+    "q7_payment_completeness": payment_completeness,
+    "t3_t4_message_status": message_status,
+    "t6_status_counts": stream_status_counts,
+    "j4_upserted_transactions": upserted_transactions,
+    "t7_consumer_lag": consumer_lag,
+    "t8_delay_histogram": delay_histogram,
 }

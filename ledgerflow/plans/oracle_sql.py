@@ -390,3 +390,136 @@ ORACLE.update(
         ),
     }
 )
+
+# --- data quality (Q1-Q9) ------------------------------------------------------------------------
+
+
+def _checks(table: str, checks: list[tuple[str, str]], extra: list[str] = ()) -> str:
+    parts = [f"SELECT '{n}' AS check_name, COUNT(*) FILTER (WHERE coalesce({p}, false)) AS failed_rows FROM {table}" for n, p in checks]
+    parts += list(extra)
+    return f"""SELECT check_name, failed_rows,
+      CASE WHEN failed_rows = 0 THEN 'pass' WHEN failed_rows > 1000 THEN 'error'
+           WHEN failed_rows > 100 THEN 'warn' ELSE 'fail_soft' END AS status
+    FROM ({' UNION ALL '.join(parts)})"""
+
+
+ORACLE.update(
+    {
+        "q_transaction_checks": _scored(
+            _checks(
+                "enriched",
+                [
+                    ("check_transaction_amounts_not_null", "amount IS NULL"),
+                    ("check_risk_scores_in_range", "risk_score < 0 OR risk_score > 1"),
+                    ("check_timestamp_format", "transaction_date IS NULL"),
+                    ("check_merchant_names_not_empty", "receiver_id IS NULL OR trim(receiver_id) = ''"),
+                    ("check_amount_within_bounds", "amount < 0.01 OR amount > 1000000"),
+                    ("check_amount_positive", "amount <= 0"),
+                    ("check_amount_reasonable", "amount > 100000"),
+                    ("check_sender_id_not_null", "sender_id IS NULL"),
+                ],
+                [
+                    "SELECT 'check_transaction_key_unique', COUNT(*) FROM (SELECT time_step, sender_id, receiver_id "
+                    "FROM enriched GROUP BY ALL HAVING COUNT(*) > 1)"
+                ],
+            )
+        ),
+        "q_payment_checks": with_ctes(
+            PAYMENTS,
+            body=_checks(
+                "payments",
+                [
+                    ("check_status_allowed", "status NOT IN ('completed', 'pending', 'failed', 'fraudulent', 'cancelled')"),
+                    ("check_amount_positive", "amount <= 0"),
+                    ("check_amount_reasonable", "amount > 100000"),
+                    ("check_id_not_null", "id IS NULL"),
+                    ("check_currency_not_null", "currency IS NULL"),
+                    ("check_payment_method_not_null", "payment_method IS NULL"),
+                ],
+                ["SELECT 'check_id_unique', COUNT(*) FROM (SELECT id FROM payments GROUP BY id HAVING COUNT(*) > 1)"],
+            ),
+        ),
+        "q_alert_checks": with_ctes(
+            PAYMENTS,
+            ALERTS,
+            body=_checks(
+                "alerts",
+                [
+                    ("check_risk_scores_in_range", "risk_score < 0 OR risk_score > 1"),
+                    ("check_alert_type_allowed", "alert_type NOT IN ('suspicious_amount', 'new_merchant', 'unusual_pattern', 'high_risk_location', 'velocity_check', 'device_mismatch')"),
+                    ("check_alert_status_allowed", "status NOT IN ('open', 'investigating', 'resolved', 'false_positive', 'confirmed_fraud')"),
+                    ("check_transaction_id_not_null", "transaction_id IS NULL"),
+                ],
+                [
+                    "SELECT 'check_alert_transaction_exists', COUNT(*) FROM alerts a "
+                    "WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.id = a.transaction_id)"
+                ],
+            ),
+        ),
+        "q7_payment_completeness": with_ctes(
+            PAYMENTS,
+            body=_checks(
+                "payments",
+                [(f"{c}_complete", f"{c} IS NULL") for c in ["id", "amount", "currency", "status", "payment_method", "created_at", "user_id"]],
+            ),
+        ),
+    }
+)
+
+# --- stream batch twins (T2-T8, W1, W2, J4) ---------------------------------------------------------
+
+MESSAGES = """
+msgs AS (
+  SELECT CAST(user_id AS VARCHAR) || ':' || json_extract_string(props, '$.k') AS message_key,
+    event_id AS "offset", 'transactions' AS topic, CAST(user_id % 4 AS INTEGER) AS "partition", ts AS message_timestamp,
+    CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 AS INTEGER) AS time_step,
+    event_type AS transaction_type, CAST(value AS DECIMAL(18,2)) AS amount,
+    'C' || CAST(user_id AS VARCHAR) AS sender_id, 'M' || event_type AS receiver_id,
+    CASE WHEN event_id % 50 = 0 THEN 'invalid' WHEN event_id % 50 = 1 THEN 'error' ELSE 'ok' END AS status0
+  FROM events
+),
+firsts AS (SELECT message_key, MIN("offset") AS first_ok FROM msgs WHERE status0 = 'ok' GROUP BY 1),
+final AS (
+  SELECT m.*, CASE WHEN f.first_ok IS NULL THEN m.status0 WHEN m."offset" = f.first_ok THEN 'success'
+                   WHEN m."offset" > f.first_ok THEN 'duplicate' ELSE m.status0 END AS status
+  FROM msgs m LEFT JOIN firsts f ON m.message_key = f.message_key
+)"""
+
+ORACLE.update(
+    {
+        "t3_t4_message_status": with_ctes(
+            MESSAGES, body='SELECT message_key, "offset", "partition", status FROM final'
+        ),
+        "t6_status_counts": with_ctes(
+            MESSAGES,
+            body="""SELECT s.status, CAST(coalesce(c.n, 0) AS BIGINT) AS messages
+                FROM (VALUES ('success'), ('duplicate'), ('invalid'), ('error')) s(status)
+                LEFT JOIN (SELECT status, COUNT(*) AS n FROM final GROUP BY 1) c ON s.status = c.status""",
+        ),
+        "j4_upserted_transactions": with_ctes(
+            MESSAGES,
+            body="""SELECT time_step, sender_id, receiver_id, CAST(amount AS DOUBLE) AS amount, transaction_type,
+                  0.0::DOUBLE AS sender_old_balance, 0.0::DOUBLE AS sender_new_balance,
+                  0.0::DOUBLE AS receiver_old_balance, 0.0::DOUBLE AS receiver_new_balance,
+                  false AS is_fraud, false AS is_flagged_fraud, 0.0::DOUBLE AS risk_score
+                FROM (SELECT *, row_number() OVER (PARTITION BY time_step, sender_id, receiver_id ORDER BY "offset" DESC) AS rn
+                      FROM final WHERE status = 'success') WHERE rn = 1""",
+        ),
+        "t7_consumer_lag": with_ctes(
+            MESSAGES,
+            body="""SELECT e.topic, e."partition", e.end_offset - coalesce(d.last_offset, 0) AS lag
+                FROM (SELECT topic, "partition", MAX("offset") + 1 AS end_offset FROM msgs GROUP BY 1, 2) e
+                LEFT JOIN (SELECT topic, "partition", MAX("offset") AS last_offset FROM msgs
+                           WHERE message_timestamp < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2) d
+                ON e.topic = d.topic AND e."partition" = d."partition" """,
+        ),
+        "t8_delay_histogram": with_ctes(
+            MESSAGES,
+            body="""SELECT le, count FROM (
+                  SELECT b.le, COUNT(*) FILTER (WHERE
+                    epoch(message_timestamp) - epoch(TIMESTAMP '2024-01-01 00:00:00' + to_hours(time_step)) <= b.le) AS count
+                  FROM msgs CROSS JOIN (VALUES (60.0::DOUBLE), (600.0::DOUBLE), (3600.0::DOUBLE), (21600.0::DOUBLE), (86400.0::DOUBLE)) b(le)
+                  GROUP BY b.le)""",
+        ),
+    }
+)
