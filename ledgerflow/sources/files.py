@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date as Date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +65,10 @@ def read_lake(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def read_seed(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
-    """A seed CSV with declared column types (e.g. ``{"amount": "decimal(10,2)"}``)."""
-    schema = T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in types.items()])
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """A seed CSV with declared column types (e.g. ``{"amount": "decimal(10,2)"}``). ``varchar(n)`` /
+    ``char(n)`` are read as strings; their lengths belong to the quality checks."""
+    ddl = ", ".join(f"`{k}` {re.sub(r'^(var)?char\(\d+\)$', 'string', v.strip(), flags=re.I)}" for k, v in types.items())
+    return spark.read.schema(ddl).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
 # --- writes --------------------------------------------------------------------------------------
