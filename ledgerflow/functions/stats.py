@@ -9,7 +9,7 @@ percentile here is distributed instead:
 2. Histogram refinement: equal-width buckets over the window that holds the wanted ranks; each pass is a
    distributed aggregate that returns at most ``buckets`` rows to the driver (a fixed bound), and narrows
    the window by that factor.
-3. When the window holds at most ``exact_limit`` distinct values, one running-sum window over those rows
+3. When the window holds at most ``exact_limit`` (default 1M) distinct values, one running-sum window over those rows
    (bounded by ``exact_limit``, not by the data) returns the values at the wanted ranks.
 
 Interpolation is linear between the two neighbouring ranks, ``lo + (hi - lo) * frac`` with
@@ -53,7 +53,7 @@ def exact_percentiles(
     column: str | Column,
     probs: Sequence[float],
     *,
-    exact_limit: int = 200_000,
+    exact_limit: int = 1_000_000,
     buckets: int = 1024,
     max_passes: int = 32,
 ) -> dict[float, float | None]:

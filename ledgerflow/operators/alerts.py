@@ -224,12 +224,25 @@ VELOCITY_HOURS = 24
 VELOCITY_MIN_COUNT = 3
 
 
+def _pair_steps(df: DataFrame) -> DataFrame:
+    """Rows per (sender, receiver, time_step): the one map-side-combined aggregate both windows start from."""
+    return df.groupBy("sender_id", "receiver_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _velocity_table(pairs: DataFrame, hours: int) -> DataFrame:
+    per_step = pairs.groupBy("sender_id", "time_step").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy("sender_id").orderBy("time_step").rangeBetween(-hours, 0)
+    return per_step.select("sender_id", "time_step", F.sum("_n").over(w).alias("sender_velocity"))
+
+
+def _first_table(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("sender_id", "receiver_id").agg(F.min("time_step").alias("_first_step"))
+
+
 def with_velocity(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = VELOCITY_MIN_COUNT) -> DataFrame:
     """``sender_velocity`` = the sender's transactions with time_step in [t - hours, t] (ties included),
     ``velocity_check`` = sender_velocity ≥ min_count."""
-    per_step = df.groupBy("sender_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("sender_id").orderBy("time_step").rangeBetween(-hours, 0)
-    vel = per_step.select("sender_id", "time_step", F.sum("_n").over(w).alias("sender_velocity"))
+    vel = _velocity_table(_pair_steps(df), hours)
     return df.join(vel, ["sender_id", "time_step"], "left").withColumn(
         "velocity_check", F.col("sender_velocity") >= min_count
     )
@@ -237,7 +250,10 @@ def with_velocity(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = V
 
 def with_first_payment(df: DataFrame) -> DataFrame:
     """``first_to_receiver`` — the row is at the earliest time step of its (sender, receiver) pair."""
-    first = df.groupBy("sender_id", "receiver_id").agg(F.min("time_step").alias("_first_step"))
+    return _with_first(df, _first_table(_pair_steps(df)))
+
+
+def _with_first(df: DataFrame, first: DataFrame) -> DataFrame:
     return (
         df.join(first, ["sender_id", "receiver_id"], "left")
         .withColumn("first_to_receiver", F.coalesce(F.col("time_step") == F.col("_first_step"), F.lit(False)))
@@ -245,6 +261,16 @@ def with_first_payment(df: DataFrame) -> DataFrame:
     )
 
 
+def with_velocity_and_first(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = VELOCITY_MIN_COUNT) -> DataFrame:
+    """W3 and W4 together: both tables derive from one (sender, receiver, step) aggregate, whose exchange
+    the plan shares, and are joined back to the rows."""
+    pairs = _pair_steps(df)
+    out = df.join(_velocity_table(pairs, hours), ["sender_id", "time_step"], "left").withColumn(
+        "velocity_check", F.col("sender_velocity") >= min_count
+    )
+    return _with_first(out, _first_table(pairs))
+
+
 ALERT_RULES = ["suspicious_amount", "unusual_pattern", "velocity_check", "new_merchant"]
 
 
@@ -254,7 +280,7 @@ def generate_alerts(scored: DataFrame) -> DataFrame:
     suspicious_amount: unusual_amount; unusual_pattern: balance ratio > 0.5 and risk_score > 0.5;
     velocity_check: W3; new_merchant: first payment to the receiver (W4) of a high-value amount.
     """
-    df = with_first_payment(with_velocity(scored))
+    df = with_velocity_and_first(scored)
     rules = F.array_compact(
         F.array(
             F.when(F.col("unusual_amount"), F.lit("suspicious_amount")),

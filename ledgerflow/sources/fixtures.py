@@ -33,8 +33,16 @@ STATUS_CYCLE = ["completed", "pending", "failed", "fraudulent", "cancelled", "in
 ORPHAN_OFFSET = 1_000_000
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an input that arrives in fewer partitions than the cluster has cores (e.g. a file with
+    one row group), so the work before the first shuffle is not a single task. A large input, read as
+    many splits, passes through unchanged."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _lookup(mapping: dict[str, str], key: Column) -> Column:

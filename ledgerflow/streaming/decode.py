@@ -38,27 +38,45 @@ DECODED_FIELDS = list(FIELD_TYPES)
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
-    """Typed fields + ``message_key`` + ``status`` (ok / invalid / error) for each message."""
+    """Typed fields + ``message_key`` + ``status`` (ok / invalid / error) for each message.
+
+    The body is parsed once per message: the parse results are columns of a first projection and the
+    per-field logic refers to those columns (Catalyst keeps the projections apart because merging them
+    would repeat the expensive parse in every conditional branch).
+    """
     value = F.col("value")
     body = F.coalesce(F.get_json_object(value, "$.data"), value)
-    keys = F.json_object_keys(body)
-    parsed = F.from_json(body, S.TRANSACTION_MESSAGE_BODY)
+    stage1 = messages.select(
+        "key", "topic", "partition", "offset", "timestamp", body.alias("_body")
+    ).select(
+        "key", "topic", "partition", "offset", "timestamp",
+        F.json_object_keys("_body").alias("_keys"),
+        F.from_json("_body", S.TRANSACTION_MESSAGE_BODY).alias("_p"),
+    )
+    keys = F.col("_keys")
+    present = {n: F.coalesce(F.array_contains(keys, F.lit(n)), F.lit(False)) for n in FIELD_TYPES}
+    stage2 = stage1.select(
+        "key", "topic", "partition", "offset", "timestamp",
+        keys.isNull().alias("_not_object"),
+        *[present[n].alias(f"_has_{n}") for n in FIELD_TYPES],
+        *[F.col("_p")[n].alias(f"_raw_{n}") for n in FIELD_TYPES],
+    )
     typed, bad = {}, []
     for name, dtype in FIELD_TYPES.items():
-        present = F.coalesce(F.array_contains(keys, F.lit(name)), F.lit(False))
-        raw = parsed[name]
+        has, raw = F.col(f"_has_{name}"), F.col(f"_raw_{name}")
         cast = raw.try_cast(dtype)
-        default = F.lit(S.STREAM_DEFAULTS[name]).cast(dtype)
-        typed[name] = F.when(present, cast).otherwise(default)
-        bad.append(present & (raw.isNull() | cast.isNull()))
+        typed[name] = F.when(has, cast).otherwise(F.lit(S.STREAM_DEFAULTS[name]).cast(dtype))
+        bad.append(has & (raw.isNull() | cast.isNull()))
     missing = F.lit(False)
     for name in S.REQUIRED_STREAM_FIELDS:
-        missing = missing | ~F.coalesce(F.array_contains(keys, F.lit(name)), F.lit(False))
+        missing = missing | ~F.col(f"_has_{name}")
     any_bad = F.lit(False)
     for b in bad:
         any_bad = any_bad | b
-    status = F.when(keys.isNull() | missing, F.lit("invalid")).when(any_bad, F.lit("error")).otherwise(F.lit("ok"))
-    return messages.select(
+    status = (
+        F.when(F.col("_not_object") | missing, F.lit("invalid")).when(any_bad, F.lit("error")).otherwise(F.lit("ok"))
+    )
+    return stage2.select(
         message_key(F.col("key"), F.col("topic"), F.col("partition"), F.col("offset")).alias("message_key"),
         "topic",
         "partition",

@@ -24,10 +24,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def dedup_batch(classified: DataFrame) -> DataFrame:
     """Final status per message over a whole batch of classified messages."""
-    firsts = (
-        classified.where(F.col("status") == "ok")
-        .groupBy("message_key")
-        .agg(F.min("offset").alias("_first_ok"))
+    # a conditional aggregate, not a filter: a filter on the derived status would be pushed below the
+    # decode projection and repeat the JSON parse inside the predicate
+    firsts = classified.groupBy("message_key").agg(
+        F.min(F.when(F.col("status") == "ok", F.col("offset"))).alias("_first_ok")
     )
     j = classified.join(firsts, "message_key", "left")
     first = F.col("_first_ok")
@@ -40,12 +40,18 @@ def dedup_batch(classified: DataFrame) -> DataFrame:
     return j.withColumn("status", status).drop("_first_ok")
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "offset") -> DataFrame:
-    """The last-arriving row per key (``max_by`` aggregates partially, so hot keys do not pile up)."""
+def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "offset", *, only_if=None) -> DataFrame:
+    """The last-arriving row per key (``max_by`` aggregates partially, so hot keys do not pile up).
+
+    ``only_if`` restricts the candidates inside the aggregate (rows where it is false have a null ordering,
+    which ``max_by`` skips); keys with no candidate are dropped.
+    """
     cols = [c for c in df.columns if c not in keys]
+    order = F.col(order_col) if only_if is None else F.when(only_if, F.col(order_col))
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_row"))
+        .agg(F.max_by(F.struct(*cols), order).alias("_row"), F.max(order).alias("_last"))
+        .where(F.col("_last").isNotNull())
         .select(*keys, "_row.*")
     )
 

@@ -120,5 +120,6 @@ def upsert_batch(successes: DataFrame, root: str, batch_id: int, *, now: Column
 
 def upsert_all(messages_final: DataFrame) -> DataFrame:
     """Batch twin of the stream's end state: the latest successful message per upsert key."""
-    ok = messages_final.where(F.col("status") == "success")
-    return latest_per_key(ok.select(*S.UPSERT_KEY, *S.UPSERT_FIELDS, "offset"), S.UPSERT_KEY).drop("offset")
+    rows = messages_final.select(*S.UPSERT_KEY, *S.UPSERT_FIELDS, "offset", "status")
+    latest = latest_per_key(rows, S.UPSERT_KEY, only_if=F.col("status") == "success")
+    return latest.drop("offset", "status")
