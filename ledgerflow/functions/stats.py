@@ -6,11 +6,14 @@ percentile here is distributed instead:
 
 1. ``groupBy(value).count()`` — a map-side-combined shuffle; a value that holds a third of all rows is
    one row after it, so skew cannot concentrate work.
-2. Histogram refinement: equal-width buckets over the window that holds the wanted ranks; each pass is a
-   distributed aggregate that returns at most ``buckets`` rows to the driver (a fixed bound), and narrows
-   the window by that factor.
-3. When the window holds at most ``exact_limit`` (default 1M) distinct values, one running-sum window over those rows
-   (bounded by ``exact_limit``, not by the data) returns the values at the wanted ranks.
+2. A first histogram over an order-preserving log scale (``LOG_STEPS`` buckets per power of two, so each
+   bucket spans about 4.4 % of its values; the number of buckets is bounded by the double range, and for
+   2-decimal money the distinct values in one bucket are bounded by its width, not by the row count).
+   Its rows (bucket, rows, distinct values, min, max) return to the driver and locate the wanted ranks.
+3. If a located bucket still holds more than ``exact_limit`` distinct values, equal-width refinement
+   passes (distributed aggregates of at most ``buckets`` rows each) narrow it further.
+4. One running-sum window over the located bucket (at most ``exact_limit`` rows, a bound that does not
+   grow with the data) returns the values at the wanted ranks.
 
 Interpolation is linear between the two neighbouring ranks, ``lo + (hi - lo) * frac`` with
 ``pos = p * (n - 1)``, the same rule as DuckDB's ``quantile_cont`` and pandas' default.
@@ -41,6 +44,16 @@ def _value_counts(df: DataFrame, column: str | Column) -> DataFrame:
     )
 
 
+LOG_STEPS = 16  # log-scale buckets per power of two
+LOG_OFFSET = 20000  # > LOG_STEPS * 1074 (the smallest positive double is 2^-1074): keeps signs apart
+
+
+def log_bucket(v: Column) -> Column:
+    """A monotone (non-decreasing) integer bucket of a double: negative < 0 < positive, log-spaced."""
+    mag = F.floor(F.log2(F.abs(v)) * F.lit(LOG_STEPS)) + F.lit(LOG_OFFSET)
+    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
+
+
 def _ranks_in(ranks: list[int], below: int, cnt_col: str = "c", start_col: str = "start") -> Column:
     cond = F.lit(False)
     for r in ranks:
@@ -53,23 +66,32 @@ def exact_percentiles(
     column: str | Column,
     probs: Sequence[float],
     *,
-    exact_limit: int = 1_000_000,
+    exact_limit: int = 200_000,
     buckets: int = 1024,
     max_passes: int = 32,
 ) -> dict[float, float | None]:
     """Exact, linearly interpolated percentiles of ``column`` (nulls and NaN skipped)."""
     vc = _value_counts(df, column).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = vc.agg(
-            F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ).first()
-        n = int(st["n"] or 0)
+        first = (
+            vc.groupBy(log_bucket(F.col("v")).alias("b"))
+            .agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .orderBy("b")
+            .collect()
+        )  # bounded by the double range: at most 2 * LOG_STEPS * 2100 + 1 rows
+        n = sum(int(h["c"]) for h in first)
         if n == 0:
             return {p: None for p in probs}
         positions = {p: p * (n - 1) for p in probs}
         targets = sorted({int(math.floor(x)) for x in positions.values()} | {int(math.ceil(x)) for x in positions.values()})
         # a window: (low value, high value, rows below low value, distinct values inside, ranks inside)
-        pending = [(float(st["lo"]), float(st["hi"]), 0, int(st["d"]), targets)]
+        pending = []
+        start = 0
+        for h in first:
+            mine = [r for r in targets if start <= r < start + h["c"]]
+            if mine:
+                pending.append((float(h["lo"]), float(h["hi"]), start, int(h["d"]), mine))
+            start += int(h["c"])
         found: dict[int, float] = {}
         passes = 0
         while pending:

@@ -129,7 +129,7 @@ def risk_metrics(transactions: DataFrame, alerts: DataFrame) -> DataFrame:
         F.count("risk_score").alias("_risk_n"),
         F.count_if(F.col("amount") > hv).alias("_hv_alerts"),
     )
-    j = t.crossJoin(a)
+    j = t.crossJoin(F.broadcast(a))  # 1 row × 1 row: two global aggregates
     return j.select(
         "total_transactions",
         F.coalesce(F.col("_vol").cast("double"), F.lit(0.0)).alias("total_volume"),

@@ -172,6 +172,57 @@ def delay_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consumer.delay_histogram(d, delay, [60.0, 600.0, 3600.0, 21600.0, 86400.0])
 
 
+def fraud_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerflow.operators.enrich import fraud_rows as fr
+
+    return _money_as_double(fr(scored_transactions(spark, sf_dir))).select("time_step", "sender_id", "receiver_id", "amount", "risk_score")
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerflow.operators.enrich import flagged_rows as fl
+
+    return _money_as_double(fl(scored_transactions(spark, sf_dir))).select("time_step", "sender_id", "receiver_id", "amount", "is_fraud")
+
+
+def rows_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerflow.sources.files import read_transactions_for_date
+
+    return _money_as_double(read_transactions_for_date(scored_transactions(spark, sf_dir), "2019-03-01")).select(
+        "time_step", "transaction_type", "sender_id", "receiver_id", "amount", "transaction_date"
+    )
+
+
+def hover_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerflow.functions.features import hover_label
+
+    return fixtures.transactions(spark, sf_dir).select(
+        "time_step", "sender_id", "receiver_id", hover_label(F.col("transaction_type"), F.col("amount")).alias("label")
+    )
+
+
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the row cap is the operator itself (the reference reads the first 10,000 rows of its file)
+    return _money_as_double(
+        AL.head_rows(fixtures.transactions(spark, sf_dir), 10_000, ["time_step", "sender_id", "receiver_id"])
+    )
+
+
+def latest_message_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerflow.streaming.dedup import latest_per_key
+
+    d = decode_messages(fixtures.topic_messages(spark, sf_dir)).select(
+        "time_step", "sender_id", "receiver_id", "offset", "status"
+    )
+    return latest_per_key(d, ["time_step", "sender_id", "receiver_id"])
+
+
+def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerflow.sources.topics import to_events
+
+    a = fixtures.alerts(spark, sf_dir)
+    return to_events(a, "fraud_alert_created", sent_at=F.col("created_at"))
+
+
 QUERIES: dict[str, Query] = {
     "p9_scored_transactions": scored_table,
     "p15_processed_transactions": processed_table,
@@ -213,4 +264,11 @@ QUERIES: dict[str, Query] = {
     "j4_upserted_transactions": upserted_transactions,
     "t7_consumer_lag": consumer_lag,
     "t8_delay_histogram": delay_histogram,
+    "p17_fraud_rows": fraud_rows,
+    "p18_flagged_rows": flagged_rows,
+    "p19_rows_of_day": rows_of_day,
+    "p32_hover_labels": hover_labels,
+    "s2_head_rows": head_rows,
+    "w2_latest_message_per_key": latest_message_per_key,
+    "t9_alert_events": alert_events,
 }

@@ -523,3 +523,37 @@ ORACLE.update(
         ),
     }
 )
+
+ORACLE.update(
+    {
+        "p17_fraud_rows": _scored(
+            "SELECT time_step, sender_id, receiver_id, CAST(amount AS DOUBLE) AS amount, risk_score FROM enriched WHERE is_fraud"
+        ),
+        "p18_flagged_rows": _scored(
+            "SELECT time_step, sender_id, receiver_id, CAST(amount AS DOUBLE) AS amount, is_fraud FROM enriched WHERE is_flagged_fraud"
+        ),
+        "p19_rows_of_day": _scored(
+            """SELECT time_step, transaction_type, sender_id, receiver_id, CAST(amount AS DOUBLE) AS amount, transaction_date
+               FROM enriched WHERE CAST(transaction_date AS DATE) = DATE '2019-03-01'"""
+        ),
+        "p32_hover_labels": with_ctes(
+            TXN,
+            body="""SELECT time_step, sender_id, receiver_id,
+                  transaction_type || '<br>Amount: $' || CAST(amount AS VARCHAR) AS label FROM txn""",
+        ),
+        "s2_head_rows": with_ctes(
+            TXN,
+            body="""SELECT time_step, transaction_type, CAST(amount AS DOUBLE) AS amount, sender_id,
+                  CAST(sender_old_balance AS DOUBLE) AS sender_old_balance, CAST(sender_new_balance AS DOUBLE) AS sender_new_balance,
+                  receiver_id, CAST(receiver_old_balance AS DOUBLE) AS receiver_old_balance,
+                  CAST(receiver_new_balance AS DOUBLE) AS receiver_new_balance, is_fraud, is_flagged_fraud
+                FROM txn ORDER BY time_step, sender_id, receiver_id LIMIT 10000""",
+        ),
+        "w2_latest_message_per_key": with_ctes(
+            MESSAGES,
+            body="""SELECT time_step, sender_id, receiver_id, "offset", status0 AS status FROM (
+                  SELECT *, row_number() OVER (PARTITION BY time_step, sender_id, receiver_id ORDER BY "offset" DESC) AS rn
+                  FROM msgs) WHERE rn = 1""",
+        ),
+    }
+)

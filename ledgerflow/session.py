@@ -12,10 +12,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the library relies on. They are applied with ``setIfMissing`` semantics: a cluster's own
-# values win.
+# The library's session defaults; keyword arguments of ``get_session`` override them.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    # joins are never broadcast on a size *estimate* (a fact table can look small before its filters run
+    # and a dimension grows with the data); AQE broadcasts a side only when its measured shuffle output
+    # is under the threshold, and sort-merges otherwise
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # re-running a daily job replaces only the partitions it writes

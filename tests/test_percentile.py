@@ -35,3 +35,13 @@ def test_hot_value_holds_a_third(spark):
     got = exact_percentiles(df, "v", [0.3, 0.34, 0.95], exact_limit=100, buckets=8)
     for p in (0.3, 0.34, 0.95):
         assert got[p] == pytest.approx(_np(vals, p), rel=1e-12, abs=1e-12)
+
+
+def test_signed_values_and_zero(spark):
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([-rng.lognormal(3, 2, 700).round(2), np.zeros(200), rng.lognormal(3, 2, 900).round(2), [1e-300, -1e300]])
+    df = spark.createDataFrame(pd.DataFrame({"v": vals}))
+    probs = [0.0, 0.01, 0.3, 0.45, 0.5, 0.77, 1.0]
+    got = exact_percentiles(df, "v", probs, exact_limit=40, buckets=4)
+    for p in probs:
+        assert got[p] == pytest.approx(_np(vals, p), rel=1e-12, abs=1e-300), p
