@@ -262,13 +262,23 @@ def _with_first(df: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def with_velocity_and_first(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = VELOCITY_MIN_COUNT) -> DataFrame:
-    """W3 and W4 together: both tables derive from one (sender, receiver, step) aggregate, whose exchange
-    the plan shares, and are joined back to the rows."""
+    """W3 and W4 together. Both come from one (sender, receiver, step) aggregate; the velocity and the
+    pair's first step are joined onto that aggregate (small joins between aggregated tables), and the
+    result is joined back to the rows once, on the three keys."""
     pairs = _pair_steps(df)
-    out = df.join(_velocity_table(pairs, hours), ["sender_id", "time_step"], "left").withColumn(
-        "velocity_check", F.col("sender_velocity") >= min_count
+    per_pair_step = (
+        pairs.join(_velocity_table(pairs, hours), ["sender_id", "time_step"], "left")
+        .join(_first_table(pairs), ["sender_id", "receiver_id"], "left")
+        .select(
+            "sender_id",
+            "receiver_id",
+            "time_step",
+            "sender_velocity",
+            (F.col("sender_velocity") >= min_count).alias("velocity_check"),
+            F.coalesce(F.col("time_step") == F.col("_first_step"), F.lit(False)).alias("first_to_receiver"),
+        )
     )
-    return _with_first(out, _first_table(pairs))
+    return df.join(per_pair_step, ["sender_id", "receiver_id", "time_step"], "left")
 
 
 ALERT_RULES = ["suspicious_amount", "unusual_pattern", "velocity_check", "new_merchant"]

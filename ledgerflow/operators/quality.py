@@ -1,8 +1,8 @@
 """Table-level data-quality checks with thresholds and stored failures (Q1-Q9).
 
 Row checks are predicates that mark a *failing* row. All row checks of a table run as one aggregate of
-``count_if`` (one scan, map-side partial counts); key checks (unique, referential integrity) are one
-aggregate or anti join each. Output: one row per check ``(check_name, failed_rows, status)``:
+``count_if`` (one scan, map-side partial counts). With a unique key, the row checks ride along the key's
+grouping, so the whole suite is still one scan; referential integrity is one anti join. Output: one row per check ``(check_name, failed_rows, status)``:
 
 * ``pass`` when nothing fails,
 * ``fail_soft`` for 1..warn_above failing rows,
@@ -89,9 +89,35 @@ def run_row_checks(df: DataFrame, checks: list[RowCheck]) -> DataFrame:
     return long.withColumn("status", status_of(F.col("failed_rows")))
 
 
+def _keys_present(columns: list[str]) -> Column:
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & F.col(c).isNotNull()
+    return cond
+
+
+def run_checks_with_key(df: DataFrame, checks: list[RowCheck], key: list[str], unique_name: str) -> DataFrame:
+    """Row checks and the unique-key check in one pass: the rows are grouped by the key once (map-side
+    combined, so a hot key is one partial row per task) carrying the failure flags, then a small global
+    aggregate sums the flags and counts the keys seen more than once."""
+    flags = [F.coalesce(c.failing, F.lit(False)).cast("int").alias(f"_f{i}") for i, c in enumerate(checks)]
+    per_key = (
+        df.select(*key, *flags)
+        .groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(checks))])
+    )
+    wide = per_key.agg(
+        *[F.coalesce(F.sum(f"_f{i}"), F.lit(0)).cast("long").alias(c.name) for i, c in enumerate(checks)],
+        F.count_if((F.col("_n") > 1) & _keys_present(key)).alias(unique_name),
+    )
+    names = [c.name for c in checks] + [unique_name]
+    long = wide.unpivot([], names, "check_name", "failed_rows")
+    return long.withColumn("status", status_of(F.col("failed_rows")))
+
+
 def unique_check(df: DataFrame, columns: list[str], name: str | None = None) -> DataFrame:
-    """Q6 unique: the number of key values that occur more than once (the dbt count)."""
-    dup = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    """Q6 unique: the number of key values (nulls excluded) that occur more than once (the dbt count)."""
+    dup = df.where(_keys_present(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     nm = name or f"{'_'.join(columns)}_unique"
     return dup.agg(F.count(F.lit(1)).alias("failed_rows")).select(
         F.lit(nm).alias("check_name"), "failed_rows", status_of(F.col("failed_rows")).alias("status")
@@ -151,9 +177,7 @@ def transaction_checks(df: DataFrame) -> list[RowCheck]:
 
 
 def transaction_quality(df: DataFrame) -> DataFrame:
-    return run_row_checks(df, transaction_checks(df)).unionByName(
-        unique_check(df, S.UPSERT_KEY, "check_transaction_key_unique")
-    )
+    return run_checks_with_key(df, transaction_checks(df), S.UPSERT_KEY, "check_transaction_key_unique")
 
 
 def payment_quality(payments: DataFrame) -> DataFrame:
@@ -165,7 +189,7 @@ def payment_quality(payments: DataFrame) -> DataFrame:
         not_null("currency", "check_currency_not_null"),
         not_null("payment_method", "check_payment_method_not_null"),
     ]
-    return run_row_checks(payments, checks).unionByName(unique_check(payments, ["id"], "check_id_unique"))
+    return run_checks_with_key(payments, checks, ["id"], "check_id_unique")
 
 
 def alert_quality(alerts: DataFrame, transactions: DataFrame, tx_key: str = "id") -> DataFrame:

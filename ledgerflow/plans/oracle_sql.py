@@ -420,7 +420,7 @@ ORACLE.update(
                 ],
                 [
                     "SELECT 'check_transaction_key_unique', COUNT(*) FROM (SELECT time_step, sender_id, receiver_id "
-                    "FROM enriched GROUP BY ALL HAVING COUNT(*) > 1)"
+                    "FROM enriched WHERE time_step IS NOT NULL AND sender_id IS NOT NULL AND receiver_id IS NOT NULL GROUP BY ALL HAVING COUNT(*) > 1)"
                 ],
             )
         ),
@@ -436,7 +436,7 @@ ORACLE.update(
                     ("check_currency_not_null", "currency IS NULL"),
                     ("check_payment_method_not_null", "payment_method IS NULL"),
                 ],
-                ["SELECT 'check_id_unique', COUNT(*) FROM (SELECT id FROM payments GROUP BY id HAVING COUNT(*) > 1)"],
+                ["SELECT 'check_id_unique', COUNT(*) FROM (SELECT id FROM payments WHERE id IS NOT NULL GROUP BY id HAVING COUNT(*) > 1)"],
             ),
         ),
         "q_alert_checks": with_ctes(
