@@ -68,10 +68,13 @@ def start_transaction_stream(
 ):
     """Start the stream job; returns the StreamingQuery.
 
+    Only four columns pass through the keyed state operator (message key, offset, decode status and the
+    raw value); the fields of the successful messages are decoded again, JVM-side, inside the batch.
     Per micro-batch: the batch is persisted once, its status counts are written to
     ``<store_root>/status_counts/batch=<id>`` and its successes are upserted into the store.
     """
-    deduped = dedup_stream(decode_messages(source), state_ttl_ms=state_ttl_ms)
+    narrow = decode_messages(source, carry=["value"]).select("message_key", "offset", "status", "value")
+    deduped = dedup_stream(narrow, state_ttl_ms=state_ttl_ms)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -83,7 +86,15 @@ def start_transaction_stream(
                 .write.mode("overwrite")
                 .parquet(f"{store_root}/status_counts/batch={batch_id}")
             )
-            upsert_batch(batch.where(F.col("status") == "success"), store_root, batch_id, now=now)
+            successes = batch.where(F.col("status") == "success").select(
+                F.col("message_key").alias("key"),
+                "value",
+                F.lit(None).cast("string").alias("topic"),
+                F.lit(None).cast("int").alias("partition"),
+                "offset",
+                F.lit(None).cast("timestamp").alias("timestamp"),
+            )
+            upsert_batch(decode_messages(successes), store_root, batch_id, now=now)
         finally:
             batch.unpersist()
 

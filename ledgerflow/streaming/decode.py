@@ -37,7 +37,7 @@ FIELD_TYPES = {
 DECODED_FIELDS = list(FIELD_TYPES)
 
 
-def decode_messages(messages: DataFrame) -> DataFrame:
+def decode_messages(messages: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
     """Typed fields + ``message_key`` + ``status`` (ok / invalid / error) for each message.
 
     The body is parsed once per message: the parse results are columns of a first projection and the
@@ -46,17 +46,16 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     """
     value = F.col("value")
     body = F.coalesce(F.get_json_object(value, "$.data"), value)
-    stage1 = messages.select(
-        "key", "topic", "partition", "offset", "timestamp", body.alias("_body")
-    ).select(
-        "key", "topic", "partition", "offset", "timestamp",
+    meta = ["key", "topic", "partition", "offset", "timestamp", *[c for c in carry]]
+    stage1 = messages.select(*meta, body.alias("_body")).select(
+        *meta,
         F.json_object_keys("_body").alias("_keys"),
         F.from_json("_body", S.TRANSACTION_MESSAGE_BODY).alias("_p"),
     )
     keys = F.col("_keys")
     present = {n: F.coalesce(F.array_contains(keys, F.lit(n)), F.lit(False)) for n in FIELD_TYPES}
     stage2 = stage1.select(
-        "key", "topic", "partition", "offset", "timestamp",
+        *meta,
         keys.isNull().alias("_not_object"),
         *[present[n].alias(f"_has_{n}") for n in FIELD_TYPES],
         *[F.col("_p")[n].alias(f"_raw_{n}") for n in FIELD_TYPES],
@@ -84,4 +83,5 @@ def decode_messages(messages: DataFrame) -> DataFrame:
         F.col("timestamp").alias("message_timestamp"),
         *[typed[n].alias(n) for n in DECODED_FIELDS],
         status.alias("status"),
+        *[c for c in carry],
     )

@@ -64,7 +64,10 @@ def _dedup_fn(ttl_ms: int | None):
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("offset", kind="stable")
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(pdf) > 1:
+            pdf = pdf.sort_values("offset", kind="stable")
         seen = state.exists
         statuses = []
         for st in pdf["status"].tolist():
@@ -89,7 +92,8 @@ def dedup_stream(classified: DataFrame, *, state_ttl_ms: int | None = None) -> D
     """T4: the W1 rule across micro-batches, keyed state per message key.
 
     Each call gets one key's messages of one micro-batch, bounded by the trigger's batch size
-    (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``), never the key's whole history.
+    (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``), never the key's whole history. Pass narrow rows:
+    the per-call cost of the state operator grows with the number of columns it converts.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if state_ttl_ms else GroupStateTimeout.NoTimeout
     return classified.groupBy("message_key").applyInPandasWithState(
