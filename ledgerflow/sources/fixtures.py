@@ -33,11 +33,15 @@ STATUS_CYCLE = ["completed", "pending", "failed", "fraudulent", "cancelled", "in
 ORPHAN_OFFSET = 1_000_000
 
 
+SPREAD_MAX = 32
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin an input that arrives in fewer partitions than the cluster has cores (e.g. a file with
-    one row group), so the work before the first shuffle is not a single task. A large input, read as
-    many splits, passes through unchanged."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    one row group), so the work before the first shuffle is not a single task. The target is capped
+    (``SPREAD_MAX``): a small single-file table on a large cluster becomes a few tasks, not thousands. A
+    large input, read as many splits, passes through unchanged."""
+    target = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 

@@ -1,7 +1,7 @@
 """Idempotent upsert of transactions on (time_step, sender_id, receiver_id).
 
 Without a table format that has MERGE, the stored table is Parquet partitioned by ``day`` (time_step div
-24) and versioned per batch:
+``grain_steps``, 24 by default) and versioned per batch:
 
     <root>/data/v=<batch_id>/day=<d>/...   rows of day d as of that batch
     <root>/pointer/batch=<batch_id>/...    (day, v): the version that is current for each day
@@ -89,19 +89,23 @@ def merge_rows(current: DataFrame, updates: DataFrame, now: Column) -> DataFrame
     return j.select(*cols)
 
 
-def upsert_batch(successes: DataFrame, root: str, batch_id: int, *, now: Column | None = None) -> int:
-    """T5: apply one micro-batch of successful messages; returns the number of days rewritten."""
+def upsert_batch(successes: DataFrame, root: str, batch_id: int, *, now: Column | None = None,
+                 grain_steps: int = 24) -> int:
+    """T5: apply one micro-batch of successful messages; returns the number of partitions rewritten.
+
+    ``grain_steps`` is the partition width in time steps (hours): 24 gives daily partitions; a busy
+    stream whose batches all land in the current hour rewrites less with 1. Keep it fixed per store."""
     spark = successes.sparkSession
     now = now if now is not None else F.current_timestamp()
     latest = latest_per_key(successes.select(*S.UPSERT_KEY, *S.UPSERT_FIELDS, "offset"), S.UPSERT_KEY)
-    latest = latest.withColumn("day", floor_div(F.col("time_step"), 24).cast("int")).persist()
+    latest = latest.withColumn("day", floor_div(F.col("time_step"), grain_steps).cast("int")).persist()
     try:
         days = [r["day"] for r in latest.select("day").distinct().collect()]  # days touched by one batch
         if not days:
             return 0
         current = read_table(spark, root, days=days, before_batch=batch_id)
         merged = merge_rows(current.drop("day"), latest, now).withColumn(
-            "day", floor_div(F.col("time_step"), 24).cast("int")
+            "day", floor_div(F.col("time_step"), grain_steps).cast("int")
         )
         (
             merged.write.mode("overwrite")
