@@ -104,3 +104,18 @@ def start_transaction_stream(
     elif available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def lag_from_progress(progress: dict) -> list[dict]:
+    """T7 live: per topic partition, the source's latest offset minus the offset the query has reached,
+    read from ``StreamingQuery.lastProgress`` (Kafka sources report both as {topic: {partition: offset}})."""
+    rows = []
+    for src in (progress or {}).get("sources", []):
+        latest, reached = src.get("latestOffset"), src.get("endOffset")
+        if not isinstance(latest, dict) or not isinstance(reached, dict):
+            continue
+        for topic, parts in latest.items():
+            for part, end in parts.items():
+                done = reached.get(topic, {}).get(part, 0)
+                rows.append({"topic": topic, "partition": int(part), "lag": int(end) - int(done)})
+    return rows

@@ -91,3 +91,10 @@ def test_approx_percentile_path(spark):
     n_exact = exact.where("unusual_amount").count()
     n_approx = approx.where("unusual_amount").count()
     assert abs(n_exact - n_approx) <= max(3, n_exact // 20)
+
+
+def test_lag_from_progress():
+    p = {"sources": [{"latestOffset": {"tx": {"0": 120, "1": 40}}, "endOffset": {"tx": {"0": 100, "1": 40}}},
+                     {"latestOffset": None, "endOffset": None}]}
+    assert consumer.lag_from_progress(p) == [{"topic": "tx", "partition": 0, "lag": 20}, {"topic": "tx", "partition": 1, "lag": 0}]
+    assert consumer.lag_from_progress(None) == []
