@@ -54,7 +54,7 @@ def log_bucket(v: Column) -> Column:
     return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
 
 
-def _ranks_in(ranks: list[int], below: int, cnt_col: str = "c", start_col: str = "start") -> Column:
+def _ranks_in(ranks: list[int], cnt_col: str = "c", start_col: str = "start") -> Column:
     cond = F.lit(False)
     for r in ranks:
         cond = cond | ((F.col(start_col) <= F.lit(r)) & (F.lit(r) < F.col(start_col) + F.col(cnt_col)))
@@ -102,7 +102,7 @@ def exact_percentiles(
                 w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
                 hits = (
                     inside.withColumn("start", F.lit(below) + F.sum("c").over(w) - F.col("c"))
-                    .where(_ranks_in(ranks, below))
+                    .where(_ranks_in(ranks))
                     .select("v", "c", "start")
                     .collect()
                 )

@@ -229,8 +229,9 @@ def _pair_steps(df: DataFrame) -> DataFrame:
     return df.groupBy("sender_id", "receiver_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _velocity_table(pairs: DataFrame, hours: int) -> DataFrame:
-    per_step = pairs.groupBy("sender_id", "time_step").agg(F.sum("_n").alias("_n"))
+def _velocity_table(counts: DataFrame, hours: int) -> DataFrame:
+    """Sender velocity per (sender, step) from row counts keyed by (sender, step[, receiver])."""
+    per_step = counts.groupBy("sender_id", "time_step").agg(F.sum("_n").alias("_n"))
     w = Window.partitionBy("sender_id").orderBy("time_step").rangeBetween(-hours, 0)
     return per_step.select("sender_id", "time_step", F.sum("_n").over(w).alias("sender_velocity"))
 
@@ -242,7 +243,8 @@ def _first_table(pairs: DataFrame) -> DataFrame:
 def with_velocity(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = VELOCITY_MIN_COUNT) -> DataFrame:
     """``sender_velocity`` = the sender's transactions with time_step in [t - hours, t] (ties included),
     ``velocity_check`` = sender_velocity ≥ min_count."""
-    vel = _velocity_table(_pair_steps(df), hours)
+    per_step = df.groupBy("sender_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
+    vel = _velocity_table(per_step, hours)
     return df.join(vel, ["sender_id", "time_step"], "left").withColumn(
         "velocity_check", F.col("sender_velocity") >= min_count
     )

@@ -8,10 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from ledgerflow.functions import stats
 from ledgerflow.operators import alerts as AL
 from ledgerflow.operators import marts, metrics, quality
 from ledgerflow.operators.enrich import enrich_transactions, process_transactions
@@ -19,12 +17,13 @@ from ledgerflow.sources import fixtures
 from ledgerflow.streaming import consumer, upsert
 from ledgerflow.streaming.decode import decode_messages
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def transaction_date_from(step, epoch: str):
+    """Epoch + ``step`` hours as TIMESTAMP_NTZ."""
     return F.to_timestamp_ntz(F.lit(epoch)) + F.make_dt_interval(hours=step)
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 
 def scored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_transactions(fixtures.transactions(spark, sf_dir))
