@@ -25,6 +25,11 @@ DEFAULT_CONF = {
     # re-running a daily job replaces only the partitions it writes
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
+    # keyed stream state (message keys, unbounded in number) lives in RocksDB on local disk with changelog
+    # checkpoints to the checkpoint folder, not in executor heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
