@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import host_trust, length_histogram
+from ledgerflow.llm import byte_bpe, host_trust, length_histogram, token_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,17 @@ def op1_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_trust.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.histogram(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op7_length_histogram)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op6_token_frames, op7_length_histogram)}
 ORACLE: dict[str, str] = {"op1_host_trust": host_trust.ORACLE}
