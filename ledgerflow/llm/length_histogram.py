@@ -63,7 +63,8 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    return suffix_sums(length_counts(docs, text_col, vocabulary))
+    """The suffix sums of all documents; the counts, a row per distinct length, are kept so that texts are encoded once."""
+    return suffix_sums(length_counts(docs, text_col, vocabulary).checkpoint())
 
 
 def truncated_totals(hist: DataFrame, limits: Sequence[int]) -> DataFrame:
