@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import byte_bpe, host_trust, length_histogram, token_frames
+from ledgerflow.llm import byte_bpe, host_trust, length_histogram, token_frames, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.histogram(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op6_token_frames, op7_length_histogram)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op6_token_frames, op7_length_histogram)}
 ORACLE: dict[str, str] = {"op1_host_trust": host_trust.ORACLE}
