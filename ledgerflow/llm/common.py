@@ -15,6 +15,8 @@ _LOWER_BYTES = np.arange(256, dtype=np.uint8)
 _LOWER_BYTES[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_IS_LETTER = np.zeros(256, dtype=bool)
+_IS_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 # an odd multiplier and its inverse modulo 2^64: prefix hashes can be shifted back to a common origin
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -78,15 +80,16 @@ class Words:
 
     hash: 64-bit hash of each word's bytes; doc: index of its text; start, end: byte positions in ``buf``;
     first: index of each text's first word (len(texts) + 1 entries). A null text has no word.
+    With ``letters``, a word is a run of ASCII letters, digits and bytes of other characters instead, so that marks
+    around a word don't count.
     """
 
-    def __init__(self, texts: list, lower: bool = False):
+    def __init__(self, texts: list, lower: bool = False, letters: bool = False):
         parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
         buf = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
         if lower:
             buf = _LOWER_BYTES[buf]
-        space = _IS_SPACE[buf]
-        word = ~space
+        word = _IS_LETTER[buf] if letters else ~_IS_SPACE[buf]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         if len(word) and word[0]:
             edge = np.concatenate(([0], edge))

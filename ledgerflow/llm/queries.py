@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import byte_bpe, host_trust, length_histogram, token_frames, weak_quality
+from ledgerflow.llm import byte_bpe, decontaminate, host_trust, length_histogram, token_frames, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,5 +35,9 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.histogram(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op6_token_frames, op7_length_histogram)}
+def op9_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op6_token_frames, op7_length_histogram, op9_pigeonhole)}
 ORACLE: dict[str, str] = {"op1_host_trust": host_trust.ORACLE}
