@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import byte_bpe, decontaminate, host_trust, length_histogram, token_frames, weak_quality
+from ledgerflow.llm import byte_bpe, decontaminate, host_trust, length_histogram, line_templates, token_frames, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,5 +39,10 @@ def op9_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op6_token_frames, op7_length_histogram, op9_pigeonhole)}
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op6_token_frames, op7_length_histogram, op9_pigeonhole, op10_line_templates)}
 ORACLE: dict[str, str] = {"op1_host_trust": host_trust.ORACLE}
