@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import byte_bpe, decontaminate, host_trust, length_histogram, line_templates, token_frames, weak_quality
+from ledgerflow.llm import byte_bpe, decontaminate, host_trust, length_histogram, line_templates, near_join, token_frames, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.round_trip(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op6_token_frames, op7_length_histogram, op9_pigeonhole, op10_line_templates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op5_near_join, op6_token_frames, op7_length_histogram, op9_pigeonhole, op10_line_templates)}
 ORACLE: dict[str, str] = {"op1_host_trust": host_trust.ORACLE}
