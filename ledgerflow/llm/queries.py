@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import byte_bpe, decontaminate, host_trust, length_histogram, line_templates, near_join, token_frames, weak_quality
+from ledgerflow.llm import byte_bpe, decontaminate, host_trust, length_histogram, line_templates, near_join, tag_paths, token_frames, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.histogram(table(spark, sf_dir, "documents"))
 
 
+def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +52,5 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op5_near_join, op6_token_frames, op7_length_histogram, op9_pigeonhole, op10_line_templates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op3_byte_bpe, op4_weak_quality, op5_near_join, op6_token_frames, op7_length_histogram, op8_tag_paths, op9_pigeonhole, op10_line_templates)}
 ORACLE: dict[str, str] = {"op1_host_trust": host_trust.ORACLE}
