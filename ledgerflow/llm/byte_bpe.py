@@ -8,8 +8,8 @@ its bytes' ids and replaces the leftmost pair of lowest rank until no pair has a
 
 Words are the matches of the vocabulary's splitting pattern. Words that make up more than 1 / ``memo`` of all words
 number fewer than ``memo``: they are folded once per corpus and sent to the workers as a dictionary of that proven
-size. A document's other words are folded once per document, beside the document: texts never move between machines,
-and what is shuffled are only counts of words, added up before the shuffle. Words of more than LONG_WORD bytes (a run of
+size. Other words are folded once per chunk of CHUNK_BYTES of ids, beside the documents: texts never move between
+machines, and what is shuffled are only counts of words, added up before the shuffle. Words of more than LONG_WORD bytes (a run of
 thousands of letters or spaces, say), on which a fold takes quadratic time, are merged by the same ranks with a heap.
 
 Decoding concatenates the tokens' bytes by id.
@@ -43,6 +43,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_WORDS = 1 << 19
 LONG_WORD = 512
+CHUNK_BYTES = 8 << 20  # of ids: the documents that share a dictionary of their rarer words
 NONE = 2147483647  # the rank of a pair that doesn't merge
 EDGE = 65535  # stands before the first and after the last id of a word; merges with nothing
 
@@ -137,37 +138,47 @@ class Vocabulary:
 
     def encode_word(self, word: Column) -> Column:
         """array<int>: the ids of one word (a non-empty string)."""
-        slots, mask = _literal(self.slots, "array<bigint>"), len(self.slots) - 1
-        byte_ids = _literal(self.byte_ids, "array<int>")
+        return self._with_tables(lambda slots, byte_ids: self._fold(word, slots, byte_ids))
+
+    def encode_words(self, words: Column) -> Column:
+        """array<array<int>>: the ids of each word of an array."""
+        return self._with_tables(lambda slots, byte_ids: F.transform(words, lambda w: self._fold(w, slots, byte_ids)))
+
+    def _with_tables(self, use: Callable[[Column, Column], Column]) -> Column:
+        """Each table is one literal of the plan, bound to a variable, however often an expression reads it."""
+        return _let(_literal(self.slots, "array<bigint>"), lambda slots: _let(_literal(self.byte_ids, "array<int>"), lambda ids: use(slots, ids)))
+
+    def _fold(self, word: Column, slots: Column, byte_ids: Column) -> Column:
+        mask = F.lit(len(self.slots) - 1).cast("long")
 
         def merged(key: Column) -> Column:
             def probe(h: Column) -> Column:
-                one = F.get(slots, h.bitwiseAND(F.lit(mask).cast("long")).cast("int"))
-                two = F.get(slots, F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(mask).cast("long")).cast("int"))
-                pick = F.filter(F.array(one, two), lambda e: F.shiftright(e, 16) == key)
-                return F.coalesce(F.get(pick, F.lit(0)).bitwiseAND(F.lit(65535).cast("long")).cast("int"), F.lit(NONE))
+                one, two = F.get(slots, h.bitwiseAND(mask).cast("int")), F.get(slots, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
+                rank = lambda entry: entry.bitwiseAND(F.lit(65535).cast("long")).cast("int")
+                return F.when(F.shiftright(one, 16) == key, rank(one)).when(F.shiftright(two, 16) == key, rank(two)).otherwise(F.lit(NONE))
 
             return _let(F.xxhash64(key), probe)
 
         def pair(left: Column, right: Column) -> Column:
-            return left.cast("long") * F.lit(65536).cast("long") + right
+            return F.shiftleft(left.cast("long"), 16).bitwiseOR(right.cast("long"))
 
         def start(latin: Column) -> Column:
             own = F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.get(byte_ids, F.ascii(latin.substr(i, F.lit(1)))))
             edge = F.array(F.lit(EDGE))
-            return _let(F.concat(edge, own, edge), lambda p: F.struct(
-                p.alias("p"), F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: merged(pair(F.get(p, i), F.get(p, i + 1)))).alias("r")))
+            return _let(F.concat(edge, own, edge), lambda p: F.struct(p.alias("p"), F.transform(
+                F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), pair), merged).alias("r")))
 
         def merge(s: Column, _: Column) -> Column:
-            low = F.array_min(s.r)
+            def at(low: Column) -> Column:
+                def put(i: Column) -> Column:
+                    around = F.transform(F.array(pair(F.get(s.p, i - 2), low), pair(low, F.get(s.p, i + 1))), merged)
+                    return F.struct(
+                        F.concat(F.slice(s.p, F.lit(1), i - 1), F.array(low), F.slice(s.p, i + 2, F.size(s.p))).alias("p"),
+                        F.concat(F.slice(s.r, F.lit(1), i - 2), around, F.slice(s.r, i + 2, F.size(s.r))).alias("r"))
 
-            def at(i: Column) -> Column:
-                around = F.array(pair(F.get(s.p, i - 2), low), pair(low, F.get(s.p, i + 1)))
-                return F.struct(
-                    F.concat(F.slice(s.p, F.lit(1), i - 1), F.array(low), F.slice(s.p, i + 2, F.size(s.p))).alias("p"),
-                    F.concat(F.slice(s.r, F.lit(1), i - 2), F.transform(around, merged), F.slice(s.r, i + 2, F.size(s.r))).alias("r"))
+                return F.when(low == NONE, s).otherwise(_let(F.array_position(s.r, low).cast("int"), put))
 
-            return F.when(low == NONE, s).otherwise(_let(F.array_position(s.r, low).cast("int"), at))
+            return _let(F.array_min(s.r), at)
 
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character per byte
         return _let(latin, lambda t: F.aggregate(
@@ -210,49 +221,68 @@ def frequent_words(docs: DataFrame, memo: int, text_col: str = "text") -> DataFr
 _RADIX = 60_000
 
 
-def _resolve(vocabulary: Vocabulary, shared) -> Callable:
-    """(doc_id, words) -> (doc_id, body, rare): ids of the known words; the distinct others in order of appearance."""
+def _resolve(vocabulary: Vocabulary, shared, chunk_bytes: int) -> Callable:
+    """(doc_id, words) -> (doc_ids, bodies, rare) per chunk of documents: ids of the known words; the distinct others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, bytes] = shared.value
+        ids: list = []
+        bodies: list[bytes] = []
+        rare: dict[str, int] = {}
+        size = 0
+
+        def chunk() -> pa.RecordBatch:
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.string()))
+            return pa.record_batch([pa.array([x], k) for x, k in zip((ids, bodies, list(rare)), kinds)], names=["doc_ids", "bodies", "rare"])
+
         for b in batches:
-            bodies, rares = [], []
-            for words in b.column(1).to_pylist():
-                parts = list(map(memo.get, words))
-                rare: dict[str, int] = {}
-                if None in parts:
-                    for i, (w, part) in enumerate(zip(words, parts)):
-                        if part is None:
-                            if len(w) > LONG_WORD // 4 and len(w.encode()) > LONG_WORD:
-                                parts[i] = np.asarray(vocabulary.encode_long(w), "<u2").tobytes()
-                            else:
-                                k = rare.setdefault(w, len(rare))
-                                parts[i] = struct.pack("<HHH", EDGE, k % _RADIX, k // _RADIX)
-                bodies.append(b"".join(parts))
-                rares.append(list(rare))
-            yield pa.record_batch([b.column(0), pa.array(bodies, pa.binary()), pa.array(rares, pa.list_(pa.string()))], names=["doc_id", "body", "rare"])
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                for doc_id, words in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    parts = list(map(memo.get, words))
+                    if None in parts:
+                        for i, part in enumerate(parts):
+                            if part is None:
+                                w = words[i]
+                                if len(w) > LONG_WORD // 4 and len(w.encode()) > LONG_WORD:
+                                    parts[i] = np.asarray(vocabulary.encode_long(w), "<u2").tobytes()
+                                else:
+                                    k = rare.setdefault(w, len(rare))
+                                    parts[i] = struct.pack("<HHH", EDGE, k % _RADIX, k // _RADIX)
+                    ids.append(doc_id)
+                    bodies.append(b"".join(parts))
+                    size += len(bodies[-1]) + 16
+                    if size > chunk_bytes:
+                        yield chunk()
+                        ids, bodies, rare, size = [], [], {}, 0
+        if ids:
+            yield chunk()
 
     return run
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """(doc_id, body, rare ids) -> ids per document."""
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(doc_ids, bodies, rare ids) -> document ids and their token ids, some documents at a time."""
     for b in batches:
-        out = []
-        for body, rare in zip(b.column(1).to_pylist(), b.column(2)):
-            own = np.frombuffer(body, "<u2")
-            marks = np.flatnonzero(own == EDGE)
-            if len(marks):
-                flat = rare.values  # list<int> per word
-                values, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
-                parts, at = [], 0
-                for m in marks.tolist():
-                    k = int(own[m + 1]) + int(own[m + 2]) * _RADIX
-                    parts += [own[at:m], values[ends[k] : ends[k + 1]].astype("<u2")]
-                    at = m + 3
-                own = np.concatenate([*parts, own[at:]])
-            out.append(own)
-        yield b.column(0), out
+        for doc_ids, bodies, rare in zip(*(b.column(k) for k in range(3))):
+            flat = rare.values  # list<int> per word
+            values, ends = flat.values.to_numpy().astype("<u2"), flat.offsets.to_numpy()
+            out, ids = [], doc_ids.as_py()
+            for body in bodies.values:
+                own = np.frombuffer(body.as_buffer(), "<u2")
+                marks = np.flatnonzero(own == EDGE)
+                if len(marks):
+                    parts, at = [], 0
+                    for m, k in zip(marks.tolist(), (own[marks + 1].astype(int) + own[marks + 2].astype(int) * _RADIX).tolist()):
+                        parts += [own[at:m], values[ends[k] : ends[k + 1]]]
+                        at = m + 3
+                    own = np.concatenate([*parts, own[at:]])
+                out.append(own)
+                if len(out) == 256:
+                    yield ids[:256], out
+                    ids, out = ids[256:], []
+            if out:
+                yield ids, out
 
 
 def _bodies(docs: DataFrame, vocabulary: Vocabulary, memo: int, id_col: str, text_col: str) -> DataFrame:
@@ -263,8 +293,8 @@ def _bodies(docs: DataFrame, vocabulary: Vocabulary, memo: int, id_col: str, tex
     words = known.column("word").to_pylist()
     shared = spark.sparkContext.broadcast({w: values[ends[i] : ends[i + 1]].tobytes() for i, w in enumerate(words)})
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words"))
-    found = rows.mapInArrow(_resolve(vocabulary, shared), "doc_id long, body binary, rare array<string>")
-    return found.select("doc_id", "body", F.transform("rare", vocabulary.encode_word).alias("rare"))
+    found = rows.mapInArrow(_resolve(vocabulary, shared, CHUNK_BYTES), "doc_ids array<long>, bodies array<binary>, rare array<string>")
+    return found.select("doc_ids", "bodies", vocabulary.encode_words(F.col("rare")).alias("rare"))
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, memo: int = MEMO_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +302,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, memo: int = MEMO_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, ids in _assembled(batches):
-            yield pa.record_batch([doc_id, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.record_batch([pa.array(doc_id, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return _bodies(docs, Vocabulary.load(vocabulary), memo, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -294,7 +324,7 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY, memo: int = MEMO_WORD
         for doc_id, arrays in _assembled(batches):
             lists = [x.tolist() for x in arrays]
             yield pa.record_batch([
-                doc_id, pa.array([len(x) for x in lists], pa.int64()),
+                pa.array(doc_id, pa.int64()), pa.array([len(x) for x in lists], pa.int64()),
                 pa.array([sha(",".join([decimal[i] for i in x]).encode()) for x in lists], pa.string()),
                 pa.array([sha(b"".join([pieces[i] for i in x])) for x in lists], pa.string()),
             ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
