@@ -1,8 +1,9 @@
 """URL verdicts: host and path rules first, then trust and distrust propagated over the links between hosts.
 
 Native throughout (DataFrame operations only). Trust is personalised PageRank along links from hosts whose pages the
-allow rules fit; distrust is the same along reversed links from hosts whose pages the block rules fit. A host's seed
-is the share of its pages under such rules, so scores don't depend on how many pages a corpus has. Both are the series
+allow rules fit. Distrust runs against the links, from hosts whose pages the block rules fit to the hosts that link to
+them, and weighs by the share of the linking host's links, so it is as strong as that host's interest in blocked ones. A
+host's seed is the share of its pages under such rules, so scores don't depend on how many pages a corpus has. Both are the series
 sum of (damping * M)^k * seed, computed by moving only the last increment a step further; the increment is written to
 the shared folder at each step. Hosts are blocked where distrust reaches ``threshold`` and is above trust.
 
@@ -26,6 +27,7 @@ from ledgerflow.llm.common import lower_ascii
 Rule = tuple[str, str]
 # (verdict, host/path prefix)
 RULES: tuple[Rule, ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+SALTS = 16  # parts that the pages of one host are dealt to when they meet the host's verdict
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -57,11 +59,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float, iterations: int, tolerance: float) -> DataFrame:
     """(host, trust, distrust) of every host that either reaches. seeds: host, trust, distrust."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
-    moves = (
-        edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("share"))
-        .unionByName(edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("share")))
-    ).checkpoint()
+    shares = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
+    moves = shares.selectExpr("stack(2, 'trust', src, dst, 'distrust', dst, src) as (kind, host, to)", "share").checkpoint()
     step = seeds.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) as (kind, score)").where("score > 0").checkpoint()
     parts = [step]
     if not moves.isEmpty():
@@ -95,7 +94,10 @@ def judge_urls(
     seeds = judged.where("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(host_edges(pages, url_col, html_col), seeds, damping, iterations, tolerance)
     blocked = scores.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("by_host"))
-    return judged.join(blocked, "host", "left").select(
+    # a host may have a third of all pages: its pages meet copies of its verdict in SALTS places
+    dealt = judged.withColumn("salt", F.pmod(F.xxhash64(id_col, "path"), F.lit(SALTS)).cast("int"))
+    blocked = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(blocked, ["host", "salt"], "left").select(
         id_col, "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict")
     )
 
@@ -115,7 +117,7 @@ seeds AS (SELECT host, avg(CASE WHEN kind = 'allow' THEN 1.0 ELSE 0.0 END) AS tr
 l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?(?:https?:)?//([^/?#"''\s>]+)', 1)) AS dst FROM p),
 e AS (SELECT src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, count(*) AS n FROM l GROUP BY ALL HAVING src <> dst AND src <> ''),
 m AS (SELECT 'trust' AS kind, src AS host, dst AS goal, n / sum(n) OVER (PARTITION BY src) AS share FROM e
-      UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
+      UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY src) FROM e),
 inc(k, kind, host, score) AS (
   SELECT 0, 'trust', host, trust FROM seeds WHERE trust > 0 UNION ALL SELECT 0, 'distrust', host, distrust FROM seeds WHERE distrust > 0
   UNION ALL
