@@ -10,12 +10,12 @@ percentile here is distributed instead:
    bucket spans about 4.4 % of its values; the number of buckets is bounded by the double range, and for
    2-decimal money the distinct values in one bucket are bounded by its width, not by the row count).
    Its rows (bucket, rows, distinct values, min, max) return to the driver and locate the wanted ranks.
-3. If a located bucket still holds more than ``exact_limit`` distinct values, equal-width refinement
-   passes (distributed aggregates of at most ``buckets`` rows each) narrow it further.
-4. One running-sum window over the located bucket (at most ``exact_limit`` rows, a bound that does not
-   grow with the data) returns the values at the wanted ranks.
+3. While a located bucket holds more than ``buckets`` distinct values, an equal-width pass over it (a
+   distributed aggregate of at most ``buckets + 1`` rows) narrows it. Every pass splits the smallest value
+   from the largest, so this ends.
+4. The at most ``buckets`` value counts of a located bucket come to the driver, which finds the ranks.
 
-Interpolation is linear between the two neighbouring ranks, ``lo + (hi - lo) * frac`` with
+Infinities are values of their own buckets at either end. Interpolation is linear between the two neighbouring ranks, ``lo + (hi - lo) * frac`` with
 ``pos = p * (n - 1)``, the same rule as DuckDB's ``quantile_cont`` and pandas' default.
 
 It runs small Spark jobs when called (like ``DataFrame.approxQuantile``); the input should be a stored
@@ -29,7 +29,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,14 +51,8 @@ LOG_OFFSET = 20000  # > LOG_STEPS * 1074 (the smallest positive double is 2^-107
 def log_bucket(v: Column) -> Column:
     """A monotone (non-decreasing) integer bucket of a double: negative < 0 < positive, log-spaced."""
     mag = F.floor(F.log2(F.abs(v)) * F.lit(LOG_STEPS)) + F.lit(LOG_OFFSET)
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
-
-
-def _ranks_in(ranks: list[int], cnt_col: str = "c", start_col: str = "start") -> Column:
-    cond = F.lit(False)
-    for r in ranks:
-        cond = cond | ((F.col(start_col) <= F.lit(r)) & (F.lit(r) < F.col(start_col) + F.col(cnt_col)))
-    return cond
+    inf, end = F.lit(float("inf")), F.lit(2 * LOG_OFFSET)
+    return F.when(v == inf, end).when(v == -inf, -end).when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
 
 
 def exact_percentiles(
@@ -66,9 +60,7 @@ def exact_percentiles(
     column: str | Column,
     probs: Sequence[float],
     *,
-    exact_limit: int = 200_000,
     buckets: int = 1024,
-    max_passes: int = 32,
 ) -> dict[float, float | None]:
     """Exact, linearly interpolated percentiles of ``column`` (nulls and NaN skipped)."""
     vc = _value_counts(df, column).persist(StorageLevel.MEMORY_AND_DISK)
@@ -93,25 +85,15 @@ def exact_percentiles(
                 pending.append((float(h["lo"]), float(h["hi"]), start, int(h["d"]), mine))
             start += int(h["c"])
         found: dict[int, float] = {}
-        passes = 0
         while pending:
             lo_v, hi_v, below, distinct, ranks = pending.pop()
             inside = vc.where(F.col("v").between(lo_v, hi_v))
-            if distinct <= exact_limit or lo_v == hi_v or passes >= max_passes:
-                # bounded: at most exact_limit rows reach this single ordered window
-                w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                hits = (
-                    inside.withColumn("start", F.lit(below) + F.sum("c").over(w) - F.col("c"))
-                    .where(_ranks_in(ranks))
-                    .select("v", "c", "start")
-                    .collect()
-                )
-                for r in ranks:
-                    for h in hits:
-                        if h["start"] <= r < h["start"] + h["c"]:
-                            found[r] = float(h["v"])
+            if distinct <= buckets:
+                start = below
+                for v, c in inside.orderBy("v").select("v", "c").collect():  # at most ``buckets`` rows
+                    found.update((r, float(v)) for r in ranks if start <= r < start + c)
+                    start += int(c)
                 continue
-            passes += 1
             hist = (
                 inside.groupBy(F.width_bucket(F.col("v"), F.lit(lo_v), F.lit(hi_v), F.lit(buckets)).alias("b"))
                 .agg(
@@ -161,5 +143,6 @@ def percentile_row(
 
 
 def with_global(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach a one-row statistics frame to every row (J3): a broadcast of one row, no shuffle of ``df``."""
-    return df.crossJoin(F.broadcast(stats))
+    """Attach a statistics frame to every row (J3): a broadcast of one row, no shuffle of ``df``. Whatever
+    ``stats`` is, one row of it is attached; it should be a global aggregate."""
+    return df.crossJoin(F.broadcast(stats.limit(1)))

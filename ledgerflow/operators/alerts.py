@@ -40,12 +40,15 @@ def transform_payments(df: DataFrame, rates: DataFrame | None = None) -> DataFra
     """P21-P25 on the payment layout.
 
     amount_usd = amount × rate of the row's currency; an unknown currency gives null. The rates table is a
-    parameter with one row per currency (its size is the currency domain, not the data), so it is
-    broadcast.
+    parameter with one row per currency; a repeated currency is an error, not a repeated payment.
     """
     rates = rates if rates is not None else rates_table(df.sparkSession)
+    twice = F.raise_error(F.concat(F.lit("more than one rate for "), F.col("currency")))
+    rates = rates.groupBy("currency").agg(F.count(F.lit(1)).alias("_n"), F.first("usd_rate").alias("usd_rate")).select(
+        "currency", F.when(F.col("_n") == 1, F.col("usd_rate")).otherwise(twice.cast("double")).alias("usd_rate")
+    )
     ts = F.col("created_at")
-    out = df.join(F.broadcast(rates), "currency", "left")
+    out = df.join(rates, "currency", "left")
     return out.select(
         *df.columns,
         F.to_date(ts).alias("transaction_date"),
@@ -245,11 +248,18 @@ def with_velocity(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = V
     ``velocity_check`` = sender_velocity ≥ min_count."""
     per_step = df.groupBy("sender_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
     vel = _velocity_table(per_step, hours)
-    return df.join(vel, ["sender_id", "time_step"], "left").withColumn(
+    return _null_safe_left(df, vel, ["sender_id", "time_step"]).withColumn(
         "velocity_check", F.col("sender_velocity") >= min_count
     )
 
 
+def _null_safe_left(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which null keys are equal, as they are to a window and an aggregate."""
+    right = other.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [df[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+    return df.join(right, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def with_first_payment(df: DataFrame) -> DataFrame:
     """``first_to_receiver`` — the row is at the earliest time step of its (sender, receiver) pair."""
     return _with_first(df, _first_table(_pair_steps(df)))
@@ -257,7 +267,7 @@ def with_first_payment(df: DataFrame) -> DataFrame:
 
 def _with_first(df: DataFrame, first: DataFrame) -> DataFrame:
     return (
-        df.join(first, ["sender_id", "receiver_id"], "left")
+        _null_safe_left(df, first, ["sender_id", "receiver_id"])
         .withColumn("first_to_receiver", F.coalesce(F.col("time_step") == F.col("_first_step"), F.lit(False)))
         .drop("_first_step")
     )
@@ -268,9 +278,9 @@ def with_velocity_and_first(df: DataFrame, hours: int = VELOCITY_HOURS, min_coun
     pair's first step are joined onto that aggregate (small joins between aggregated tables), and the
     result is joined back to the rows once, on the three keys."""
     pairs = _pair_steps(df)
+    timed = _null_safe_left(pairs, _velocity_table(pairs, hours), ["sender_id", "time_step"])
     per_pair_step = (
-        pairs.join(_velocity_table(pairs, hours), ["sender_id", "time_step"], "left")
-        .join(_first_table(pairs), ["sender_id", "receiver_id"], "left")
+        _null_safe_left(timed, _first_table(pairs), ["sender_id", "receiver_id"])
         .select(
             "sender_id",
             "receiver_id",
@@ -280,7 +290,7 @@ def with_velocity_and_first(df: DataFrame, hours: int = VELOCITY_HOURS, min_coun
             F.coalesce(F.col("time_step") == F.col("_first_step"), F.lit(False)).alias("first_to_receiver"),
         )
     )
-    return df.join(per_pair_step, ["sender_id", "receiver_id", "time_step"], "left")
+    return _null_safe_left(df, per_pair_step, ["sender_id", "receiver_id", "time_step"])
 
 
 ALERT_RULES = ["suspicious_amount", "unusual_pattern", "velocity_check", "new_merchant"]

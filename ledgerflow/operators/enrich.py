@@ -8,6 +8,8 @@ one-row ``percentile_approx`` aggregate is broadcast and cross-joined (J3).
 
 from __future__ import annotations
 
+from datetime import date as Date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,12 @@ def flagged_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_flagged_fraud"))
 
 
+def rows_of_step_day(df: DataFrame, day: str, epoch: str = S.TRANSACTION_EPOCH) -> DataFrame:
+    """The rows of one day by their time steps (hours since ``epoch``): a range on a stored column."""
+    first = (Date.fromisoformat(str(day)) - Date.fromisoformat(epoch[:10])).days * 24
+    return df.where(F.col("time_step").between(first, first + 23))
+
+
 def rows_of_day(df: DataFrame, day: str, ts_col: str = "transaction_date") -> DataFrame:
     """DATE(ts) = day, written as a half-open range on the raw column so it pushes down."""
     start = F.to_timestamp_ntz(F.lit(f"{day} 00:00:00"))

@@ -82,42 +82,9 @@ MART_COLUMNS = [
 ]
 
 
-def daily_stats(partials: DataFrame) -> DataFrame:
-    """One row per date and transaction type."""
-    return partials.select(
-        "date",
-        "transaction_type",
-        "transaction_count",
-        F.col("_volume").cast("double").alias("total_volume"),
-        _ratio(F.col("_volume"), F.col("_amount_n")).alias("avg_amount"),
-        _ratio(F.col("_risk_sum"), F.col("_risk_n")).alias("avg_risk_score"),
-        "high_risk_count",
-        "critical_risk_count",
-        "unique_senders",
-        "unique_receivers",
-    )
-
-
-def daily_all_rows(partials: DataFrame) -> DataFrame:
-    """The 'ALL' row per date, built from the per-type rows (a small second-stage aggregate).
-
-    avg_amount = Σvolume / Σcount, so rows with a null amount count in the divisor. unique_senders and
-    unique_receivers are the *maximum over types*, not a distinct count over the day: that is the mart's
-    definition and is kept (a ``rollup`` would give a true distinct count and a different number).
-    avg_risk_score is the count-weighted mean of the per-type means; risk_score is never null, so it is
-    the mean over the day's rows, computed from the exact decimal sums.
-    """
-    return partials.groupBy("date").agg(
-        F.lit("ALL").alias("transaction_type"),
-        F.sum("transaction_count").alias("transaction_count"),
-        F.sum("_volume").cast("double").alias("total_volume"),
-        _ratio(F.sum("_volume"), F.sum("transaction_count")).alias("avg_amount"),
-        _ratio(F.sum("_risk_sum"), F.sum("_risk_n")).alias("avg_risk_score"),
-        F.sum("high_risk_count").alias("high_risk_count"),
-        F.sum("critical_risk_count").alias("critical_risk_count"),
-        F.max("unique_senders").alias("unique_senders"),
-        F.max("unique_receivers").alias("unique_receivers"),
-    )
+# A19, the 'ALL' row per date: avg_amount = total volume / all rows, so rows with a null amount count in the divisor;
+# avg_risk_score is the mean of the per-type means, each weighted by all rows of its type; unique_senders and
+# unique_receivers are the maximum over types, not a distinct count over the day. That is the mart's definition.
 
 
 def daily_transaction_summary(enriched: DataFrame, *, ordered: bool = True) -> DataFrame:
@@ -129,16 +96,21 @@ def daily_transaction_summary(enriched: DataFrame, *, ordered: bool = True) -> D
     they give the A19 values. A ``union`` of the two stages would plan the data aggregate twice.
     """
     partials = daily_stats_partials(staging(enriched))
-    doubled = partials.withColumn(
-        "transaction_type", F.explode(F.array(F.col("transaction_type"), F.lit("ALL")))
-    ).withColumn("_is_all", F.col("transaction_type") == "ALL")
-    g = doubled.groupBy("date", "transaction_type").agg(
-        F.first("_is_all").alias("_is_all"),
+    # a type's mean times all its rows; with no null risk that is the exact sum
+    mean_by_rows = F.when(F.col("_risk_n") == F.col("transaction_count"), F.col("_risk_sum").cast("decimal(30,12)")).otherwise(
+        (F.col("_risk_sum").cast("double") / F.nullif(F.col("_risk_n"), F.lit(0)) * F.col("transaction_count")).cast("decimal(30,12)")
+    )
+    # the flag is part of the key: a type that is itself called ALL stays apart from the total
+    doubled = partials.withColumn("_risk_all", mean_by_rows).withColumn("_is_all", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
+        "transaction_type", F.when(F.col("_is_all"), F.lit("ALL")).otherwise(F.col("transaction_type"))
+    )
+    g = doubled.groupBy("date", "transaction_type", "_is_all").agg(
         F.sum("transaction_count").alias("transaction_count"),
         F.sum("_volume").alias("_volume"),
         F.sum("_amount_n").alias("_amount_n"),
         F.sum("_risk_sum").alias("_risk_sum"),
         F.sum("_risk_n").alias("_risk_n"),
+        F.sum("_risk_all").alias("_risk_all"),
         F.sum("high_risk_count").alias("high_risk_count"),
         F.sum("critical_risk_count").alias("critical_risk_count"),
         F.max("unique_senders").alias("unique_senders"),
@@ -151,7 +123,9 @@ def daily_transaction_summary(enriched: DataFrame, *, ordered: bool = True) -> D
         F.col("transaction_count").cast("long").alias("transaction_count"),
         F.col("_volume").cast("double").alias("total_volume"),
         _ratio(F.col("_volume"), divisor).alias("avg_amount"),
-        _ratio(F.col("_risk_sum"), F.col("_risk_n")).alias("avg_risk_score"),
+        F.when(F.col("_is_all"), _ratio(F.col("_risk_all"), F.col("transaction_count")))
+        .otherwise(_ratio(F.col("_risk_sum"), F.col("_risk_n")))
+        .alias("avg_risk_score"),
         F.col("high_risk_count").cast("long").alias("high_risk_count"),
         F.col("critical_risk_count").cast("long").alias("critical_risk_count"),
         "unique_senders",

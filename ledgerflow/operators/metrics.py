@@ -185,8 +185,9 @@ def detection_stats(df: DataFrame) -> DataFrame:
 
 
 def analytics_bundle(df: DataFrame) -> dict[str, DataFrame]:
-    """A10: the read-path bundle over one persisted input (each metric would otherwise rescan it)."""
-    base = df.persist()
+    """A10: the read-path bundle. Each metric reads ``df``; a caller whose input is costly stages or
+    persists it, and releases it, itself."""
+    base = df
     return {
         "summary": summary(base),
         "transaction_types": type_distribution(base),

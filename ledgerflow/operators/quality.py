@@ -149,14 +149,11 @@ def failing_rows(df: DataFrame, checks: list[RowCheck]) -> DataFrame:
 
 
 def store_failures(df: DataFrame, checks: list[RowCheck], path: str) -> None:
-    """Write the failing rows (one scan) under ``path/check_name=...``; a re-run replaces those checks."""
-    (
-        failing_rows(df, checks)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("check_name")
-        .parquet(path)
-    )
+    """Write the failing rows (one scan) under ``path/check_name=...``; a re-run replaces all these checks,
+    those without failing rows too."""
+    from ledgerflow.sources.files import replace_partitions
+
+    replace_partitions(failing_rows(df, checks), path, "check_name", [c.name for c in checks])
 
 
 # --- the suites of the reference ----------------------------------------------------------------

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import alerts as AL
 from ledgerflow.operators import marts, metrics, quality
-from ledgerflow.operators.enrich import enrich_transactions, process_transactions
+from ledgerflow.functions.features import add_time_columns
+from ledgerflow.operators.enrich import canonical_transactions, enrich_transactions, process_transactions
 from ledgerflow.sources import fixtures
 from ledgerflow.streaming import consumer, upsert
 from ledgerflow.streaming.decode import decode_messages
@@ -48,6 +49,19 @@ def _on_scored(fn) -> Query:
     return run
 
 
+def timed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with their time columns: no percentile is computed for queries that don't read one."""
+    return add_time_columns(canonical_transactions(fixtures.transactions(spark, sf_dir)))
+
+
+def _on_timed(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(timed_transactions(spark, sf_dir))
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money_as_double(scored_transactions(spark, sf_dir))
 
@@ -111,13 +125,13 @@ def alert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AL.with_velocity(scored_transactions(spark, sf_dir)).select(
+    return AL.with_velocity(fixtures.transactions(spark, sf_dir)).select(
         "time_step", "sender_id", "receiver_id", "sender_velocity", "velocity_check"
     )
 
 
 def first_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AL.with_first_payment(scored_transactions(spark, sf_dir)).select(
+    return AL.with_first_payment(fixtures.transactions(spark, sf_dir)).select(
         "time_step", "sender_id", "receiver_id", "first_to_receiver"
     )
 
@@ -157,9 +171,10 @@ def upserted_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # processed: the messages that were stored; later ones of a partition were duplicates or not valid
     msgs = fixtures.topic_messages(spark, sf_dir)
-    read_up_to = msgs.where(F.col("timestamp") < F.lit("2024-01-25 00:00:00").cast("timestamp"))
-    return consumer.consumer_lag(read_up_to, consumer.end_offsets_of(msgs))
+    processed = consumer.process_messages(msgs).where("status = 'success'")
+    return consumer.consumer_lag(processed, consumer.end_offsets_of(msgs))
 
 
 def delay_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,13 +195,15 @@ def fraud_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerflow.operators.enrich import flagged_rows as fl
 
-    return _money_as_double(fl(scored_transactions(spark, sf_dir))).select("time_step", "sender_id", "receiver_id", "amount", "is_fraud")
+    return _money_as_double(fl(fixtures.transactions(spark, sf_dir))).select("time_step", "sender_id", "receiver_id", "amount", "is_fraud")
 
 
 def rows_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerflow.sources.files import read_transactions_for_date
+    from ledgerflow.operators.enrich import rows_of_step_day
 
-    return _money_as_double(read_transactions_for_date(scored_transactions(spark, sf_dir), "2019-03-01")).select(
+    # the day as a range of time steps: computed from line items alone, so other days never reach the joins
+    day = add_time_columns(rows_of_step_day(fixtures.transactions(spark, sf_dir), "2019-03-01"))
+    return _money_as_double(day).select(
         "time_step", "transaction_type", "sender_id", "receiver_id", "amount", "transaction_date"
     )
 
@@ -218,8 +235,10 @@ def latest_message_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerflow.sources.topics import to_events
 
-    a = fixtures.alerts(spark, sf_dir)
-    return to_events(a, "fraud_alert_created", sent_at=F.col("created_at"))
+    events = to_events(fixtures.alerts(spark, sf_dir), "fraud_alert_created", sent_at=F.col("created_at"))
+    data = "id long, transaction_id long, risk_score double, alert_type string, status string, amount double, payment_method string"
+    back = F.from_json("value", f"event_type string, timestamp string, data struct<{data.replace(' ', ':').replace(',:', ',')}>")
+    return events.select("key", "topic", back.alias("e")).select("key", "topic", "e.event_type", "e.timestamp", "e.data.*")
 
 
 QUERIES: dict[str, Query] = {
@@ -227,19 +246,19 @@ QUERIES: dict[str, Query] = {
     "p15_processed_transactions": processed_table,
     "p16_staging_flags": staging_flags,
     "a1_fraud_metrics": _on_scored(metrics.fraud_metrics_flat),
-    "a2_summary": _on_scored(metrics.summary),
-    "a3_transactions_by_step": _on_scored(metrics.transactions_by_step),
-    "a4_type_distribution": _on_scored(metrics.type_distribution),
-    "a5_amount_distribution": _on_scored(metrics.amount_distribution),
-    "a6_fraud_by_type": _on_scored(metrics.fraud_by_type),
-    "a7_fraud_amount_stats": _on_scored(metrics.fraud_amount_stats),
-    "a8_fraud_by_step": _on_scored(metrics.fraud_by_step),
-    "a9_detection_stats": _on_scored(metrics.detection_stats),
-    "a11_hourly_volume": _on_scored(metrics.hourly_volume),
-    "a12_daily_volume": _on_scored(metrics.daily_volume),
-    "a13_dashboard_metrics": _on_scored(metrics.dashboard_metrics),
+    "a2_summary": _on_timed(metrics.summary),
+    "a3_transactions_by_step": _on_timed(metrics.transactions_by_step),
+    "a4_type_distribution": _on_timed(metrics.type_distribution),
+    "a5_amount_distribution": _on_timed(metrics.amount_distribution),
+    "a6_fraud_by_type": _on_timed(metrics.fraud_by_type),
+    "a7_fraud_amount_stats": _on_timed(metrics.fraud_amount_stats),
+    "a8_fraud_by_step": _on_timed(metrics.fraud_by_step),
+    "a9_detection_stats": _on_timed(metrics.detection_stats),
+    "a11_hourly_volume": _on_timed(metrics.hourly_volume),
+    "a12_daily_volume": _on_timed(metrics.daily_volume),
+    "a13_dashboard_metrics": _on_timed(metrics.dashboard_metrics),
     "a15_percentile_lines": percentile_lines,
-    "a16_type_totals_vs_fraud": _on_scored(metrics.type_totals_vs_fraud),
+    "a16_type_totals_vs_fraud": _on_timed(metrics.type_totals_vs_fraud),
     "a17_daily_report": daily_report,
     "a20_daily_transaction_summary": daily_transaction_summary,
     "a23_null_counts": _on_scored(metrics.null_counts),

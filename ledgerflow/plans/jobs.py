@@ -3,7 +3,7 @@
 Each job is one Spark lineage per output, cut by writing: what a job writes is what its next step reads
 (column-pruned Parquet), so a lost executor re-runs at most the stage that was running, never the whole
 chain, and nothing is cached across steps. Re-running a job for the same date(s) replaces exactly those
-date partitions (dynamic partition overwrite).
+date partitions, also by nothing where the input has no rows for a date any more.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow.operators import marts, metrics, quality
 from ledgerflow.operators.enrich import canonical_transactions, enrich_transactions, process_transactions
@@ -25,11 +26,12 @@ def _yesterday() -> str:
     return (datetime.now() - timedelta(days=1)).date().isoformat()
 
 
-def _stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared work folder and read it back (lineage cut, pruned re-reads)."""
+def _stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared work folder and read it back (lineage cut, pruned re-reads). The caller
+    removes the folder, the second value."""
     path = work_path(df.sparkSession, "staging", name, unique=True)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
 # --- D1 ------------------------------------------------------------------------------------------
@@ -45,10 +47,11 @@ def daily_lake_etl(spark: SparkSession, source: DataFrame, lake_root: str, run_d
     row with status ``error`` instead of raising.
     """
     day = run_date or _yesterday()
+    folder = None
     try:
         base = canonical_transactions(source)
         if stage_input:
-            base = _stage(base, "d1-input")
+            base, folder = _stage(base, "d1-input")
         p95 = exact_percentiles(base, "amount", [0.95])[0.95]
         enriched = enrich_transactions(base, p95=p95)
         rows_path = f"{lake_root.rstrip('/')}/paysim_transactions"
@@ -60,8 +63,11 @@ def daily_lake_etl(spark: SparkSession, source: DataFrame, lake_root: str, run_d
         return metrics.job_result(stored, status="success", run_date=day)
     except Exception as e:  # the job reports instead of raising, like the reference
         return spark.createDataFrame(
-            [("error", day, str(e)[:2000])], "status string, date string, error string"
+            [("error", day, str(e))], "status string, date string, error string"
         ).withColumn("date", F.to_date("date"))
+    finally:
+        if folder:
+            files.remove_path(spark, folder)
 
 
 # --- D2 ------------------------------------------------------------------------------------------
@@ -75,26 +81,32 @@ def daily_warehouse_job(spark: SparkSession, transactions: DataFrame, warehouse_
     root = warehouse_root.rstrip("/")
     rows = files.read_transactions_for_date(transactions, day)
     processed = process_transactions(rows, processed_at=now).withColumn("date", F.to_date("transaction_date"))
-    files.write_lake_by(processed, f"{root}/transactions_processed")
-    stored = spark.read.parquet(f"{root}/transactions_processed").where(F.col("date") == F.lit(day).cast("date"))
-    files.write_lake_by(
-        marts.daily_transaction_summary(stored, ordered=False), f"{root}/daily_transaction_summary"
-    )
+    stored = _load_days(spark, processed, root, [day])
     checks = quality.transaction_checks(stored)
     quality.store_failures(stored.withColumn("run_date", F.lit(day)), checks, f"{root}/dq_failures/run_date={day}")
-    quality.transaction_quality(stored).withColumn("date", F.lit(day).cast("date")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("date").parquet(f"{root}/dq_results")
+    results = quality.transaction_quality(stored).withColumn("date", F.lit(day).cast("date"))
+    files.replace_partitions(results, f"{root}/dq_results", "date", [day])
     return metrics.daily_report(stored, day, generated_at=now)
 
 
+def _load_days(spark: SparkSession, processed: DataFrame, root: str, days: list[str]) -> DataFrame:
+    """Replace the declared days of the processed table and of the mart; the days' stored rows."""
+    files.replace_partitions(processed, f"{root}/transactions_processed", "date", days)
+    schema = T.StructType([*[f for f in processed.schema.fields if f.name != "date"], T.StructField("date", T.DateType())])
+    first, last = F.lit(days[0]).cast("date"), F.lit(days[-1]).cast("date")
+    stored = spark.read.schema(schema).parquet(f"{root}/transactions_processed").where(F.col("date").between(first, last))
+    mart = marts.daily_transaction_summary(stored, ordered=False)
+    files.replace_partitions(mart, f"{root}/daily_transaction_summary", "date", days)
+    return stored
+
+
 # --- D3 ------------------------------------------------------------------------------------------
 
 
 def backfill(spark: SparkSession, transactions: DataFrame, warehouse_root: str, start: str, end: str,
              *, now=None) -> DataFrame:
     """D3: the inclusive date range as one job (not a loop of daily jobs): processed rows and mart rows of
-    every date are written with dynamic partition overwrite, then one status row per date:
+    every date replace what is stored, its failing rows are stored, then one status row per date:
     ``success``, ``empty`` (no rows) or ``failed`` (an error-level quality check), with its counts.
     """
     root = warehouse_root.rstrip("/")
@@ -103,11 +115,10 @@ def backfill(spark: SparkSession, transactions: DataFrame, warehouse_root: str,
     ts = F.col("transaction_date")
     rows = transactions.where((ts >= lo) & (ts < hi))
     processed = process_transactions(rows, processed_at=now).withColumn("date", F.to_date(ts))
-    files.write_lake_by(processed, f"{root}/transactions_processed")
-    stored = spark.read.parquet(f"{root}/transactions_processed").where(
-        F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    )
-    files.write_lake_by(marts.daily_transaction_summary(stored, ordered=False), f"{root}/daily_transaction_summary")
+    days = files.days_between(start, end)
+    stored = _load_days(spark, processed, root, days)
+    failing = quality.failing_rows(stored, quality.transaction_checks(stored))
+    files.replace_partitions(failing, f"{root}/dq_failures_by_date", "date", days)
     return backfill_status(stored, start, end)
 
 

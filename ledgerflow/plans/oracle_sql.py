@@ -282,7 +282,7 @@ alerts AS (
     ['suspicious_amount', 'new_merchant', 'unusual_pattern', 'high_risk_location', 'velocity_check', 'device_mismatch'][event_id % 6 + 1] AS alert_type,
     ['open', 'investigating', 'resolved', 'false_positive', 'confirmed_fraud'][event_id % 5 + 1] AS status,
     ts AS created_at, CAST(CAST(value AS DECIMAL(18,2)) * 50 AS DOUBLE) AS amount, event_type AS payment_method
-  FROM events WHERE event_id % 7 = 0
+  FROM events
 )"""
 
 AMOUNT_CATEGORY_SQL = """CASE WHEN amount IS NULL OR amount <= 0 THEN NULL WHEN amount <= 100 THEN 'small'
@@ -509,8 +509,8 @@ ORACLE.update(
             MESSAGES,
             body="""SELECT e.topic, e."partition", e.end_offset - coalesce(d.last_offset, 0) AS lag
                 FROM (SELECT topic, "partition", MAX("offset") + 1 AS end_offset FROM msgs GROUP BY 1, 2) e
-                LEFT JOIN (SELECT topic, "partition", MAX("offset") AS last_offset FROM msgs
-                           WHERE message_timestamp < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2) d
+                LEFT JOIN (SELECT topic, "partition", MAX("offset") AS last_offset FROM final
+                           WHERE status = 'success' GROUP BY 1, 2) d
                 ON e.topic = d.topic AND e."partition" = d."partition" """,
         ),
         "t8_delay_histogram": with_ctes(
@@ -557,3 +557,11 @@ ORACLE.update(
         ),
     }
 )
+
+# The events' fields, read back from their JSON
+ORACLE["t9_alert_events"] = with_ctes(
+    ALERTS,
+    body="""SELECT CAST(id AS VARCHAR) AS key, 'fintech-fraud-alerts' AS topic, 'fraud_alert_created' AS event_type,
+          strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, id, transaction_id, risk_score, alert_type, status, amount, payment_method
+        FROM alerts""",
+)

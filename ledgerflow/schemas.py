@@ -97,7 +97,6 @@ UPSERT_FIELDS = [
     "is_flagged_fraud",
     "risk_score",
 ]
-TOPICS = ["transactions", "fraud-alerts", "users", "merchants", "risk-scores", "compliance"]
 
 # currency rates for amount_usd by currency (a parameter table; these are the defaults)
 DEFAULT_RATES = {"USD": 1.0, "EUR": 1.1, "GBP": 1.3}

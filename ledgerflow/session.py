@@ -2,7 +2,7 @@
 
 On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/ABFS); every lineage cut and every
 table the library writes for itself goes below it. A machine-local temporary folder is only used when the
-setting is absent, which is the case in unit tests.
+setting is absent and the master is local, as in unit tests; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # unit tests only: no cluster folder was named
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

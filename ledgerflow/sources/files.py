@@ -1,9 +1,9 @@
 """File and table sources and sinks.
 
 * Every read has an explicit schema (no inference).
-* The lake is Parquet partitioned by ``date``; a re-run replaces only the dates it writes
-  (``partitionOverwriteMode=dynamic``, set per write so a session default cannot turn it into a full
-  overwrite).
+* The lake is Parquet partitioned by ``date``. A job declares the dates it replaces: its rows are written to a
+  hidden folder beside the partitions and moved in date by date, and a declared date without rows loses its
+  old partition (``replace_partitions``).
 * Date filters are half-open ranges on the raw timestamp column, so they reach the Parquet scan as
   pushed filters; on a date-partitioned lake they prune partitions.
 """
@@ -11,7 +11,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Sequence
 from datetime import date as Date
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +27,17 @@ from ledgerflow.operators.enrich import rows_of_day
 
 
 def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = S.RAW_TRANSACTION) -> DataFrame:
-    """Header CSV with the raw PaySim schema (by position, so either spelling of the sender's new
-    balance header is accepted). A missing path fails when the read is planned."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("enforceSchema", True)
-        .csv(path)
-    )
+    """CSV files with a header, read by the header's names in whatever order they stand. Known columns
+    (in either spelling) get their types, others pass through as text; a missing path fails at once. All
+    files must have the same header, which Spark checks."""
+    header = spark.read.text(path).first()
+    if header is None:
+        return spark.createDataFrame([], schema)
+    names = spark.read.option("header", False).csv(spark.sparkContext.parallelize([header[0]])).first()
+    types = {f.name: f.dataType for f in schema.fields}
+    either = {"newbalanceOrig": "newbalanceOrg", "newbalanceOrg": "newbalanceOrig"}
+    in_file = T.StructType([T.StructField(n, types.get(n, types.get(either.get(n), T.StringType()))) for n in names])
+    return spark.read.schema(in_file).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 
 
 def read_transactions_for_date(df: DataFrame, day: str | Date, ts_col: str = "transaction_date") -> DataFrame:
@@ -74,45 +79,95 @@ def read_seed(spark: SparkSession, path: str, types: dict[str, str]) -> DataFram
 # --- writes --------------------------------------------------------------------------------------
 
 
+def _files(spark: SparkSession, path: str):
+    """(Hadoop file system, its path class) for a path; errors of the store are raised, never taken for absence."""
+    path_class = spark._jvm.org.apache.hadoop.fs.Path
+    return path_class(path).getFileSystem(spark._jsc.hadoopConfiguration()), path_class
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, path_class = _files(spark, path)
+    return fs.exists(path_class(path))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, path_class = _files(spark, path)
+    fs.delete(path_class(path), True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; an absent folder is empty."""
+    fs, path_class = _files(spark, path)
+    if not fs.exists(path_class(path)):
+        return []
+    return [x.getPath().getName() for x in fs.listStatus(path_class(path))]
+
+
+def replace_partitions(df: DataFrame, path: str, column: str, values: Sequence[str]) -> None:
+    """Make the partitions ``column=value`` of the declared values hold exactly ``df``'s rows; other partitions stay.
+
+    The rows are written first, so a failed write leaves everything as it was. Rows of values that weren't declared
+    are an error."""
+    spark = df.sparkSession
+    root = path.rstrip("/")
+    staging = f"{root}/_staging-{uuid.uuid4().hex[:12]}"  # readers skip names that start with an underscore
+    df.write.partitionBy(column).parquet(staging)
+    try:
+        fs, path_class = _files(spark, root)
+        written = {n for n in list_names(spark, staging) if n.startswith(f"{column}=")}
+        declared = [f"{column}={v}" for v in values]
+        if not written <= set(declared):
+            raise ValueError(f"rows of partitions that weren't declared: {sorted(written - set(declared))}")
+        for name in declared:
+            fs.delete(path_class(f"{root}/{name}"), True)
+            if name in written and not fs.rename(path_class(f"{staging}/{name}"), path_class(f"{root}/{name}")):
+                raise OSError(f"can't move {name} into {root}")
+    finally:
+        remove_path(spark, staging)
+
+
+def days_between(start: str | Date, end: str | Date) -> list[str]:
+    first, last = Date.fromisoformat(str(start)), Date.fromisoformat(str(end))
+    return [(first + timedelta(days=i)).isoformat() for i in range((last - first).days + 1)]
+
+
 def write_lake(df: DataFrame, path: str, run_date: str | Date) -> str:
-    """Write ``df`` under ``path/date=YYYY-MM-DD/``; re-running the same date replaces it, other
-    dates stay. Returns the partition path."""
+    """Write ``df`` under ``path/date=YYYY-MM-DD/``; re-running the same date replaces it, also by nothing;
+    other dates stay. Returns the partition path."""
     day = str(run_date)
-    (
-        df.withColumn("date", F.lit(day))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date")
-        .parquet(path)
-    )
+    replace_partitions(df.withColumn("date", F.lit(day)), path, "date", [day])
     return f"{path.rstrip('/')}/date={day}"
 
 
-def write_lake_by(df: DataFrame, path: str, partition_col: str = "date") -> None:
-    """S6 for many dates at once (backfill): dynamic overwrite of exactly the dates present in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path)
+def _fitted(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The DDL's columns (what doesn't fit is null), the row's own columns as ``own``, and ``rejected``."""
+    there = [f for f in schema.fields if f.name in df.columns]
+    unfit = F.array_compact(F.array(*[
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value")))
+        for f in there
+    ]))
+    cols = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f in there else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return df.select(*cols, F.struct(*df.columns).alias("own"), unfit.alias("rejected"))
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast to a fixed DDL. Values that do not fit (e.g. a ratio over DECIMAL(5,4)) become null through
-    ``try_cast`` instead of failing the load; the quality checks report them."""
-    cols = []
-    for f in schema.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Split rows by whether they fit a fixed DDL: (rows cast to it, rejected rows). A rejected row keeps all its
+    own columns and lists in ``rejected`` each column that doesn't fit (e.g. a ratio over DECIMAL(5,4)) with its
+    value as text. Columns that the input lacks are null."""
+    fitted = _fitted(df, schema)
+    return fitted.where(F.size("rejected") == 0).select(*schema.names), fitted.where(F.size("rejected") > 0).select("own.*", "rejected")
 
 
 def append_processed(df: DataFrame, path: str, schema: T.StructType = S.PROCESSED_TRANSACTION,
                      partition_col: str | None = "transaction_day") -> bool:
-    """Append to a table with a fixed DDL, creating it when absent; empty input writes nothing.
-    Returns whether anything was written."""
-    out = conform(df, schema)
-    if out.isEmpty():
+    """Append to a table with a fixed DDL, creating it when absent; empty input writes nothing. Rows that don't
+    fit the DDL go to ``<path>_rejected`` with the columns and values that don't. Returns whether the table got rows."""
+    good, rejected = conform(df, schema)
+    if not rejected.isEmpty():
+        rejected.write.mode("append").parquet(f"{path.rstrip('/')}_rejected")
+    if good.isEmpty():
         return False
-    w = out.write.mode("append")
+    w = good.write.mode("append")
     if partition_col:
         w = w.partitionBy(partition_col)
     w.parquet(path)
@@ -138,11 +193,20 @@ def materialize(df: DataFrame, name: str, kind: str = "view", path: str | None =
 
 
 def append_transactions(df: DataFrame, path: str) -> DataFrame:
-    """Insert new transaction rows after the validity check of the stream (T3); returns the rows
-    that were rejected with the reason."""
+    """Insert new transaction rows after the stream's classification (T3). A row is ``invalid`` where the validity
+    rule fails and ``error`` where a value doesn't fit its type; such rows are written to ``<path>_rejected`` with
+    their reason and returned from there, so a later change of the input doesn't change them."""
     from ledgerflow.functions.features import is_valid_transaction
+    from ledgerflow.session import work_path
 
-    checked = df.withColumn("_valid", is_valid_transaction(df))
-    good = checked.where("_valid").drop("_valid")
-    conform(good, S.TRANSACTION).write.mode("append").parquet(path)
-    return checked.where(~F.col("_valid")).drop("_valid").withColumn("reason", F.lit("invalid"))
+    spark = df.sparkSession
+    fitted = _fitted(df, S.TRANSACTION)
+    valid = F.coalesce(is_valid_transaction(fitted), F.lit(False))
+    tagged = fitted.withColumn("reason", F.when(F.size("rejected") > 0, F.lit("error")).when(~valid, F.lit("invalid")))
+    tagged.where("reason is null").select(*S.TRANSACTION.names).write.mode("append").parquet(path)
+    bad = tagged.where("reason is not null").select("own.*", "reason")
+    out = work_path(spark, "rejected", unique=True)
+    bad.write.parquet(out)
+    stored = spark.read.schema(bad.schema).parquet(out)
+    stored.write.mode("append").parquet(f"{path.rstrip('/')}_rejected")
+    return stored

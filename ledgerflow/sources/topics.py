@@ -27,18 +27,18 @@ TOPIC_COLUMNS = ["key", "value", "topic", "partition", "offset", "timestamp"]
 
 
 def read_topic(spark: SparkSession, bootstrap_servers: str, topic: str, *, starting_offsets: str = "earliest",
-               max_offsets_per_trigger: int | None = None, **options: str) -> DataFrame:
+               max_offsets_per_trigger: int, **options: str) -> DataFrame:
     """A streaming read of one topic from the earliest offset, key and value as text. Progress lives
-    in the query's checkpoint (replaces the consumer's auto-commit)."""
+    in the query's checkpoint (replaces the consumer's auto-commit). A micro-batch takes at most
+    ``max_offsets_per_trigger`` messages. Offsets that the broker no longer has fail the query; a caller
+    who accepts the loss says so (``failOnDataLoss="false"``)."""
     r = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", bootstrap_servers)
         .option("subscribe", topic)
         .option("startingOffsets", starting_offsets)
-        .option("failOnDataLoss", "false")
+        .option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     )
-    if max_offsets_per_trigger:
-        r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     for k, v in options.items():
         r = r.option(k, v)
     return r.load().select(
@@ -51,29 +51,29 @@ def read_topic(spark: SparkSession, bootstrap_servers: str, topic: str, *, start
     )
 
 
-def read_topic_files(spark: SparkSession, path: str, *, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    """The same message columns from files (a stand-in source where no broker is reachable)."""
-    r = spark.readStream.schema(S.TOPIC_MESSAGE).format(fmt)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+def read_topic_files(spark: SparkSession, path: str, *, fmt: str = "parquet", max_files_per_trigger: int = 100) -> DataFrame:
+    """The same message columns from files (a stand-in source where no broker is reachable), at most
+    ``max_files_per_trigger`` files in a micro-batch."""
+    r = spark.readStream.schema(S.TOPIC_MESSAGE).format(fmt).option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.load(path)
 
 
 def message_key(key: Column, topic: Column, partition: Column, offset: Column) -> Column:
-    """P35 on read: the message key, or ``topic-partition-offset`` when it is null. Unlike a random uuid
+    """P35 on read: the message key, or ``topic-partition-offset`` when it is null or empty. Unlike a random uuid
     it is the same on a replay, and never equal to another message's."""
-    return F.coalesce(key, F.concat_ws("-", topic, partition.cast("string"), offset.cast("string")))
+    return F.coalesce(F.nullif(key, F.lit("")), F.concat_ws("-", topic, partition.cast("string"), offset.cast("string")))
 
 
 def event_key(df: DataFrame, key_col: str | None) -> Column:
-    """P35 on write: the key column as text, ``unknown`` when absent or null."""
+    """P35 on write: the key column as text, ``unknown`` when absent or null; an empty text is no key."""
     if key_col and key_col in df.columns:
-        return F.coalesce(F.col(key_col).cast("string"), F.lit(UNKNOWN_KEY))
+        return F.nullif(F.coalesce(F.col(key_col).cast("string"), F.lit(UNKNOWN_KEY)), F.lit(""))
     return F.lit(UNKNOWN_KEY)
 
 
 def to_events(df: DataFrame, event_type: str, key_col: str | None = None, *, sent_at: Column | None = None) -> DataFrame:
-    """One envelope per row, ``{"event_type", "timestamp", "data": {row}}``, with its key and topic."""
+    """One envelope per row, ``{"event_type", "timestamp", "data": {row}}``, with its key and topic.
+    Null fields stay in the data as nulls, as a consumer tells null from absent."""
     topic, default_key = EVENTS.get(event_type, (event_type, "id"))
     ts = sent_at if sent_at is not None else F.current_timestamp()
     envelope = F.struct(
@@ -83,7 +83,7 @@ def to_events(df: DataFrame, event_type: str, key_col: str | None = None, *, sen
     )
     return df.select(
         event_key(df, key_col or default_key).alias("key"),
-        F.to_json(envelope).alias("value"),
+        F.to_json(envelope, {"ignoreNullFields": "false"}).alias("value"),
         F.lit(TOPIC_PREFIX + topic).alias("topic"),
     )
 

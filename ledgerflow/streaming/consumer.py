@@ -61,17 +61,20 @@ def start_transaction_stream(
     store_root: str,
     checkpoint: str,
     *,
+    state_ttl_ms: int,
     available_now: bool = True,
     processing_time: str | None = None,
-    state_ttl_ms: int | None = None,
     now: Column | None = None,
+    statuses: bool = False,
 ):
-    """Start the stream job; returns the StreamingQuery.
+    """Start the stream job; returns the StreamingQuery. ``state_ttl_ms`` is how long a key is remembered;
+    the source bounds a micro-batch (``max_offsets_per_trigger``, ``max_files_per_trigger``).
 
     Only four columns pass through the keyed state operator (message key, offset, decode status and the
     raw value); the fields of the successful messages are decoded again, JVM-side, inside the batch.
     Per micro-batch: the batch is persisted once, its status counts are written to
-    ``<store_root>/status_counts/batch=<id>`` and its successes are upserted into the store.
+    ``<store_root>/status_counts/batch=<id>`` and its successes are upserted into the store; with ``statuses``
+    every message's final status is kept as well.
     """
     narrow = decode_messages(source, carry=["value"]).select("message_key", "offset", "status", "value")
     deduped = dedup_stream(narrow, state_ttl_ms=state_ttl_ms)
@@ -86,6 +89,8 @@ def start_transaction_stream(
                 .write.mode("overwrite")
                 .parquet(f"{store_root}/status_counts/batch={batch_id}")
             )
+            if statuses:
+                batch.select("message_key", "offset", "status").write.mode("overwrite").parquet(f"{store_root}/statuses/batch={batch_id}")
             successes = batch.where(F.col("status") == "success").select(
                 F.col("message_key").alias("key"),
                 "value",
@@ -99,11 +104,16 @@ def start_transaction_stream(
             batch.unpersist()
 
     w = deduped.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
-    if processing_time:
-        w = w.trigger(processingTime=processing_time)
-    elif available_now:
-        w = w.trigger(availableNow=True)
-    return w.start()
+    if processing_time or not available_now:
+        return (w.trigger(processingTime=processing_time) if processing_time else w).start()
+    # state with a processing-time timeout asks for batches without data for ever; a run over what is there has none
+    conf, name = source.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return w.trigger(availableNow=True).start()  # the query keeps the settings that it starts with
+    finally:
+        conf.set(name, before)
 
 
 def lag_from_progress(progress: dict) -> list[dict]:

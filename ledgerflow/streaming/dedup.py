@@ -7,7 +7,7 @@ offsets order its messages.
 
 Batch form: the first good offset per key is an aggregate (map-side combined, so a key with a third of
 all messages is one partial row per task), joined back on the key. Stream form: the same rule with the
-"seen" flag in the state store (``applyInPandasWithState``); a state timeout bounds the state (the
+"seen" flag in the state store (``applyInPandasWithState``); a required state timeout bounds the state (the
 reference keeps an unbounded in-memory set that a restart loses); a duplicate arriving after its key
 expired is admitted and then absorbed by the idempotent upsert.
 """
@@ -59,7 +59,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "offset", *,
 # --- stream form --------------------------------------------------------------------------------
 
 
-def _dedup_fn(ttl_ms: int | None):
+def _dedup_fn(ttl_ms: int):
     def dedup_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -81,25 +81,23 @@ def _dedup_fn(ttl_ms: int | None):
         pdf = pdf.assign(status=statuses)
         if seen:
             state.update((True,))
-            if ttl_ms:
-                state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutDuration(ttl_ms)
         yield pdf
 
     return dedup_group
 
 
-def dedup_stream(classified: DataFrame, *, state_ttl_ms: int | None = None) -> DataFrame:
+def dedup_stream(classified: DataFrame, *, state_ttl_ms: int) -> DataFrame:
     """T4: the W1 rule across micro-batches, keyed state per message key.
 
     Each call gets one key's messages of one micro-batch, bounded by the trigger's batch size
     (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``), never the key's whole history. Pass narrow rows:
     the per-call cost of the state operator grows with the number of columns it converts.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if state_ttl_ms else GroupStateTimeout.NoTimeout
     return classified.groupBy("message_key").applyInPandasWithState(
-        _dedup_fn(int(state_ttl_ms) if state_ttl_ms else None),
+        _dedup_fn(int(state_ttl_ms)),
         outputStructType=classified.schema,
         stateStructType="seen boolean",
         outputMode="append",
-        timeoutConf=timeout,
+        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
     )

@@ -1,15 +1,17 @@
 """Idempotent upsert of transactions on (time_step, sender_id, receiver_id).
 
-Without a table format that has MERGE, the stored table is Parquet partitioned by ``day`` (time_step div
-``grain_steps``, 24 by default) and versioned per batch:
+Without a table format that has MERGE, the stored table is a log of collapsed changes with a compacted base:
 
-    <root>/data/v=<batch_id>/day=<d>/...   rows of day d as of that batch
-    <root>/pointer/batch=<batch_id>/...    (day, v): the version that is current for each day
+    <root>/changes/batch=<id>/   the latest row per key of that micro-batch, stamped with the batch's time
+    <root>/base/upto=<id>/       all changes up to that batch, one row per key
 
-A batch rewrites only the days it touches: it reads the current version of those days, merges, writes
-them as version ``v=batch_id`` and writes the new pointer. Re-running the same batch id (after a failure)
-reads the pointer of the batches before it and overwrites its own outputs, so it is idempotent; the
-pointer is the commit. The pointer has one row per day (bounded by the calendar, not by the data).
+A folder counts once Spark's commit marker ``_SUCCESS`` stands in it. A micro-batch writes only its own changes, so
+its cost doesn't depend on how much was stored before; a batch that is already committed is not written again, so a
+replay changes nothing, its times included. Reading takes the latest change per key. ``compact`` folds the changes
+into a new base and removes what the base replaces; run it from time to time, apart from the stream (one writer).
+
+A folder is looked up by name in the store's file system; a failed lookup or read fails the batch, and nothing that
+is stored is ever rewritten on the strength of a failed read.
 Where a MERGE-capable table format is available, ``DataFrame.mergeInto`` does the same in place.
 """
 
@@ -20,106 +22,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow import schemas as S
-from ledgerflow.functions.features import floor_div
+from ledgerflow.sources.files import list_names, path_exists, remove_path
 from ledgerflow.streaming.dedup import latest_per_key
 
 TABLE_COLUMNS = [f.name for f in S.STORED_TRANSACTION.fields]
-POINTER_SCHEMA = "day int, v long"
+LOG_SCHEMA = T.StructType(S.STORED_TRANSACTION.fields + [T.StructField("offset", T.LongType()), T.StructField("batch", T.LongType())])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - absent path
-        return False
+def _committed(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the committed folders ``<name>=<number>``."""
+    found = [int(n.split("=", 1)[1]) for n in list_names(spark, folder) if n.startswith(f"{name}=")]
+    return sorted(n for n in found if path_exists(spark, f"{folder}/{name}={n}/_SUCCESS"))
+
+
+def _log(spark: SparkSession, root: str, upto: int | None = None) -> tuple[DataFrame, int]:
+    """The base's rows and all later changes, and the number of the last batch among them (-1: none)."""
+    bases = [n for n in _committed(spark, f"{root}/base", "upto") if upto is None or n <= upto]
+    base = bases[-1] if bases else -1
+    batches = [n for n in _committed(spark, f"{root}/changes", "batch") if n > base and (upto is None or n <= upto)]
+    paths = [f"{root}/base/upto={base}"] * bool(bases) + [f"{root}/changes/batch={n}" for n in batches]
+    if not paths:
+        return spark.createDataFrame([], LOG_SCHEMA), -1
+    return spark.read.schema(LOG_SCHEMA).parquet(*paths), max([base, *batches])
+
 
+def _latest(log: DataFrame) -> DataFrame:
+    """One row per key: the last change's values, the first one's created_at, the last one's updated_at."""
+    values = [c for c in LOG_SCHEMA.names if c not in S.UPSERT_KEY and c not in ("created_at", "updated_at")]
+    order = F.struct("batch", "offset")
+    return (
+        log.groupBy(*S.UPSERT_KEY)
+        .agg(F.max_by(F.struct(*values), order).alias("_row"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+        .select(*S.UPSERT_KEY, "_row.*", "created_at", "updated_at")
+    )
 
-def current_pointer(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
-    """(day, v) of the latest committed batch (before ``before_batch`` when given)."""
-    ptr_path = f"{root}/pointer"
-    if not _exists(spark, ptr_path):
-        return spark.createDataFrame([], POINTER_SCHEMA)
-    ptr = spark.read.parquet(ptr_path)
-    if before_batch is not None:
-        ptr = ptr.where(F.col("batch") < before_batch)
-    last = ptr.agg(F.max("batch").alias("b")).first()["b"]
-    if last is None:
-        return spark.createDataFrame([], POINTER_SCHEMA)
-    return ptr.where(F.col("batch") == last).select("day", "v")
-
-
-def read_table(spark: SparkSession, root: str, *, days: list[int] | None = None,
-               before_batch: int | None = None) -> DataFrame:
-    """The current rows (optionally only some days): one path per (version, day), so only those
-    partitions are listed and read."""
-    ptr = current_pointer(spark, root, before_batch)
-    if days is not None:
-        ptr = ptr.where(F.col("day").isin(days))
-    entries = ptr.collect()  # one row per day at most
-    schema = T.StructType(S.STORED_TRANSACTION.fields + [T.StructField("day", T.IntegerType())])
-    if not entries:
-        return spark.createDataFrame([], schema)
-    paths = [f"{root}/data/v={r['v']}/day={r['day']}" for r in entries]
-    df = spark.read.option("basePath", f"{root}/data").schema(
-        T.StructType(schema.fields + [T.StructField("v", T.LongType())])
-    ).parquet(*paths)
-    return df.select(*TABLE_COLUMNS, "day")
-
-
-def merge_rows(current: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """J4 on two frames: insert new keys; for existing keys overwrite the nine value fields and
-    updated_at, keep created_at."""
-    k = S.UPSERT_KEY
-    t = current.select(*k, *[F.col(c).alias(f"t_{c}") for c in TABLE_COLUMNS if c not in k], F.lit(True).alias("_in_t"))
-    b = updates.select(*k, *[F.col(c).alias(f"b_{c}") for c in S.UPSERT_FIELDS], F.lit(True).alias("_in_b"))
-    j = t.join(b, k, "full_outer")
-    in_b = F.coalesce(F.col("_in_b"), F.lit(False))
-    in_t = F.coalesce(F.col("_in_t"), F.lit(False))
-    cols = []
-    for c in TABLE_COLUMNS:
-        if c in k:
-            cols.append(F.col(c))
-        elif c in S.UPSERT_FIELDS:
-            cols.append(F.when(in_b, F.col(f"b_{c}")).otherwise(F.col(f"t_{c}")).alias(c))
-        elif c == "created_at":
-            cols.append(F.when(in_t, F.col("t_created_at")).otherwise(now).alias(c))
-        elif c == "updated_at":
-            cols.append(F.when(in_b, now).otherwise(F.col("t_updated_at")).alias(c))
-    return j.select(*cols)
-
-
-def upsert_batch(successes: DataFrame, root: str, batch_id: int, *, now: Column | None = None,
-                 grain_steps: int = 24) -> int:
-    """T5: apply one micro-batch of successful messages; returns the number of partitions rewritten.
-
-    ``grain_steps`` is the partition width in time steps (hours): 24 gives daily partitions; a busy
-    stream whose batches all land in the current hour rewrites less with 1. Keep it fixed per store."""
+
+def read_table(spark: SparkSession, root: str) -> DataFrame:
+    """The current rows of the store."""
+    return _latest(_log(spark, root)[0]).select(*TABLE_COLUMNS)
+
+
+def upsert_batch(successes: DataFrame, root: str, batch_id: int, *, now: Column | None = None) -> bool:
+    """T5: add one micro-batch of successful messages; False if that batch is stored already."""
     spark = successes.sparkSession
+    path = f"{root}/changes/batch={batch_id}"
+    bases = _committed(spark, f"{root}/base", "upto")
+    if (bases and bases[-1] >= batch_id) or path_exists(spark, f"{path}/_SUCCESS"):
+        return False
     now = now if now is not None else F.current_timestamp()
     latest = latest_per_key(successes.select(*S.UPSERT_KEY, *S.UPSERT_FIELDS, "offset"), S.UPSERT_KEY)
-    latest = latest.withColumn("day", floor_div(F.col("time_step"), grain_steps).cast("int")).persist()
-    try:
-        days = [r["day"] for r in latest.select("day").distinct().collect()]  # days touched by one batch
-        if not days:
-            return 0
-        current = read_table(spark, root, days=days, before_batch=batch_id)
-        merged = merge_rows(current.drop("day"), latest, now).withColumn(
-            "day", floor_div(F.col("time_step"), grain_steps).cast("int")
-        )
-        (
-            merged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day")
-            .parquet(f"{root}/data/v={batch_id}")
-        )
-        old = current_pointer(spark, root, before_batch=batch_id)
-        touched = spark.createDataFrame([(d, batch_id) for d in days], POINTER_SCHEMA)
-        new_ptr = old.join(touched.select("day"), "day", "left_anti").unionByName(touched)
-        new_ptr.coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer/batch={batch_id}")
-        return len(days)
-    finally:
-        latest.unpersist()
+    stamped = latest.withColumns({"created_at": now, "updated_at": now, "batch": F.lit(batch_id).cast("long")})
+    stamped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields]).write.mode("overwrite").parquet(path)
+    return True
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Fold all changes into a new base and remove what it replaces; the last batch that it holds (-1: none)."""
+    log, last = _log(spark, root)
+    if last < 0:
+        return last
+    target = f"{root}/base/upto={last}"
+    if not path_exists(spark, f"{target}/_SUCCESS"):
+        _latest(log).select(*LOG_SCHEMA.names).write.mode("overwrite").parquet(target)
+    for folder, name in ((f"{root}/base", "upto"), (f"{root}/changes", "batch")):
+        for n in [int(x.split("=", 1)[1]) for x in list_names(spark, folder) if x.startswith(f"{name}=")]:
+            if n < last or (n == last and name == "batch"):
+                remove_path(spark, f"{folder}/{name}={n}")
+    return last
 
 
 def upsert_all(messages_final: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow import schemas as S
@@ -41,13 +42,15 @@ def test_append_processed_fixed_ddl_and_empty(spark, tmp_dir):
     empty = spark.createDataFrame([], "time_step int, amount decimal(18,2)")
     assert files.append_processed(empty, path) is False
     assert not os.path.exists(path)
-    df = spark.createDataFrame([(1, Decimal("12.50"), 12.5, 3)], "time_step int, amount decimal(18,2), balance_change_ratio double, transaction_day int")
+    df = spark.createDataFrame([(1, Decimal("12.50"), 0.25, 3), (2, Decimal("1.00"), 12.5, 3)], "time_step int, amount decimal(18,2), balance_change_ratio double, transaction_day int")
     assert files.append_processed(df, path)
     assert files.append_processed(df, path)
     back = spark.read.parquet(path)
     assert back.count() == 2
-    r = back.first()
-    assert r["balance_change_ratio"] is None  # 12.5 does not fit DECIMAL(5,4): null, not a failed load
+    assert {(r["time_step"], r["balance_change_ratio"]) for r in back.collect()} == {(1, Decimal("0.2500"))}
+    # 12.5 does not fit DECIMAL(5,4): the row is diverted with the value that doesn't fit
+    rejected = spark.read.parquet(f"{path}_rejected").collect()
+    assert len(rejected) == 2 and all(r["time_step"] == 2 and [tuple(x) for x in r["rejected"]] == [("balance_change_ratio", "12.5")] for r in rejected)
     assert dict(back.dtypes)["amount"] == "decimal(10,2)"
 
 
@@ -110,3 +113,47 @@ def test_warehouse_job_and_backfill(spark, tmp_dir):
     assert sum(r["rows"] for r in status) == n
     assert {r["status"] for r in status} <= {"success", "empty", "failed"}
     assert all((r["status"] == "empty") == (r["rows"] == 0) for r in status)
+
+
+def test_csv_is_read_by_name_and_other_columns_pass(spark, tmp_dir):
+    p = f"{tmp_dir}/shuffled.csv"
+    with open(p, "w") as f:
+        f.write("note,newbalanceOrig,oldbalanceOrg,step,type,amount,nameOrig,nameDest,oldbalanceDest,newbalanceDest,isFraud,isFlaggedFraud\n")
+        f.write("x,222,111,1,PAYMENT,9.5,C1,M1,0.0,0.0,0,0\n")
+    r = enrich_transactions(files.read_transactions_csv(spark, p), p95=0.0).first()
+    assert (r["sender_old_balance"], r["sender_new_balance"], r["note"]) == (111, 222, "x")
+
+
+def test_rerun_replaces_declared_days_also_by_nothing(spark, tmp_dir):
+    root, day, next_day = f"{tmp_dir}/wh", "2017-01-02", "2017-01-03"
+    scored = enrich_transactions(fixtures.transactions(spark, SF_SMALL).limit(8).withColumn("time_step", F.lit(30)), p95=1e9)
+    other = scored.withColumn("time_step", F.lit(50)).withColumn("transaction_date", F.col("transaction_date") + F.expr("INTERVAL 1 DAY"))
+    rows = scored.unionByName(other)
+    none = F.lit(None).cast("timestamp")
+    assert [r["rows"] for r in jobs.backfill(spark, rows, root, day, next_day, now=none).orderBy("date").collect()] == [8, 8]
+    assert jobs.daily_warehouse_job(spark, other, root, day, now=none).first()["total_transactions"] == 0
+    status = {str(r["date"]): (r["rows"], r["status"]) for r in jobs.backfill(spark, other, root, day, next_day, now=none).collect()}
+    assert status[day] == (0, "empty") and status[next_day][0] == 8
+    for name in ("transactions_processed", "daily_transaction_summary"):
+        assert sorted(n for n in os.listdir(f"{root}/{name}") if not n.startswith((".", "_SUCCESS"))) == [f"date={next_day}"]
+
+
+def test_stored_failures_go_when_a_check_turns_clean(spark, tmp_dir):
+    from ledgerflow.operators import quality
+
+    path = f"{tmp_dir}/failures"
+    checks = [quality.not_null("a", "a_there"), quality.not_null("b", "b_there")]
+    quality.store_failures(spark.createDataFrame([(None, 1), (2, None)], "a int, b int"), checks, path)
+    assert spark.read.parquet(path).count() == 2
+    quality.store_failures(spark.createDataFrame([(1, 1), (2, None)], "a int, b int"), checks, path)
+    assert [r["check_name"] for r in spark.read.parquet(path).collect()] == ["b_there"]
+
+
+def test_no_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from ledgerflow.session import checkpoint_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))

@@ -38,6 +38,30 @@ def test_append_transactions_rejects_invalid(spark, tmp_dir):
     assert stored.count() == 1 and "is_fraud" in stored.columns
 
 
+def test_append_transactions_goes_on_past_values_that_don_t_fit(spark, tmp_dir):
+    rows = spark.createDataFrame([("1", "PAYMENT", "100.00", "C1", "M1"), ("2", "PAYMENT", "much", "C2", "M2"), ("x", "PAYMENT", "1", "C3", "M3")],
+                                 "time_step string, transaction_type string, amount string, sender_id string, receiver_id string")
+    rejected = files.append_transactions(rows, f"{tmp_dir}/tx")
+    assert sorted((r["sender_id"], r["reason"]) for r in rejected.collect()) == [("C2", "error"), ("C3", "error")]
+    assert [r["sender_id"] for r in spark.read.parquet(f"{tmp_dir}/tx").collect()] == ["C1"]
+
+
+def test_all_row_weighs_type_means_by_rows_and_velocity_groups_nulls(spark):
+    from ledgerflow.operators import alerts, marts
+
+    rows = [(1, "A", "10.00", "C1", "M1", 0.5), (2, "A", "10.00", "C1", "M1", None), (3, "B", "10.00", "C2", "M1", 0.5), (4, "ALL", "10.00", None, "M2", 0.5)]
+    df = spark.createDataFrame([(t, k, Decimal(a), s, m, r) for t, k, a, s, m, r in rows], "time_step int, transaction_type string, amount decimal(18,2), sender_id string, receiver_id string, risk_score double")
+    money = F.lit("5.00").cast("decimal(18,2)")
+    full = df.drop("risk_score").withColumns({
+        **{c: money for c in ("sender_old_balance", "sender_new_balance", "receiver_old_balance", "receiver_new_balance")}, "is_fraud": F.lit(False), "is_flagged_fraud": F.lit(False)})
+    scored = enrich_transactions(full, p95=1e9).withColumn("risk_score", F.when(F.col("time_step") != 2, F.lit(0.5)))
+    mart = marts.daily_transaction_summary(scored).collect()
+    total = [r for r in mart if r["transaction_count"] == 4]
+    assert len(mart) == 4 and len(total) == 1 and total[0]["avg_risk_score"] == 0.5
+    got = {r["time_step"]: r["sender_velocity"] for r in alerts.with_velocity(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1}
+
+
 def test_bundle_and_labels(spark):
     scored = enrich_transactions(fixtures.transactions(spark, SF_SMALL))
     b = metrics.analytics_bundle(scored)

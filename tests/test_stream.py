@@ -1,6 +1,9 @@
 """The stream job on a file source of topic messages equals the batch twin, in one batch or many,
 and resumes from its checkpoint; the upsert is idempotent per batch id."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow import schemas as S
@@ -11,6 +14,7 @@ from ledgerflow.streaming import consumer, upsert
 from conftest import SF_SMALL
 
 KEY = S.UPSERT_KEY
+DAY = 24 * 3600 * 1000
 VALUE_COLS = KEY + S.UPSERT_FIELDS
 
 
@@ -38,7 +42,7 @@ def test_stream_equals_batch_in_several_batches(spark, tmp_dir):
     src = f"{tmp_dir}/topic"
     _write_chunks(spark, msgs, src, 3)
     q = consumer.start_transaction_stream(
-        read_topic_files(spark, src, max_files_per_trigger=1), f"{tmp_dir}/store", f"{tmp_dir}/ckpt"
+        read_topic_files(spark, src, max_files_per_trigger=1), f"{tmp_dir}/store", f"{tmp_dir}/ckpt", state_ttl_ms=DAY
     )
     q.awaitTermination(600)
     assert q.exception() is None
@@ -54,21 +58,21 @@ def test_restart_from_checkpoint_and_idempotent_batch(spark, tmp_dir):
     half = msgs.agg(F.percentile_approx("offset", 0.5)).first()[0]
     src, store, ckpt = f"{tmp_dir}/topic", f"{tmp_dir}/store", f"{tmp_dir}/ckpt"
     msgs.where(F.col("offset") <= half).coalesce(1).write.parquet(src)
-    q = consumer.start_transaction_stream(read_topic_files(spark, src), store, ckpt)
+    q = consumer.start_transaction_stream(read_topic_files(spark, src), store, ckpt, state_ttl_ms=DAY)
     q.awaitTermination(600)
     first_part = msgs.where(F.col("offset") <= half)
     assert _same(_table(spark, store), _expected(spark, first_part))
     # new messages arrive; the restarted query picks up only those, with the state of the first run
     msgs.where(F.col("offset") > half).coalesce(1).write.mode("append").parquet(src)
-    q = consumer.start_transaction_stream(read_topic_files(spark, src), store, ckpt)
+    q = consumer.start_transaction_stream(read_topic_files(spark, src), store, ckpt, state_ttl_ms=DAY)
     q.awaitTermination(600)
     assert _same(_table(spark, store), _expected(spark, msgs))
     # replaying an already committed batch id leaves the table unchanged
     before = _table(spark, store)
     snapshot = sorted(map(tuple, before.collect()))
-    last = spark.read.parquet(f"{store}/pointer").agg(F.max("batch")).first()[0]
+    last = max(int(n.split("=")[1]) for n in os.listdir(f"{store}/changes") if "=" in n)
     succ = consumer.process_messages(msgs).where("status = 'success'")
-    upsert.upsert_batch(succ, store, last)
+    assert upsert.upsert_batch(succ, store, last) is False
     assert sorted(map(tuple, _table(spark, store).collect())) == snapshot
 
 
@@ -90,3 +94,72 @@ def test_envelope_encode_decode_round_trip(spark):
                                     S.TOPIC_MESSAGE)
     got = {r["offset"]: (r["status"], r["message_key"]) for r in consumer.process_messages(missing).collect()}
     assert got == {1: ("invalid", "t-0-1"), 2: ("invalid", "t-0-2")}
+
+
+def _changes(spark, offset, *rows):
+    """Successful messages (time_step, sender, receiver, amount)."""
+    base = consumer.process_messages(fixtures.topic_messages(spark, SF_SMALL)).where("status = 'success'").limit(1)
+    out = None
+    for i, (t, a, b, amount) in enumerate(rows):
+        one = base.withColumns({"time_step": F.lit(t), "sender_id": F.lit(a), "receiver_id": F.lit(b), "amount": F.lit(amount).cast("decimal(18,2)"),
+                                "offset": F.lit(offset + i).cast("long")})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _at(day):
+    return F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+
+
+def _rows(spark, root):
+    return {(r.time_step, r.sender_id, r.receiver_id): (float(r.amount), r.created_at.day, r.updated_at.day) for r in upsert.read_table(spark, root).collect()}
+
+
+def test_store_keeps_first_and_last_times_over_compaction(spark, tmp_dir):
+    root = f"{tmp_dir}/store"
+    assert upsert.compact(spark, root) == -1 and _rows(spark, root) == {}
+    assert upsert.upsert_batch(_changes(spark, 0, (1, "A", "B", 10), (1, "A", "B", 11), (2, "A", "B", 5)), root, 0, now=_at(1))
+    assert upsert.upsert_batch(_changes(spark, 9, (1, "A", "B", 12), (3, None, "B", 7)), root, 1, now=_at(2))
+    want = {(1, "A", "B"): (12.0, 1, 2), (2, "A", "B"): (5.0, 1, 1), (3, None, "B"): (7.0, 2, 2)}
+    assert _rows(spark, root) == want
+    # a replay, before and after compaction, changes neither rows nor times
+    assert upsert.upsert_batch(_changes(spark, 9, (1, "A", "B", 99)), root, 1, now=_at(5)) is False and _rows(spark, root) == want
+    assert upsert.compact(spark, root) == 1 and _rows(spark, root) == want
+    assert os.listdir(f"{root}/changes") == [] and [n for n in os.listdir(f"{root}/base") if "=" in n] == ["upto=1"]
+    assert upsert.upsert_batch(_changes(spark, 9, (1, "A", "B", 99)), root, 1, now=_at(5)) is False
+    assert upsert.upsert_batch(_changes(spark, 20, (1, "A", "B", 13)), root, 2, now=_at(3))
+    assert _rows(spark, root) == want | {(1, "A", "B"): (13.0, 1, 3)}
+    assert upsert.compact(spark, root) == 2 and _rows(spark, root) == want | {(1, "A", "B"): (13.0, 1, 3)}
+
+
+def test_failed_lookup_fails_the_batch_and_loses_nothing(spark, tmp_dir, monkeypatch):
+    root = f"{tmp_dir}/store"
+    upsert.upsert_batch(_changes(spark, 0, (1, "A", "B", 10), (2, "A", "B", 5)), root, 0)
+    before = _rows(spark, root)
+
+    def timeout(*_):
+        raise OSError("storage timeout")
+
+    for name in ("path_exists", "list_names"):
+        with monkeypatch.context() as m:
+            m.setattr(upsert, name, timeout)
+            with pytest.raises(OSError):
+                upsert.upsert_batch(_changes(spark, 9, (3, "A", "B", 1)), root, 1)
+    assert _rows(spark, root) == before
+    assert upsert.upsert_batch(_changes(spark, 9, (3, "A", "B", 1)), root, 1) and len(_rows(spark, root)) == 3
+
+
+def test_uncommitted_batch_isn_t_read(spark, tmp_dir):
+    root = f"{tmp_dir}/store"
+    upsert.upsert_batch(_changes(spark, 0, (1, "A", "B", 10)), root, 0)
+    upsert.upsert_batch(_changes(spark, 5, (1, "A", "B", 20)), root, 1)
+    os.remove(f"{root}/changes/batch=1/_SUCCESS")
+    assert [v[0] for v in _rows(spark, root).values()] == [10.0]
+
+
+def test_empty_key_is_no_key_and_nulls_stay(spark):
+    rows = [("", '{"amount": 1, "sender_id": "A", "receiver_id": "B", "time_step": %d, "transaction_type": "PAYMENT"}' % i, "t", 0, i, None) for i in range(3)]
+    got = consumer.process_messages(spark.createDataFrame(rows, S.TOPIC_MESSAGE)).collect()
+    assert [r.status for r in got] == ["success"] * 3 and len({r.message_key for r in got}) == 3
+    event = to_events(spark.createDataFrame([(1, None)], "id long, amount double"), "transaction_created").first()
+    assert '"amount":null' in event.value
