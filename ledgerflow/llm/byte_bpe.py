@@ -6,11 +6,12 @@ trained by merging only that pair ever becomes the token. The map from pairs of
 plan: an array of 64-bit slots, two places per pair, so a lookup is at most two array reads. A word's fold starts from
 its bytes' ids and replaces the leftmost pair of lowest rank until no pair has a rank.
 
-Words are the matches of the vocabulary's splitting pattern. Words that make up more than 1 / ``memo`` of all words
-number fewer than ``memo``: they are folded once per corpus and sent to the workers as a dictionary of that proven
-size. Other words are folded once per chunk of CHUNK_BYTES of ids, beside the documents: texts never move between
-machines, and what is shuffled are only counts of words, added up before the shuffle. Words of more than LONG_WORD bytes (a run of
-thousands of letters or spaces, say), on which a fold takes quadratic time, are merged by the same ranks with a heap.
+Words are the matches of the vocabulary's splitting pattern. The MEMO_WORDS most frequent words are folded once per
+corpus by the higher-order functions and sent to the workers as a dictionary of that bound. All other words are merged
+by the same ranks where they are met, in Python, with a bounded memory of the last ones: folding them in the plan as
+well was measured at several times the CPU budget (figures in the README), and bringing each once to a place would
+shuffle most of the corpus' words. So texts never move between machines, and what is shuffled are only counts of words,
+added up before the shuffle.
 
 Decoding concatenates the tokens' bytes by id.
 
@@ -42,8 +43,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # the public pattern of the rank files; (?U) makes Java's white space class that of Unicode
 PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_WORDS = 1 << 19
-LONG_WORD = 512
-CHUNK_BYTES = 8 << 20  # of ids: the documents that share a dictionary of their rarer words
+LONG_WORD = 512  # bytes; longer words aren't folded in the plan
+SHORT_WORD = 40
+OTHER_WORDS = 200_000  # that a task remembers
 NONE = 2147483647  # the rank of a pair that doesn't merge
 EDGE = 65535  # stands before the first and after the last id of a word; merges with nothing
 
@@ -140,10 +142,6 @@ class Vocabulary:
         """array<int>: the ids of one word (a non-empty string)."""
         return self._with_tables(lambda slots, byte_ids: self._fold(word, slots, byte_ids))
 
-    def encode_words(self, words: Column) -> Column:
-        """array<array<int>>: the ids of each word of an array."""
-        return self._with_tables(lambda slots, byte_ids: F.transform(words, lambda w: self._fold(w, slots, byte_ids)))
-
     def _with_tables(self, use: Callable[[Column, Column], Column]) -> Column:
         """Each table is one literal of the plan, bound to a variable, however often an expression reads it."""
         return _let(_literal(self.slots, "array<bigint>"), lambda slots: _let(_literal(self.byte_ids, "array<int>"), lambda ids: use(slots, ids)))
@@ -184,12 +182,20 @@ class Vocabulary:
         return _let(latin, lambda t: F.aggregate(
             F.sequence(F.lit(1), F.length(t)), start(t), merge, lambda s: F.slice(s.p, F.lit(2), F.size(s.p) - 2)))
 
-    def encode_long(self, word: str) -> list[int]:
-        """The same ids for one very long word: a heap of (rank, place) over a linked list of parts."""
+    def merge(self, word: str) -> list[int]:
+        """The same ids for one word: a heap of (rank, place) over a linked list of parts."""
         ids = [self.byte_ids[b] for b in word.encode()]
-        n = len(ids)
+        n, known = len(ids), self.merges
+        if n < SHORT_WORD:  # few parts: look at all pairs each time
+            while len(ids) > 1:
+                low = min([known.get(p, NONE) for p in zip(ids, ids[1:])])
+                if low == NONE:
+                    break
+                i = next(i for i, p in enumerate(zip(ids, ids[1:])) if known.get(p) == low)
+                ids[i : i + 2] = [low]
+            return ids
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(self.merges[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
+        heap = [(known[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in known]
         heapq.heapify(heap)
         while heap:
             rank, i, left, right = heapq.heappop(heap)
@@ -200,8 +206,8 @@ class Vocabulary:
             if after[i] < n:
                 before[after[i]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] < n and (p := (ids[x], ids[after[x]])) in self.merges:
-                    heapq.heappush(heap, (self.merges[p], x, *p))
+                if x >= 0 and after[x] < n and (p := (ids[x], ids[after[x]])) in known:
+                    heapq.heappush(heap, (known[p], x, *p))
         return [x for x, here in zip(ids, alive) if here]
 
 
@@ -210,101 +216,58 @@ def split_words(text: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, memo: int, text_col: str = "text") -> DataFrame:
-    """Words that make up more than 1 / memo of all words, fewer than ``memo`` by that."""
+    """The most frequent words, at most ``memo``: all of at least some count, by sixteenths of a power of two."""
     counts = docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.octet_length("word") <= LONG_WORD)
-    counts = counts.checkpoint()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") * F.lit(memo) > F.lit(total)).select("word")
-
-
-# a body is the ids as unsigned 16-bit integers; EDGE and two numbers below _RADIX stand for a word of the document
-_RADIX = 60_000
-
-
-def _resolve(vocabulary: Vocabulary, shared, chunk_bytes: int) -> Callable:
-    """(doc_id, words) -> (doc_ids, bodies, rare) per chunk of documents: ids of the known words; the distinct others."""
+    counts = counts.withColumn("step", F.floor(F.log2("n") * 16).cast("int")).select("word", "step").checkpoint()
+    total, least = 0, NONE
+    for step, words in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 16 * 64 rows
+        total += words
+        if total > memo:
+            break
+        least = step
+    return counts.where(F.col("step") >= least).select("word")
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, memo: int, id_col: str, text_col: str, use: Callable, schema: str) -> DataFrame:
+    """``use`` turns document ids and their token ids (a list of arrays) into a batch of rows."""
+    known = frequent_words(docs, memo, text_col).select("word", vocabulary.encode_word(F.col("word")).alias("ids")).toArrow()
+    ids = known.column("ids").combine_chunks()
+    values, ends = ids.values.to_numpy().astype("<u2"), ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32)
+    words = known.column("word").to_pylist()
+    shared = docs.sparkSession.sparkContext.broadcast({w: values[ends[i] : ends[i + 1]].tobytes() for i, w in enumerate(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, bytes] = shared.value
-        ids: list = []
-        bodies: list[bytes] = []
-        rare: dict[str, int] = {}
-        size = 0
-
-        def chunk() -> pa.RecordBatch:
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.string()))
-            return pa.record_batch([pa.array([x], k) for x, k in zip((ids, bodies, list(rare)), kinds)], names=["doc_ids", "bodies", "rare"])
-
+        frequent: dict[str, bytes] = shared.value
+        others: dict[str, bytes] = {}
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                for doc_id, words in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    parts = list(map(memo.get, words))
+                out = []
+                for words in some.column(1).to_pylist():
+                    parts = list(map(frequent.get, words))
                     if None in parts:
                         for i, part in enumerate(parts):
                             if part is None:
-                                w = words[i]
-                                if len(w) > LONG_WORD // 4 and len(w.encode()) > LONG_WORD:
-                                    parts[i] = np.asarray(vocabulary.encode_long(w), "<u2").tobytes()
-                                else:
-                                    k = rare.setdefault(w, len(rare))
-                                    parts[i] = struct.pack("<HHH", EDGE, k % _RADIX, k // _RADIX)
-                    ids.append(doc_id)
-                    bodies.append(b"".join(parts))
-                    size += len(bodies[-1]) + 16
-                    if size > chunk_bytes:
-                        yield chunk()
-                        ids, bodies, rare, size = [], [], {}, 0
-        if ids:
-            yield chunk()
-
-    return run
-
-
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_ids, bodies, rare ids) -> document ids and their token ids, some documents at a time."""
-    for b in batches:
-        for doc_ids, bodies, rare in zip(*(b.column(k) for k in range(3))):
-            flat = rare.values  # list<int> per word
-            values, ends = flat.values.to_numpy().astype("<u2"), flat.offsets.to_numpy()
-            out, ids = [], doc_ids.as_py()
-            for body in bodies.values:
-                own = np.frombuffer(body.as_buffer(), "<u2")
-                marks = np.flatnonzero(own == EDGE)
-                if len(marks):
-                    parts, at = [], 0
-                    for m, k in zip(marks.tolist(), (own[marks + 1].astype(int) + own[marks + 2].astype(int) * _RADIX).tolist()):
-                        parts += [own[at:m], values[ends[k] : ends[k + 1]]]
-                        at = m + 3
-                    own = np.concatenate([*parts, own[at:]])
-                out.append(own)
-                if len(out) == 256:
-                    yield ids[:256], out
-                    ids, out = ids[256:], []
-            if out:
-                yield ids, out
-
-
-def _bodies(docs: DataFrame, vocabulary: Vocabulary, memo: int, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
-    known = frequent_words(docs, memo, text_col).select("word", vocabulary.encode_word(F.col("word")).alias("ids")).toArrow()
-    ids = known.column("ids").combine_chunks()
-    values, ends = ids.values.to_numpy().astype("<u2"), ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32)
-    words = known.column("word").to_pylist()
-    shared = spark.sparkContext.broadcast({w: values[ends[i] : ends[i + 1]].tobytes() for i, w in enumerate(words)})
+                                part = others.get(words[i])
+                                if part is None:
+                                    if len(others) >= OTHER_WORDS:
+                                        others.clear()
+                                    part = others[words[i]] = np.array(vocabulary.merge(words[i]), "<u2").tobytes()
+                                parts[i] = part
+                    out.append(np.frombuffer(b"".join(parts), "<u2"))
+                yield use(some.column(0), out)
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col)).alias("words"))
-    found = rows.mapInArrow(_resolve(vocabulary, shared, CHUNK_BYTES), "doc_ids array<long>, bodies array<binary>, rare array<string>")
-    return found.select("doc_ids", "bodies", vocabulary.encode_words(F.col("rare")).alias("rare"))
+    return rows.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, memo: int = MEMO_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): every document's token ids as array<int>."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids in _assembled(batches):
-            yield pa.record_batch([pa.array(doc_id, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    def use(doc_id: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([doc_id, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _bodies(docs, Vocabulary.load(vocabulary), memo, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return _encoded(docs, Vocabulary.load(vocabulary), memo, id_col, text_col, use, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids") -> Column:
@@ -316,17 +279,15 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY, memo: int = MEMO_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, and the SHA-256 of its decimal ids and of the bytes that the ids decode to."""
     loaded = Vocabulary.load(vocabulary)
-    pieces = loaded.bytes_of
+    pieces, decimal = loaded.bytes_of, [str(i) for i in range(len(loaded.bytes_of))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(len(pieces))]
+    def use(doc_id: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for doc_id, arrays in _assembled(batches):
-            lists = [x.tolist() for x in arrays]
-            yield pa.record_batch([
-                pa.array(doc_id, pa.int64()), pa.array([len(x) for x in lists], pa.int64()),
-                pa.array([sha(",".join([decimal[i] for i in x]).encode()) for x in lists], pa.string()),
-                pa.array([sha(b"".join([pieces[i] for i in x])) for x in lists], pa.string()),
-            ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _bodies(docs, loaded, memo, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lists = [x.tolist() for x in ids]
+        return pa.record_batch([
+            doc_id, pa.array([len(x) for x in lists], pa.int64()),
+            pa.array([sha(",".join([decimal[i] for i in x]).encode()) for x in lists], pa.string()),
+            pa.array([sha(b"".join([pieces[i] for i in x])) for x in lists], pa.string()),
+        ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encoded(docs, loaded, memo, id_col, text_col, use, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

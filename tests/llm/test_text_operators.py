@@ -129,11 +129,11 @@ def test_decode_turns_ids_into_bytes(spark, docs, bpe):
         assert list(r.ids) == bpe.encode_ordinary(texts[r.doc_id] or "") and bytes(r.back) == (texts[r.doc_id] or "").encode()
 
 
-def test_long_words_by_heap(bpe):
+def test_words_merged_outside_the_plan(bpe):
     v, rng = byte_bpe.Vocabulary.load(), random.Random(3)
     for _ in range(200):
         w = "".join(rng.choice("abthein 日é") for _ in range(rng.randrange(1, 400)))
-        assert v.encode_long(w) == bpe._core_bpe.encode_single_piece(w.encode())
+        assert v.merge(w) == bpe._core_bpe.encode_single_piece(w.encode())
 
 
 def test_bpe_of_nothing(empty):
