@@ -30,6 +30,9 @@ RAW_TO_CANONICAL = {
     "isFlaggedFraud": "is_flagged_fraud",
 }
 
+# longest texts that the stored transaction columns take; a longer one is a write failure
+TEXT_LENGTHS = {"transaction_type": 20, "sender_id": 32, "receiver_id": 32}
+
 TRANSACTION_TYPES = ["PAYMENT", "CASH_IN", "CASH_OUT", "TRANSFER", "DEBIT"]
 
 # alert enums

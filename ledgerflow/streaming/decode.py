@@ -65,7 +65,8 @@ def decode_messages(messages: DataFrame, carry: list[str] | tuple = ()) -> DataF
         has, raw = F.col(f"_has_{name}"), F.col(f"_raw_{name}")
         cast = raw.try_cast(dtype)
         typed[name] = F.when(has, cast).otherwise(F.lit(S.STREAM_DEFAULTS[name]).cast(dtype))
-        bad.append(has & (raw.isNull() | cast.isNull()))
+        too_long = F.char_length(raw) > S.TEXT_LENGTHS[name] if name in S.TEXT_LENGTHS else F.lit(False)
+        bad.append(has & (raw.isNull() | cast.isNull() | too_long))
     missing = F.lit(False)
     for name in S.REQUIRED_STREAM_FIELDS:
         missing = missing | ~F.col(f"_has_{name}")

@@ -163,3 +163,12 @@ def test_empty_key_is_no_key_and_nulls_stay(spark):
     assert [r.status for r in got] == ["success"] * 3 and len({r.message_key for r in got}) == 3
     event = to_events(spark.createDataFrame([(1, None)], "id long, amount double"), "transaction_created").first()
     assert '"amount":null' in event.value
+
+
+def test_text_longer_than_its_column_is_an_error(spark):
+    def message(offset, kind, sender):
+        return (f"k{offset}", '{"amount": 1, "sender_id": "%s", "receiver_id": "B", "time_step": 1, "transaction_type": "%s"}' % (sender, kind), "t", 0, offset, None)
+
+    rows = [message(0, "T" * 20, "é" * 32), message(1, "T" * 21, "A"), message(2, "T", "A" * 33)]
+    got = consumer.process_messages(spark.createDataFrame(rows, S.TOPIC_MESSAGE)).orderBy("offset").collect()
+    assert [r.status for r in got] == ["success", "error", "error"]
