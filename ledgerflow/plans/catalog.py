@@ -14,6 +14,7 @@ from ledgerflow.operators import alerts as AL
 from ledgerflow.operators import marts, metrics, quality
 from ledgerflow.functions.features import add_time_columns
 from ledgerflow.operators.enrich import canonical_transactions, enrich_transactions, process_transactions
+from ledgerflow.session import work_path
 from ledgerflow.sources import fixtures
 from ledgerflow.streaming import consumer, upsert
 from ledgerflow.streaming.decode import decode_messages
@@ -26,8 +27,17 @@ def transaction_date_from(step, epoch: str):
     return F.to_timestamp_ntz(F.lit(epoch)) + F.make_dt_interval(hours=step)
 
 
+def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions, joined once and stored in the work folder: for queries that pass over them more than once."""
+    rows = fixtures.transactions(spark, sf_dir)
+    path = work_path(spark, "transactions", unique=True)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def scored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich_transactions(fixtures.transactions(spark, sf_dir))
+    """Scored rows; the percentile and the projection both read the stored transactions."""
+    return enrich_transactions(stored_transactions(spark, sf_dir))
 
 
 def daily_transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +87,10 @@ def staging_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.dashboard_metrics(stored_transactions(spark, sf_dir))
+
+
 def percentile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentile_lines(fixtures.transactions(spark, sf_dir))
 
@@ -125,13 +139,13 @@ def alert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AL.with_velocity(fixtures.transactions(spark, sf_dir)).select(
+    return AL.with_velocity(stored_transactions(spark, sf_dir)).select(
         "time_step", "sender_id", "receiver_id", "sender_velocity", "velocity_check"
     )
 
 
 def first_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AL.with_first_payment(fixtures.transactions(spark, sf_dir)).select(
+    return AL.with_first_payment(stored_transactions(spark, sf_dir)).select(
         "time_step", "sender_id", "receiver_id", "first_to_receiver"
     )
 
@@ -256,7 +270,7 @@ QUERIES: dict[str, Query] = {
     "a9_detection_stats": _on_timed(metrics.detection_stats),
     "a11_hourly_volume": _on_timed(metrics.hourly_volume),
     "a12_daily_volume": _on_timed(metrics.daily_volume),
-    "a13_dashboard_metrics": _on_timed(metrics.dashboard_metrics),
+    "a13_dashboard_metrics": dashboard,
     "a15_percentile_lines": percentile_lines,
     "a16_type_totals_vs_fraud": _on_timed(metrics.type_totals_vs_fraud),
     "a17_daily_report": daily_report,

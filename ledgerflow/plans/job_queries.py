@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ledgerflow import schemas as S
 from ledgerflow.functions.stats import exact_percentiles, with_global
 from ledgerflow.operators import marts
-from ledgerflow.operators.enrich import canonical_transactions, enrich_transactions, process_transactions
+from ledgerflow.operators.enrich import canonical_transactions, process_transactions
 from ledgerflow.plans import jobs
+from ledgerflow.plans.catalog import scored_transactions, stored_transactions
 from ledgerflow.plans.oracle_sql import ORACLE as SQL
 from ledgerflow.plans.oracle_sql import MESSAGES, with_ctes
 from ledgerflow.session import work_path
@@ -34,7 +35,7 @@ def _double_money(df: DataFrame) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich_transactions(fixtures.transactions(spark, sf_dir))
+    return scored_transactions(spark, sf_dir)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> str:
@@ -99,7 +100,7 @@ def load_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def against_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows above the 95th percentile of the amount, the percentile attached to every row."""
-    t = fixtures.transactions(spark, sf_dir)
+    t = stored_transactions(spark, sf_dir)
     p95 = exact_percentiles(t, "amount", [0.95])[0.95]
     row = spark.range(1).select(F.lit(p95).cast("double").alias("p95"))
     return with_global(t, row).where(F.col("amount").cast("double") > F.col("p95")).select("time_step", "sender_id", "receiver_id", F.col("amount").cast("double").alias("amount"))
