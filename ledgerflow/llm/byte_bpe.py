@@ -44,7 +44,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_WORDS = 1 << 19
 LONG_WORD = 512  # bytes; longer words aren't folded in the plan
-SHORT_WORD = 40
+SHORT_WORD = 200
 OTHER_WORDS = 200_000  # that a task remembers
 NONE = 2147483647  # the rank of a pair that doesn't merge
 EDGE = 65535  # stands before the first and after the last id of a word; merges with nothing
@@ -186,13 +186,16 @@ class Vocabulary:
         """The same ids for one word: a heap of (rank, place) over a linked list of parts."""
         ids = [self.byte_ids[b] for b in word.encode()]
         n, known = len(ids), self.merges
-        if n < SHORT_WORD:  # few parts: look at all pairs each time
-            while len(ids) > 1:
-                low = min([known.get(p, NONE) for p in zip(ids, ids[1:])])
-                if low == NONE:
-                    break
-                i = next(i for i, p in enumerate(zip(ids, ids[1:])) if known.get(p) == low)
+        if n < SHORT_WORD:  # few pairs: the least rank is found by looking at all
+            ranks = [known.get(p, NONE) for p in zip(ids, ids[1:])]
+            while ranks and (low := min(ranks)) != NONE:
+                i = ranks.index(low)
                 ids[i : i + 2] = [low]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = known.get((ids[i - 1], low), NONE)
+                if i < len(ranks):
+                    ranks[i] = known.get((low, ids[i + 1]), NONE)
             return ids
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(known[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in known]
