@@ -101,3 +101,17 @@ def test_empty_histogram(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     hist = length_histogram.histogram(df)
     assert hist.count() == 0 and length_histogram.truncated_totals(hist, [5]).count() == 0 and length_histogram.length_quantiles(hist, [0.5]).count() == 0
+
+
+def test_verdicts_equal_their_sql(spark):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", "..", "tools"))
+    from oracle_check import compare, duck
+
+    from ledgerflow.llm import queries
+
+    df = queries.QUERIES["op1_host_trust"](spark, SF_SMALL)
+    res = duck(SF_SMALL).execute(queries.ORACLE["op1_host_trust"])
+    assert compare([tuple(r) for r in df.collect()], df.columns, res.fetchall(), [d[0] for d in res.description]) is None
