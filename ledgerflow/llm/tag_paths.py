@@ -3,9 +3,11 @@
 A page becomes its sequence of text blocks, each with the tag path from the root to it (inline marks like ``b`` don't
 belong to a path; classes do). Per path, text length and punctuation are summed and divided by the path's blocks. Each
 block takes its path's ratios, both brought to 0..1 and fused; the sequence is smoothed over its neighbours, and a
-path's score is the mean of its blocks', relative to the page's best path. To that comes what the path itself says: inside ``article`` or ``main`` speaks
-for it, boilerplate containers (by tag, class, id or role) rule it out, and where a page has an article, other places
-are held back. Paths that reach the threshold are content; all their blocks are taken, in page order.
+path's score is the mean of its blocks', less their share of linked text (headings aside), relative to the page's best
+path. To that comes a bounded prior: ``article`` and ``main`` speak for a path and against the others, by at most
+IN_ARTICLE and as far as they hold the page's text, so that a teaser hardly counts and the ratios can overturn it.
+Boilerplate containers (by tag, class, id or role) rule a path out. Paths that reach the threshold are content; all
+their blocks are taken, in page order.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by a line feed. Pages
 are parsed one by one within Arrow batches, and nothing is shuffled.
@@ -55,9 +57,10 @@ _BOILER_WORDS = {
 _BOILER_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "navigation", "search", "menu", "menubar"}
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 _WORD = re.compile(r"[a-z]+")
+_HEADING = re.compile(r"(?:^|/)h[1-6](?:\.[^/]*)?$")
 
 THRESHOLD = 0.5
-IN_ARTICLE, OUTSIDE = 1.0, -1.0  # added to a path's score
+IN_ARTICLE = 0.45  # at most so much is added to a path's score inside an article, or taken from it outside
 _HALF_LENGTH, _HALF_MARKS = 60.0, 1.0  # ratios at which the measures reach one half
 
 
@@ -66,6 +69,7 @@ class Block:
     path: str
     place: str  # article, boilerplate or plain
     text: str
+    linked: int = 0  # characters of it in links
 
 
 @dataclass
@@ -74,6 +78,7 @@ class _Open:
     step: str
     place: str
     inline: bool = False
+    link: bool = False
 
 
 @dataclass
@@ -82,13 +87,14 @@ class _Page:
     blocks: list[Block] = field(default_factory=list)
     run: list[str] = field(default_factory=list)
     at: tuple[str, str] | None = None
+    linked: int = 0
 
     def flush(self) -> None:
         if self.run:
             text = " ".join(entities.unescape("".join(self.run)).split())
             if text:
-                self.blocks.append(Block(self.at[0], self.at[1], text))
-            self.run = []
+                self.blocks.append(Block(self.at[0], self.at[1], text, min(self.linked, len(text))))
+            self.run, self.linked = [], 0
         self.at = None
 
     def text(self, s: str) -> None:
@@ -100,6 +106,8 @@ class _Page:
         elif self.stack and self.stack[-1].place == "boilerplate" and self.at[1] != "boilerplate":
             return  # an inline element that is itself ruled out
         self.run.append(s)
+        if self.stack and self.stack[-1].link:
+            self.linked += len(s.strip())
 
     def close(self, i: int) -> None:
         if any(not e.inline for e in self.stack[i:]):
@@ -174,13 +182,13 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _VOID or m[3].endswith("/"):
             continue
         step, place = _place(tag, m[3], p.stack[-1].place if p.stack else "plain")
-        p.stack.append(_Open(tag, step, place, inline))
+        p.stack.append(_Open(tag, step, place, inline, tag == "a" or bool(p.stack and p.stack[-1].link)))
     p.flush()
     return p.blocks
 
 
 def path_scores(blocks: list[Block]) -> dict[str, float]:
-    """Score of every path that isn't boilerplate: smoothed, fused ratios and the place's own weight."""
+    """Score of every path that isn't boilerplate: smoothed, fused ratios and the place's prior."""
     own = [b for b in blocks if b.place != "boilerplate"]
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
@@ -198,11 +206,14 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     for i, b in enumerate(own):
         near = [(0.5, raw[i])] + [(0.25, raw[k]) for k in (i - 1, i + 1) if 0 <= k < len(raw)]
         smooth[b.path] = smooth.get(b.path, 0.0) + sum(a * x for a, x in near) / sum(a for a, _ in near)
-    article = any(b.place == "article" for b in own)
-    mean = {path: smooth[path] / c for path, c in count.items()}
-    top = max(mean.values(), default=1.0)
+    links: dict[str, int] = {}
+    for b in own:
+        links[b.path] = links.get(b.path, 0) + b.linked
+    mean = {path: smooth[path] / c * (1.0 if _HEADING.search(path) else 1 - links[path] / length[path]) for path, c in count.items()}
+    top = max(mean.values(), default=1.0) or 1.0
     place = {b.path: b.place for b in own}
-    return {path: x / top + (IN_ARTICLE if place[path] == "article" else OUTSIDE if article else 0.0) for path, x in mean.items()}
+    prior = IN_ARTICLE * sum(len(b.text) for b in own if b.place == "article") / max(1, sum(length.values()))
+    return {path: x / top + (prior if place[path] == "article" else -prior) for path, x in mean.items()}
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:

@@ -316,6 +316,19 @@ def test_very_long_page():
     assert tag_paths.main_text(page).count("\n") == 2999
 
 
+MAIN = "".join(f"<p>Paragraph {i} of the main text, which is long enough to count, and has marks of its own, too.</p>" for i in range(6))
+MAIN_TEXT = "\n".join(re.findall("<p>(.*?)</p>", MAIN))
+
+
+def test_ratios_decide_beside_an_article():
+    teaser = "<article><a href='x'>More news</a></article>"
+    links = "<ul>" + "".join(f"<li><a href='{i}'>Topic {i}</a></li>" for i in range(4)) + "</ul>"
+    assert tag_paths.main_text(f"<body><div>{MAIN}</div><ul><li>Home<li>About<li>Shop</ul></body>") == MAIN_TEXT
+    assert tag_paths.main_text(f"<body><div>{MAIN}</div>{teaser}</body>") == MAIN_TEXT  # the text outside a teaser
+    assert tag_paths.main_text(f"<body>{teaser}<div>{MAIN}</div>{teaser}</body>") == MAIN_TEXT
+    assert tag_paths.main_text(f"<article><h1><a href='/'>A title</a></h1>{links}{MAIN}</article>") == f"A title\n{MAIN_TEXT}"
+
+
 # op9
 
 
