@@ -6,7 +6,10 @@ block takes its path's ratios, both brought to 0..1 and fused; the sequence is s
 path's score is the mean of its blocks', less their share of linked text (headings aside), relative to the page's best
 path. To that comes a bounded prior: ``article`` and ``main`` speak for a path and against the others, by at most
 IN_ARTICLE and as far as they hold the page's text, so that a teaser hardly counts and the ratios can overturn it.
-Boilerplate containers (by tag, class, id or role) rule a path out. Paths that reach the threshold are content; all
+Boilerplate containers by tag or role rule a path out. Class and id are weighed: whole names count, alone or with the
+usual companions (``ad-top``, but not ``has-sidebar``), against the share of the page's text that the container holds. Up
+to WRAPPER of it the name stands and the path is out; from there to all of it the name loses its weight, and around an
+article that share needs only be ARTICLE_WRAPPER. Paths that reach the threshold are content; all
 their blocks are taken, in page order.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by a line feed. Pages
@@ -54,12 +57,19 @@ _BOILER_WORDS = {
     "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "related",
     "replies", "reply", "rss", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+# what such a word may stand with in a class name
+_COMPANIONS = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "container", "footer", "form", "global", "header", "icon", "icons", "inner", "item", "items", "js", "left",
+    "link", "links", "list", "main", "mobile", "desktop", "outer", "posts", "primary", "right", "secondary", "section", "site", "slot", "sticky", "text", "title", "top", "unit",
+    "wrap", "wrapper",
+}
 _BOILER_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "navigation", "search", "menu", "menubar"}
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 _WORD = re.compile(r"[a-z]+")
 _HEADING = re.compile(r"(?:^|/)h[1-6](?:\.[^/]*)?$")
 
 THRESHOLD = 0.5
+WRAPPER, ARTICLE_WRAPPER = 0.9, 0.5  # shares of the page's text from which a container is rather a wrapper than what its name says
 IN_ARTICLE = 0.45  # at most so much is added to a path's score inside an article, or taken from it outside
 _HALF_LENGTH, _HALF_MARKS = 60.0, 1.0  # ratios at which the measures reach one half
 
@@ -67,9 +77,10 @@ _HALF_LENGTH, _HALF_MARKS = 60.0, 1.0  # ratios at which the measures reach one
 @dataclass
 class Block:
     path: str
-    place: str  # article, boilerplate or plain
+    place: str  # article, named, boilerplate or plain
     text: str
     linked: int = 0  # characters of it in links
+    named: tuple[int, ...] = ()  # the containers around it whose names are boilerplate
 
 
 @dataclass
@@ -79,6 +90,7 @@ class _Open:
     place: str
     inline: bool = False
     link: bool = False
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -86,14 +98,15 @@ class _Page:
     stack: list[_Open] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     run: list[str] = field(default_factory=list)
-    at: tuple[str, str] | None = None
+    at: tuple[str, str, tuple[int, ...]] | None = None
     linked: int = 0
+    containers: int = 0
 
     def flush(self) -> None:
         if self.run:
             text = " ".join(entities.unescape("".join(self.run)).split())
             if text:
-                self.blocks.append(Block(self.at[0], self.at[1], text, min(self.linked, len(text))))
+                self.blocks.append(Block(self.at[0], self.at[1], text, min(self.linked, len(text)), self.at[2]))
             self.run, self.linked = [], 0
         self.at = None
 
@@ -102,9 +115,10 @@ class _Page:
             if not s.strip():
                 return
             steps = [e for e in self.stack if not e.inline]
-            self.at = "/".join(e.step for e in steps), self.stack[-1].place if self.stack else "plain"
-        elif self.stack and self.stack[-1].place == "boilerplate" and self.at[1] != "boilerplate":
-            return  # an inline element that is itself ruled out
+            top = self.stack[-1] if self.stack else _Open("", "", "plain")
+            self.at = "/".join(e.step for e in steps), top.place, top.named
+        elif self.stack and (self.stack[-1].place == "boilerplate" and self.at[1] != "boilerplate" or self.stack[-1].named != self.at[2]):
+            return  # an inline element that is itself ruled out or named
         self.run.append(s)
         if self.stack and self.stack[-1].link:
             self.linked += len(s.strip())
@@ -115,25 +129,37 @@ class _Page:
         del self.stack[i:]
 
 
-def _place(tag: str, attributes: str, outer: str) -> tuple[str, str]:
-    """Step of the path, and what kind of place the element is."""
+def _boiler_name(name: str) -> bool:
+    words = re.split(r"[-_:]+|(?<=[a-z])\d+", name)
+    words = [w for w in words if w and not w.isdigit()]
+    return any(w in _BOILER_WORDS for w in words) and all(w in _BOILER_WORDS or w in _COMPANIONS for w in words)
+
+
+def _place(tag: str, attributes: str, outer: str) -> tuple[str, str, bool]:
+    """Step of the path, what kind of place the element is, and whether its own name is boilerplate."""
     names: list[str] = []
     boiler = tag in _BOILER_TAGS or (tag == "header" and outer != "article")
+    named = False
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                names += value.split()
-                words = set(_WORD.findall(value))
-                boiler = boiler or (tag not in ("html", "body", "article", "main") and bool(words & _BOILER_WORDS)) or (tag == "article" and bool(words & {"comment", "comments", "reply"}))
+                own = value.split()
+                names += own
+                if tag == "article":
+                    named = named or bool(set(_WORD.findall(value)) & {"comment", "comments", "reply"})
+                else:
+                    named = named or (tag not in ("html", "body", "main") and any(_boiler_name(x) for x in own))
             elif key == "role":
                 boiler = boiler or value in _BOILER_ROLES
             else:
                 boiler = boiler or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
     step = ".".join([tag, *sorted(names)])
     if outer == "boilerplate" or boiler:
-        return step, "boilerplate"
-    return step, "article" if outer == "article" or tag in ("article", "main") else "plain"
+        return step, "boilerplate", named
+    if named:
+        return step, "named", True
+    return step, "article" if outer == "article" or tag in ("article", "main") else outer, False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -181,15 +207,38 @@ def blocks_of(page: str) -> list[Block]:
                 p.close(found)
         if tag in _VOID or m[3].endswith("/"):
             continue
-        step, place = _place(tag, m[3], p.stack[-1].place if p.stack else "plain")
-        p.stack.append(_Open(tag, step, place, inline, tag == "a" or bool(p.stack and p.stack[-1].link)))
+        outer = p.stack[-1] if p.stack else _Open("", "", "plain")
+        step, place, named = _place(tag, m[3], outer.place)
+        p.containers += named
+        p.stack.append(_Open(tag, step, place, inline, tag == "a" or outer.link, (*outer.named, p.containers) if named else outer.named))
     p.flush()
     return p.blocks
 
 
-def path_scores(blocks: list[Block]) -> dict[str, float]:
-    """Score of every path that isn't boilerplate: smoothed, fused ratios and the place's prior."""
+def name_weights(blocks: list[Block]) -> dict[str, float]:
+    """Of each path inside containers with boilerplate names: 0 where a name stands, 1 where all are wrappers' names."""
     own = [b for b in blocks if b.place != "boilerplate"]
+    whole = sum(len(b.text) for b in own)
+    held: dict[int, int] = {}
+    around: set[int] = set()  # containers with an article inside
+    for b in own:
+        for c in b.named:
+            held[c] = held.get(c, 0) + len(b.text)
+        if b.place == "article":
+            around.update(b.named)
+    out: dict[str, float] = {}
+    for b in own:
+        for c in b.named:
+            share = held[c] / whole
+            w = 1.0 if c in around and share >= ARTICLE_WRAPPER else max(0.0, (share - WRAPPER) / (1 - WRAPPER))
+            out[b.path] = min(out.get(b.path, 1.0), w)
+    return out
+
+
+def path_scores(blocks: list[Block]) -> dict[str, float]:
+    """Score of every path that isn't ruled out: smoothed, fused ratios, the place's prior and its names' weight."""
+    weight = name_weights(blocks)
+    own = [b for b in blocks if b.place != "boilerplate" and weight.get(b.path, 1.0) > 0]
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
     count: dict[str, int] = {}
@@ -213,7 +262,7 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     top = max(mean.values(), default=1.0) or 1.0
     place = {b.path: b.place for b in own}
     prior = IN_ARTICLE * sum(len(b.text) for b in own if b.place == "article") / max(1, sum(length.values()))
-    return {path: x / top + (prior if place[path] == "article" else -prior) for path, x in mean.items()}
+    return {path: weight.get(path, 1.0) * x / top + (prior if place[path] == "article" else -prior) for path, x in mean.items()}
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
@@ -221,7 +270,7 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
         return ""
     blocks = blocks_of(page)
     scores = path_scores(blocks)
-    return "\n".join(b.text for b in blocks if b.place != "boilerplate" and scores[b.path] >= threshold)
+    return "\n".join(b.text for b in blocks if b.place != "boilerplate" and scores.get(b.path, threshold - 1) >= threshold)
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -329,6 +329,22 @@ def test_ratios_decide_beside_an_article():
     assert tag_paths.main_text(f"<article><h1><a href='/'>A title</a></h1>{links}{MAIN}</article>") == f"A title\n{MAIN_TEXT}"
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-comments", "page-search", "content-ad-free", "search", "widget"])
+def test_a_wrapper_s_name_is_evidence_only(name):
+    side = "<div class='sidebar-left'><p>Long text, which goes on, and on. It has marks, too.</p></div>"
+    for kind in ("class", "id"):
+        assert tag_paths.main_text(f"<body><div {kind}='{name}'><article><h1>Title</h1>{MAIN}</article></div></body>") == f"Title\n{MAIN_TEXT}"
+        assert tag_paths.main_text(f"<body><div {kind}='{name}'>{MAIN}</div></body>") == MAIN_TEXT
+    assert tag_paths.main_text(f"<body><div class='{name}'><article>{MAIN}</article>{side}</div></body>") == MAIN_TEXT
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-top", "site-footer", "comments", "comment_list", "sidebar2", "related-posts"])
+def test_boilerplate_names_still_count(name):
+    part = f"<div class='x {name}'><p>Something long, which isn't the main text. It has marks, too.</p></div>"
+    for page in (f"<body><article>{MAIN}{part}</article></body>", f"<body><div>{MAIN}</div>{part}</body>", f"<body>{part}<article>{MAIN}</article></body>"):
+        assert tag_paths.main_text(page) == MAIN_TEXT
+
+
 # op9
 
 
