@@ -15,8 +15,8 @@ shingle of all its words). Two documents are linked where their sets' Jaccard si
 4. Connected components of the verified links give the class ids.
 
 So no pair of rows is ever written for a group: a group of n different near copies costs n * n / BLOCK rows of text in
-step 3 to count its links exactly. Very full subtrees are split into parts of SUBTREE representatives that share one
-member. Components are found by joins; neither links nor labels come to the driver.
+step 3 to count its links exactly. A subtree of more than SUBTREE representatives is split into parts of half as many, and
+each pair of parts is a task's group of its own, so all its members meet. Components are found by joins; neither links nor labels come to the driver.
 
 Edge cases: a null or empty text has no shingle and is linked to nothing; equal texts, however short, are linked;
 repeated rows are copies of each other; a null id is smaller than none and never names a class unless its class has no
@@ -153,22 +153,17 @@ def trie_joins(cls: np.ndarray, sig: np.ndarray, tree: int, depth: int, alike: i
         for lo, hi in zip(np.concatenate(([0], change)).tolist(), np.concatenate((change, [n])).tolist()):
             if hi - lo < 2 or (cluster[lo:hi] == cluster[lo]).all():
                 continue
-            own, seen = cluster[lo:hi], set()
-            for p in range(hi - lo):  # the first member of each cluster meets all others
-                mine = int(own[p])
-                if mine in seen:
-                    continue
-                seen.add(mine)
-                others = np.flatnonzero(own != mine)
+            own = cluster[lo:hi]
+            for p in range(hi - lo):  # every member meets those after it that its cluster isn't joined with
+                others = p + 1 + np.flatnonzero(own[p + 1 :] != own[p])
                 if not len(others):
-                    break
+                    continue
                 agree = (sig[lo + others] == sig[lo + p]).sum(axis=1) >= alike
                 for q in others[agree].tolist():
                     if own[q] != own[p]:
                         pairs.append((int(cls[lo + p]), int(cls[lo + q])))
                         a, b = sorted((int(own[p]), int(own[q])))
                         cluster[cluster == b] = a
-                        seen.add(a)
     return pairs
 
 
@@ -177,20 +172,22 @@ def candidate_links(classes: DataFrame, depth: int, threshold: float) -> DataFra
     hashes = TREES * DEPTH
     alike = math.floor(hashes * threshold - 4 * math.sqrt(hashes * threshold * (1 - threshold)))
     labels = classes.select("cls", F.posexplode("keys").alias("tree", "key"))
-    trees = labels.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).where("n > 1")
-    parts = F.ceil(F.col("n") / SUBTREE).cast("int")
-    part = F.when(F.col("cls") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), parts).cast("int")))
-    members = labels.join(trees, "key").select("key", F.explode(part).alias("part"), "tree", "cls").join(classes.select("cls", "sig"), "cls")
+    trees = labels.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.when(F.col("n") > SUBTREE, F.ceil(F.col("n") / (SUBTREE // 2))).otherwise(1).cast("int")
+    dealt = labels.join(trees, "key").select("key", "tree", "cls", parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
+    members = dealt.select("key", "tree", "cls", "part", F.explode(others).alias("other")).select(
+        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "tree", "cls").join(classes.select("cls", "sig"), "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, 2):
+        for g in _groups(batches, 3):
             if g.num_rows > 1:
                 sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(-1, hashes)
                 pairs = trie_joins(g.column("cls").to_numpy(), sig, g.column("tree")[0].as_py(), depth, alike)
                 if pairs:
                     yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
 
-    ordered = members.select("key", "part", "tree", "cls", "sig").repartition("key", "part").sortWithinPartitions("key", "part")
+    ordered = members.select("key", "i", "j", "tree", "cls", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 

@@ -218,6 +218,34 @@ def test_large_group_over_blocks(spark, monkeypatch):
     check_near(spark, [(i, t) for i, t in enumerate(variants(1, 60) + variants(2, 3) + ["same text"] * 40)])
 
 
+def test_members_of_different_parts_of_a_subtree_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "SUBTREE", 4)
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(20):  # pairs that agree in all hashes, pairs of a family that shares one prefix only
+        sig = rng.integers(0, 256, near_join.TREES * near_join.DEPTH, dtype=np.uint8)
+        sig[: near_join.DEPTH] = 1
+        rows += [(2 * k, [5], bytearray(sig.tobytes())), (2 * k + 1, [5], bytearray(sig.tobytes()))]
+    found = near_join.candidate_links(spark.createDataFrame(rows, "cls long, keys array<long>, sig binary"), 5, 0.8).collect()
+    assert {tuple(sorted(r)) for r in found} == {(2 * k, 2 * k + 1) for k in range(20)}
+
+
+def test_clusters_are_joined_by_any_of_their_members():
+    rng = np.random.default_rng(3)
+    a0, b0 = rng.integers(0, 256, (2, near_join.TREES * near_join.DEPTH), dtype=np.uint8)
+    a0[: near_join.DEPTH], b0[: near_join.DEPTH] = 1, 1
+    a1, b1 = a0.copy(), b0.copy()
+    a1[6:36], b1[36:66] = 7, 8
+    b1[:36], b1[66:] = a1[:36], np.where(np.arange(54) < 12, a1[66:], b0[66:])  # a1 and b1 share some hashes of b0's
+    sig = np.stack([a0, a1, b0, b1])
+    agree = (sig[:, None] == sig[None]).sum(axis=2)
+    alike = int(min(agree[0, 1], agree[2, 3]))
+    first = [agree[0, 2], agree[0, 3], agree[1, 2]]
+    alike = min(alike, int(agree[1, 3]))
+    assert alike > max(first)
+    assert len(near_join.trie_joins(np.arange(4), sig, 0, 5, alike)) == 3
+
+
 def test_null_ids_and_one_document_of_each_group(spark):
     rows = [(None, "a b c d e f g h"), (5, "a b c d e f g h"), (7, "A B c d e f g h"), (8, ""), (9, ""), (None, None), (None, "only here x y"), (None, "only here x y"), (4, "other words")]
     check_near(spark, rows)
