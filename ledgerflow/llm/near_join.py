@@ -285,14 +285,13 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, id_col: str,
     return ordered.mapInArrow(run, "a long, b long, links long")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, class_id, n_links): one row per document; class_id is the smallest id of the documents it hangs
-    together with by links, n_links the number of other documents that it is linked to itself."""
+def _joined(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``join`` with keep: the row of the class that stands first by id (null ids last) and row hash."""
     depth = least_depth(threshold, recall)
     own = staged(features(docs, depth, id_col, text_col), "shingled")
     classes = staged(
         own.where("cls is not null").groupBy("cls").agg(
-            F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.count("*").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")),
+            F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.min("row").alias("row"), F.count("*").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")),
         "classes")
     found = components(candidate_links(classes, depth, threshold)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     sizes = found.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -300,15 +299,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     checked = staged(verified(docs, members, threshold, id_col, text_col), "verified")
     roots = components(checked.where("b is not null")).select(F.col("node").alias("cls"), "root")
     links = checked.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    per_class = classes.select("cls", "first_id", "size").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = per_class.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    per_class = per_class.join(ids, "root").join(links, "cls", "left").select("cls", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = classes.select("cls", "first_id", "first", "size").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ids = per_class.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min("first")["row"].alias("keep"))
+    per_class = per_class.join(ids, "root").join(links, "cls", "left").select("cls", "class_id", "keep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return own.select("row", "doc_id", "cls").join(per_class, "cls", "left").select(
-        "row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        "row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "keep")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, class_id, n_links): one row per document; class_id is the smallest id of the documents it hangs
+    together with by links, n_links the number of other documents that it is linked to itself."""
+    return _joined(docs, threshold, recall, id_col, text_col).drop("keep")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, that of the smallest id, with all its columns; rows equal in id and text stay or go
-    together."""
-    gone = join(docs, threshold, recall, id_col, text_col).where("n_links > 0 and not (doc_id <=> class_id)").select(F.col("row").alias("_gone"))
+    """One document of each class, the first by id (null ids last) and then by a hash of id and text, with all its columns;
+    rows equal in id and text count as one document and stay or go together."""
+    gone = _joined(docs, threshold, recall, id_col, text_col).where("n_links > 0 and row != keep").select(F.col("row").alias("_gone"))
     return docs.join(gone.distinct(), _row(id_col, text_col) == F.col("_gone"), "left_anti")

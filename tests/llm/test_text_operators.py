@@ -255,6 +255,12 @@ def test_null_ids_and_one_document_of_each_group(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in [rows[1], *rows[3:9]])
 
 
+def test_one_text_of_groups_with_equal_or_null_ids(spark):
+    groups = [[(5, "a b c d e f g"), (5, "A b c d e f g"), (5, "a B c d e f g")], [(None, "p q r s"), (None, "P q r s")], [(None, "k l m"), (None, "K l m"), (9, "k L m")]]
+    kept = [tuple(r) for r in near_join.drop_near_copies(spark.createDataFrame(sum(groups, []), "doc_id long, text string")).collect()]
+    assert [sum(x in g for x in kept) for g in groups] == [1, 1, 1] and (9, "k L m") in kept
+
+
 def test_least_depth():
     assert near_join.least_depth(0.8, 0.999, 20, 6) == 5 and near_join.least_depth(0.8, 0.9999999, 20, 6) < 5
     with pytest.raises(ValueError):
