@@ -41,6 +41,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """As ``staged``, and the folder, for ``discard`` when nothing reads it any more."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this package wrote."""
+    from ledgerflow.sources.files import remove_path
+
+    remove_path(spark, path)
+
+
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 
