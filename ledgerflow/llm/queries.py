@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerflow.llm import bloom_lm, byte_bpe, decontaminate, filter_audit, host_trust, length_histogram, line_templates, near_join, tag_paths, token_alignment, token_frames, weak_quality
+from ledgerflow.llm import bloom_lm, byte_bpe, decontaminate, filter_audit, host_trust, length_histogram, line_templates, near_join, tag_paths, token_alignment, token_frames, toxicity, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.report(table(spark, sf_dir, "documents"))
 
@@ -64,5 +68,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op2_bloom_lm, op3_byte_bpe, op4_weak_quality, op5_near_join, op6_token_frames, op7_length_histogram, op8_tag_paths, op9_pigeonhole, op10_line_templates, op12_token_alignment, op13_filter_audit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_trust, op2_bloom_lm, op3_byte_bpe, op4_weak_quality, op5_near_join, op6_token_frames, op7_length_histogram, op8_tag_paths, op9_pigeonhole, op10_line_templates, op11_toxicity, op12_token_alignment, op13_filter_audit)}
 ORACLE: dict[str, str] = {"op1_host_trust": host_trust.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
