@@ -27,6 +27,7 @@ MEMO = 1_000_000
 # the bound of the words that are encoded once per corpus, and then of a worker's memory of the others
 FREQUENT = 1 << 19
 OTHERS = 200_000
+JOINED = 256  # words that are encoded together
 LONG_KEY = 64  # bytes; longer words are encoded where they are met
 
 
@@ -38,9 +39,22 @@ def public_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def _keys(text: str) -> list[str]:
-    """Words of a text; one that starts with a line feed stands for line feed + word, any other for space + word."""
-    return text.replace("\n", " \n").split(" ")
+def word_keys(texts: list[str | None]) -> list[list[str] | None]:
+    """Per text its words, if its only white space is single spaces and line feeds between words, else none. A word that
+    starts with a line feed stands for line feed + word, any other for space + word."""
+    out: list[list[str] | None] = []
+    for t in texts:
+        if not t:
+            out.append(None)
+            continue
+        keys = t.split(" ")
+        if "\n" in t:
+            plain = t.replace("\n", " ").split(" ") == t.split()
+            keys = t.replace("\n", " \n").split(" ") if plain else None
+        elif keys != t.split():
+            keys = None
+        out.append(keys)
+    return out
 
 
 class WordMemo:
@@ -59,44 +73,46 @@ class WordMemo:
     def words(self, keys: list[str]) -> list[bytes]:
         raise NotImplementedError
 
-    def plain(self, texts: list[str], led: bool) -> list[bytes]:
-        """Ids of texts whose only white space is single spaces and line feeds between words."""
+    def plain(self, texts: list[list[str]], led: bool) -> list[bytes]:
+        """Ids of texts from their words."""
         out, lo = [], 0
         feed = len(self.words(["\n"])[0]) if not led and texts else 0
-        while lo < len(texts):  # groups of texts whose words fit the memory together
+        known = self.frequent.get if self.frequent else self.memo.get
+        while lo < len(texts):  # groups of texts whose other words fit the memory together
             need: set[str] = set()
             hi, group = lo, []
             while hi < len(texts) and (hi == lo or len(need) < self.limit // 4):
-                keys = _keys(texts[hi])
-                if not led:
-                    keys[0] = "\n" + keys[0]
-                group.append(keys)
-                need.update(keys)
+                keys = texts[hi] if led else ["\n" + texts[hi][0], *texts[hi][1:]]
+                parts = list(map(known, keys))
+                if None in parts:
+                    need.update([k for k, p in zip(keys, parts) if p is None])
+                    group.append((keys, parts))
+                else:
+                    group.append((None, parts))
                 hi += 1
-            new = [k for k in need if k not in self.frequent and k not in self.memo]
+            new = [k for k in need if k not in self.memo]
             if len(self.memo) + len(new) > self.limit:
                 self.memo.clear()
-                new = [k for k in need if k not in self.frequent]
+                new = list(need)
             for at in range(0, len(new), 20_000):
                 some = new[at : at + 20_000]
                 self.memo.update(zip(some, self.words(some)))
-            known, other = self.frequent.get, self.memo.__getitem__
-            for keys in group:
-                parts = list(map(known, keys)) if self.frequent else list(map(other, keys))
-                if self.frequent and None in parts:
+            other = self.memo.__getitem__
+            for keys, parts in group:
+                if keys is not None:
                     parts = [other(k) if p is None else p for k, p in zip(keys, parts)]
                 out.append(b"".join(parts)[feed:])
             lo = hi
         return out
 
-    def __call__(self, texts: list[str | None], led: bool = False) -> list[bytes]:
-        """Ids of each text; null and empty texts have none. With ``led``, of a space and the text."""
+    def __call__(self, texts: list[str | None], led: bool = False, keys: list[list[str] | None] | None = None) -> list[bytes]:
+        """Ids of each text; null and empty texts have none. With ``led``, of a space and the text. ``keys`` are the texts'
+        ``word_keys``, where they are known already."""
         out: list[bytes] = [b""] * len(texts)
-        words, others = [], []
-        for i, t in enumerate(texts):
-            if t:
-                (words if t.replace("\n", " ").split(" ") == t.split() else others).append(i)
-        for i, ids in zip(words, self.plain([texts[i] for i in words], led)):
+        keys = word_keys(texts) if keys is None else keys
+        words = [i for i, k in enumerate(keys) if k is not None]
+        others = [i for i, (t, k) in enumerate(zip(texts, keys)) if t and k is None]
+        for i, ids in zip(words, self.plain([keys[i] for i in words], led)):
             out[i] = ids
         for i, ids in zip(others, self.whole([" " + texts[i] if led else texts[i] for i in others]) if others else ()):
             out[i] = ids
@@ -115,14 +131,29 @@ class WordMemoEncoder(WordMemo):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.feed = self.whole(["\n"])[0]
+        sizes = [len(b) for b in byte_level_bytes(path)]
+        specials = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.sizes = np.array([specials.get(i, n) for i, n in enumerate(sizes + [0] * (max([-1, *specials]) + 1 - len(sizes)))], np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in out]
 
     def words(self, keys: list[str]) -> list[bytes]:
-        ids = self.whole([k[1:] if k[:1] == "\n" else " " + k for k in keys])
-        return [self.feed + v if k[:1] == "\n" else v for k, v in zip(keys, ids)]
+        """Clean words are encoded in lines of JOINED and cut by the bytes that each id stands for."""
+        out: list[bytes] = [b""] * len(keys)
+        clean = [i for i, k in enumerate(keys) if (w := k[k[:1] == "\n" :]) and w.split() == [w]]
+        lines = [clean[at : at + JOINED] for at in range(0, len(clean), JOINED)]
+        words = [[keys[i] if keys[i][0] == "\n" else " " + keys[i] for i in line] for line in lines]
+        for line, parts, ids in zip(lines, words, self.whole(["".join(w) for w in words]) if words else ()):
+            ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+            cuts = [0, *(np.searchsorted(ends, np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in parts])) + 1).tolist()]
+            for i, lo, hi in zip(line, cuts, cuts[1:]):
+                out[i] = ids[4 * lo : 4 * hi]
+        rest = sorted(set(range(len(keys))).difference(clean))
+        for i, ids in zip(rest, self.whole([keys[i][1:] if keys[i][:1] == "\n" else " " + keys[i] for i in rest]) if rest else ()):
+            out[i] = self.feed + ids if keys[i][:1] == "\n" else ids
+        return out
 
 
 class PieceEncoder(WordMemo):
@@ -146,8 +177,8 @@ class PieceEncoder(WordMemo):
         # before a line feed the added space is a piece of its own: it is cut off
         return [ids[2:] if k[:1] == "\n" else ids for k, ids in zip(keys, self.whole([" " + k for k in keys]))]
 
-    def __call__(self, texts: list[str | None], led: bool = True) -> list[bytes]:
-        return super().__call__(texts, led=True)
+    def __call__(self, texts: list[str | None], led: bool = True, keys: list[list[str] | None] | None = None) -> list[bytes]:
+        return super().__call__(texts, True, keys)
 
 
 def piece_bytes(path: str) -> list[bytes]:

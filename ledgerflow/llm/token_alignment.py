@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import staged_at
-from ledgerflow.llm.encoder import OTHERS, PieceEncoder, WordMemoEncoder, byte_level_bytes, frequent_ids, piece_bytes, public_path
+from ledgerflow.llm.encoder import OTHERS, PieceEncoder, WordMemoEncoder, byte_level_bytes, frequent_ids, piece_bytes, public_path, word_keys
 
 SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT_WORDS = 1 << 18
@@ -83,10 +83,11 @@ class Aligner:
     def _tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per side: document and id of each token, of the documents whose bytes both sides give back."""
         wanted = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        sides = []
+        sides, keys = [], word_keys(texts)
         for encode, side in ((self.encode_a, self.a), (self.encode_b, self.b)):
-            ids = [np.frombuffer(x, encode.dtype) for x in encode(texts, led=True)]
-            sides.append((np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64), side))
+            ids = encode(texts, True, keys)
+            width = np.dtype(encode.dtype).itemsize
+            sides.append((np.repeat(np.arange(len(ids)), [len(x) // width for x in ids]), np.frombuffer(b"".join(ids), encode.dtype).astype(np.int64), side))
         sizes = np.array([len(w) for w in wanted], np.int64)
         whole = np.ones(len(texts), bool)
         for doc, ids, side in sides:
