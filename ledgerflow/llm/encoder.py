@@ -61,6 +61,8 @@ class WordMemo:
     """Ids of texts as bytes of ``dtype``; subclasses encode whole texts and single words."""
 
     dtype = "<u4"
+    # marks after an ASCII letter at a word's end that are always a piece of their own, with their ids
+    ending: dict[str, bytes] = {}
 
     def __init__(self, memo: int = MEMO, frequent: dict[str, bytes] | None = None):
         self.memo: dict[str, bytes] = {}
@@ -73,6 +75,18 @@ class WordMemo:
     def words(self, keys: list[str]) -> list[bytes]:
         raise NotImplementedError
 
+    def learn(self, keys: list[str]) -> None:
+        """Put words into the memory. Marks that end a word are pieces of their own (see ``ending``), so a word is encoded
+        once with and without them."""
+        bare = [k[:-1] if k[-1:] in self.ending and k[-2:-1].isascii() and k[-2:-1].isalpha() else k for k in keys]
+        new = list({b for b in bare if b not in self.memo and b not in self.frequent})
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            self.memo.update(zip(some, self.words(some)))
+        for k, b in zip(keys, bare):
+            if k is not b:
+                self.memo[k] = (self.memo[b] if b in self.memo else self.frequent[b]) + self.ending[k[-1:]]
+
     def plain(self, texts: list[list[str]], led: bool) -> list[bytes]:
         """Ids of texts from their words."""
         out, lo = [], 0
@@ -84,19 +98,14 @@ class WordMemo:
             while hi < len(texts) and (hi == lo or len(need) < self.limit // 4):
                 keys = texts[hi] if led else ["\n" + texts[hi][0], *texts[hi][1:]]
                 parts = list(map(known, keys))
-                if None in parts:
+                missing = None in parts
+                if missing:
                     need.update([k for k, p in zip(keys, parts) if p is None])
-                    group.append((keys, parts))
-                else:
-                    group.append((None, parts))
+                group.append((keys if missing else None, parts))
                 hi += 1
-            new = [k for k in need if k not in self.memo]
-            if len(self.memo) + len(new) > self.limit:
+            if len(self.memo) + 2 * len(need) > self.limit:
                 self.memo.clear()
-                new = list(need)
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                self.memo.update(zip(some, self.words(some)))
+            self.learn([k for k in need if k not in self.memo])
             other = self.memo.__getitem__
             for keys, parts in group:
                 if keys is not None:
@@ -133,6 +142,7 @@ class WordMemoEncoder(WordMemo):
         self.feed = self.whole(["\n"])[0]
         sizes = [len(b) for b in byte_level_bytes(path)]
         specials = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.ending = {mark: self.whole([mark])[0] for mark in ",."}
         self.sizes = np.array([specials.get(i, n) for i, n in enumerate(sizes + [0] * (max([-1, *specials]) + 1 - len(sizes)))], np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:

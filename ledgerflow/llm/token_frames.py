@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import input_bytes, new_path
-from ledgerflow.llm.encoder import FREQUENT, OTHERS, WordMemoEncoder, frequent_ids, public_path, worker_encoder
+from ledgerflow.llm.encoder import worker_encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -116,17 +116,14 @@ class FrameFile:
 
 def write_token_files(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
-    end_id: int = END_ID, file_bytes: int = FILE_BYTES, frequent_words: int = FREQUENT,
+    end_id: int = END_ID, file_bytes: int = FILE_BYTES,
 ) -> list[tuple[str, int, int]]:
-    """Encode and write all documents below ``path``; (file, documents, ids) per file in ascending order of the ids. The
-    ``frequent_words`` most frequent words are encoded once and sent to all workers."""
+    """Encode and write all documents below ``path``; (file, documents, ids) per file in ascending order of the ids."""
     end = np.asarray([end_id], "<u4").tobytes()
     spark = docs.sparkSession
-    own = frequent_ids(docs, text_col, lambda: [worker_encoder(vocabulary, False)], frequent_words)[0] if frequent_words else {}
-    shared = spark.sparkContext.broadcast(own)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = WordMemoEncoder(public_path(vocabulary), OTHERS, shared.value, plain_specials=False), TaskContext.get()
+        encode, task = worker_encoder(vocabulary, plain_specials=False), TaskContext.get()
 
         def contents() -> Iterator[tuple[int | None, bytes]]:
             for b in batches:
@@ -149,7 +146,6 @@ def write_token_files(
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", "text")
     done = dealt.mapInArrow(write, "file string, n_docs long, n_ids long").collect()
-    shared.destroy()
     return sorted((f"{path}/{r.file}", r.n_docs, r.n_ids) for r in done)
 
 

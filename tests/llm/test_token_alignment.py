@@ -144,3 +144,12 @@ def test_word_memory_gives_the_libraries_ids(sides):
     assert [np.frombuffer(x, "<u4").tolist() for x in a(texts)] == [a.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in a(texts, led=True)] == [a.tokenizer.encode(" " + t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u2").tolist() for x in b(texts)] == [b.model.encode(t) for t in texts]
+
+
+def test_default_encoder_makes_of_special_strings_what_the_library_does():
+    e = en.worker_encoder("byte_bpe_50k.json", plain_specials=False)
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y\n<|endoftext|>", "<|endoftext|>", "plain, text. don't stop.\nnew line, é. U.S. 3."]
+    import numpy as np
+
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(e(texts)[0], "<u4")
