@@ -68,7 +68,7 @@ def warehouse_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mart rows that the daily job stored for its day."""
     root = work_path(spark, "warehouse", unique=True)
     jobs.daily_warehouse_job(spark, _scored(spark, sf_dir), root, RUN_DAY, now=F.lit(STAMP).cast("timestamp"))
-    return spark.read.parquet(f"{root}/daily_transaction_summary").select(*marts.MART_COLUMNS)
+    return files.read_lake(spark, f"{root}/daily_transaction_summary").select(*marts.MART_COLUMNS)
 
 
 def backfill_status(spark: SparkSession, sf_dir: str) -> DataFrame:

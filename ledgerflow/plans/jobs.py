@@ -55,11 +55,11 @@ def daily_lake_etl(spark: SparkSession, source: DataFrame, lake_root: str, run_d
         p95 = exact_percentiles(base, "amount", [0.95])[0.95]
         enriched = enrich_transactions(base, p95=p95)
         rows_path = f"{lake_root.rstrip('/')}/paysim_transactions"
-        part = files.write_lake(enriched, rows_path, day)
-        written = spark.read.parquet(part)
+        files.write_lake(enriched, rows_path, day)
+        written = files.read_lake(spark, rows_path).where(F.col("date") == F.lit(day).cast("date")).drop("date")
         m = metrics.fraud_metrics(written)
         files.write_lake(m, f"{lake_root.rstrip('/')}/fraud_metrics", day)
-        stored = spark.read.parquet(f"{lake_root.rstrip('/')}/fraud_metrics/date={day}")
+        stored = files.read_lake(spark, f"{lake_root.rstrip('/')}/fraud_metrics").where(F.col("date") == F.lit(day).cast("date")).drop("date")
         return metrics.job_result(stored, status="success", run_date=day)
     except Exception as e:  # the job reports instead of raising, like the reference
         return spark.createDataFrame(
@@ -94,7 +94,7 @@ def _load_days(spark: SparkSession, processed: DataFrame, root: str, days: list[
     files.replace_partitions(processed, f"{root}/transactions_processed", "date", days)
     schema = T.StructType([*[f for f in processed.schema.fields if f.name != "date"], T.StructField("date", T.DateType())])
     first, last = F.lit(days[0]).cast("date"), F.lit(days[-1]).cast("date")
-    stored = spark.read.schema(schema).parquet(f"{root}/transactions_processed").where(F.col("date").between(first, last))
+    stored = files.read_lake(spark, f"{root}/transactions_processed", schema).where(F.col("date").between(first, last))
     mart = marts.daily_transaction_summary(stored, ordered=False)
     files.replace_partitions(mart, f"{root}/daily_transaction_summary", "date", days)
     return stored

@@ -2,14 +2,15 @@
 
 * Every read has an explicit schema (no inference).
 * The lake is Parquet partitioned by ``date``. A job declares the dates it replaces: its rows are written to a
-  hidden folder beside the partitions and moved in date by date, and a declared date without rows loses its
-  old partition (``replace_partitions``).
+  hidden folder beside the partitions and published together by one renamed manifest, then moved in, and a declared date
+  without rows loses its old partition (``replace_partitions``).
 * Date filters are half-open ranges on the raw timestamp column, so they reach the Parquet scan as
   pushed filters; on a date-partitioned lake they prune partitions.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Sequence
@@ -23,6 +24,9 @@ from pyspark.sql import types as T
 from ledgerflow import schemas as S
 from ledgerflow.operators.enrich import rows_of_day
 
+MANIFESTS = ".manifests"
+READ_ATTEMPTS = 5
+
 # --- reads ---------------------------------------------------------------------------------------
 
 
@@ -62,11 +66,32 @@ def read_transactions_table(spark: SparkSession, url: str, table: str, propertie
 
 
 def read_lake(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet with partition discovery (``date=YYYY-MM-DD`` becomes a column)."""
-    reader = spark.read.option("basePath", path)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(path)
+    """Parquet with partition discovery (``date=YYYY-MM-DD`` becomes a column), as of the last publish: partitions that
+    ``replace_partitions`` has published but not yet moved are read where they lie."""
+    root = path.rstrip("/")
+    for _ in range(READ_ATTEMPTS):
+        before = _manifest(spark, root)
+        df = _read_published(spark, root, schema, *before[1:])
+        if _manifest(spark, root)[:2] == before[:2]:  # else folders were moved while they were listed
+            return df
+    raise OSError(f"{root} was published anew at each of {READ_ATTEMPTS} attempts to read it")
+
+
+def _read_published(spark: SparkSession, root: str, schema: T.StructType | None, settled: bool, content: dict) -> DataFrame:
+    def read(base: str, names: list[str] | None) -> DataFrame:
+        reader = spark.read.option("basePath", base)
+        reader = reader if schema is None else reader.schema(schema)
+        return reader.parquet(*([base] if names is None else [f"{base}/{n}" for n in names]))
+
+    if settled:
+        return read(root, None)
+    replaced, staging = content["folders"], f"{root}/{content['staging']}"
+    there, waiting = set(list_names(spark, root)), [n for n in list_names(spark, staging) if n in replaced]
+    placed = [n for n in there if "=" in n and (n not in replaced or (replaced[n] and n not in waiting))]
+    parts = [read(base, sorted(names)) for base, names in ((root, placed), (staging, waiting)) if names]
+    if not parts:
+        return read(root, None)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def read_seed(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
@@ -103,27 +128,84 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(path_class(path))]
 
 
+def _renamed(fs, path_class, source: str, target: str) -> None:
+    if not fs.rename(path_class(source), path_class(target)):
+        raise OSError(f"can't move {source} to {target}")
+
+
+def _write_text(fs, path_class, path: str, text: str) -> None:
+    out = fs.create(path_class(path), False)  # fails if it is there
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _manifest(spark: SparkSession, root: str) -> tuple[int, bool, dict]:
+    """The table's last publish: its number (0: none), whether all its folders are in place, and its content."""
+    names = list_names(spark, f"{root}/{MANIFESTS}")
+    last = max((int(n[: -len(".json")]) for n in names if n.endswith(".json")), default=0)
+    if not last:
+        return 0, True, {}
+    text = "\n".join(r.value for r in spark.read.text(f"{root}/{MANIFESTS}/{last}.json").collect())
+    return last, f"{last}.settled" in names, json.loads(text)
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Bring the folders of the last publish into place, wherever an earlier attempt stopped; safe to repeat."""
+    root = path.rstrip("/")
+    number, settled, content = _manifest(spark, root)
+    if settled:
+        return
+    fs, path_class = _files(spark, root)
+    staging, old = f"{root}/{content['staging']}", f"{root}/.old-{number}"
+    for name, has_rows in content["folders"].items():
+        source, target, aside = f"{staging}/{name}", f"{root}/{name}", f"{old}/{name}"
+        waiting = has_rows and fs.exists(path_class(source))
+        if (waiting or not has_rows) and fs.exists(path_class(target)):
+            fs.mkdirs(path_class(old))
+            _renamed(fs, path_class, target, aside)
+        if waiting:
+            _renamed(fs, path_class, source, target)
+    _write_text(fs, path_class, f"{root}/{MANIFESTS}/{number}.settled", "")
+    for leftover in (staging, old, f"{root}/{MANIFESTS}/{number - 1}.json", f"{root}/{MANIFESTS}/{number - 1}.settled"):
+        fs.delete(path_class(leftover), True)
+
+
 def replace_partitions(df: DataFrame, path: str, column: str, values: Sequence[str]) -> None:
     """Make the partitions ``column=value`` of the declared values hold exactly ``df``'s rows; other partitions stay.
 
-    The rows are written first, so a failed write leaves everything as it was. Rows of values that weren't declared
-    are an error."""
+    All rows are written to a staging folder first. Then a manifest, a numbered file that names the staging folder and the
+    partitions it replaces, is renamed into ``.manifests``: that one call publishes all partitions together. Until then
+    every reader sees the old rows; from then on ``read_lake`` gives the new ones, from the staging folder as long as they
+    aren't in place. Old folders are moved aside, new ones moved in, and the old ones deleted only when all are
+    in place. A call that fails in between loses nothing: the next write or ``settle`` goes on from there.
+    One writer a table: of two, the second can't rename its manifest and fails. Rows of values that weren't declared are an
+    error."""
     spark = df.sparkSession
     root = path.rstrip("/")
-    staging = f"{root}/_staging-{uuid.uuid4().hex[:12]}"  # readers skip names that start with an underscore
-    df.write.partitionBy(column).parquet(staging)
+    settle(spark, root)
+    number = _manifest(spark, root)[0] + 1
+    fs, path_class = _files(spark, root)
+    staging, manifest = f".staging-{uuid.uuid4().hex[:12]}", f"{root}/{MANIFESTS}/{number}.json"
     try:
-        fs, path_class = _files(spark, root)
-        written = {n for n in list_names(spark, staging) if n.startswith(f"{column}=")}
+        df.write.partitionBy(column).parquet(f"{root}/{staging}")
+        written = {n for n in list_names(spark, f"{root}/{staging}") if n.startswith(f"{column}=")}
         declared = [f"{column}={v}" for v in values]
         if not written <= set(declared):
             raise ValueError(f"rows of partitions that weren't declared: {sorted(written - set(declared))}")
-        for name in declared:
-            fs.delete(path_class(f"{root}/{name}"), True)
-            if name in written and not fs.rename(path_class(f"{staging}/{name}"), path_class(f"{root}/{name}")):
-                raise OSError(f"can't move {name} into {root}")
-    finally:
-        remove_path(spark, staging)
+        fs.mkdirs(path_class(f"{root}/{MANIFESTS}"))
+        own = f"{root}/{MANIFESTS}/{staging}.tmp"
+        _write_text(fs, path_class, own, json.dumps({"staging": staging, "folders": {n: n in written for n in declared}}))
+        if fs.exists(path_class(manifest)):
+            raise OSError(f"another writer has published {manifest}")
+        _renamed(fs, path_class, own, manifest)
+    except BaseException:
+        # only where it is certain that nothing was published; otherwise the folder may be the table's
+        if not path_exists(spark, manifest):
+            remove_path(spark, f"{root}/{staging}")
+        raise
+    settle(spark, root)
 
 
 def days_between(start: str | Date, end: str | Date) -> list[str]:
