@@ -24,8 +24,8 @@ from ledgerflow.streaming import consumer, upsert
 
 RUN_DAY, RANGE = "2019-03-01", ("2019-02-20", "2019-03-10")
 STAMP = "2024-01-01 00:00:00"
-DAY_MS = 24 * 3600 * 1000
-TOPIC_FILES = 8
+KEPT_MS = 3650 * 24 * 3600 * 1000  # keys of the topic are remembered for ten years of event time: duplicates stand far apart
+TOPIC_FILES = 20
 MONEY = ["amount", "sender_old_balance", "sender_new_balance", "receiver_old_balance", "receiver_new_balance"]
 RAW_ORDER = ["isFlaggedFraud", "nameDest", "newbalanceOrg", "oldbalanceOrg", "amount", "type", "step", "nameOrig", "newbalanceDest", "oldbalanceDest", "isFraud"]
 
@@ -38,21 +38,49 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_transactions(spark, sf_dir)
 
 
+def _topic_files(spark: SparkSession, messages: DataFrame, folder: str, n: int) -> list[str]:
+    """Write the topic as ``n`` files in offset order, times of change included; their names in that order."""
+    messages.repartitionByRange(n, "offset").sortWithinPartitions("offset").write.parquet(folder)
+    fs, path_class = files._files(spark, folder)
+    names = sorted(x for x in files.list_names(spark, folder) if x.startswith("part-"))
+    for i, name in enumerate(names):
+        fs.setTimes(path_class(f"{folder}/{name}"), 1_600_000_000_000 + 1000 * i, -1)
+    return names
+
+
+_STREAMS: dict[tuple[str, str], str] = {}
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> str:
-    """Run the stream job over the topic fixture; the store's folder."""
+    """The store's folder of the stream job over the topic fixture: one run a session, which three queries read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STREAMS:
+        _STREAMS[key] = _run_stream(spark, sf_dir)
+    return _STREAMS[key]
+
+
+def _run_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Run it one file a micro-batch, with a stop after half of the files, a compaction of the store, and a restart from the
+    checkpoint."""
     root = work_path(spark, "stream", unique=True)
-    fixtures.topic_messages(spark, sf_dir).repartitionByRange(TOPIC_FILES, "offset").write.parquet(f"{root}/topic")
-    source = read_topic_files(spark, f"{root}/topic", max_files_per_trigger=TOPIC_FILES)
-    query = consumer.start_transaction_stream(source, f"{root}/store", f"{root}/progress", state_ttl_ms=DAY_MS, statuses=True)
-    query.awaitTermination()
+    names = _topic_files(spark, fixtures.topic_messages(spark, sf_dir), f"{root}/all", TOPIC_FILES)
+    fs, path_class = files._files(spark, root)
+    fs.mkdirs(path_class(f"{root}/topic"))
+    for arrived in (names[: TOPIC_FILES // 2], names[TOPIC_FILES // 2 :]):
+        for name in arrived:
+            if not fs.rename(path_class(f"{root}/all/{name}"), path_class(f"{root}/topic/{name}")):
+                raise OSError(f"can't move {name}")
+        source = read_topic_files(spark, f"{root}/topic", max_files_per_trigger=1)
+        query = consumer.start_transaction_stream(source, f"{root}/store", f"{root}/progress", state_ttl_ms=KEPT_MS, statuses=True, event_time=True)
+        query.awaitTermination()
+        upsert.compact(spark, f"{root}/store")
+    files.remove_path(spark, f"{root}/topic")
     return f"{root}/store"
 
 
 def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table that the stream stored, after compaction."""
-    root = _stream(spark, sf_dir)
-    upsert.compact(spark, root)
-    return _double_money(upsert.read_table(spark, root).select(*S.UPSERT_KEY, *S.UPSERT_FIELDS))
+    """The table that the stream stored, after compactions and a restart."""
+    return _double_money(upsert.read_table(spark, _stream(spark, sf_dir)).select(*S.UPSERT_KEY, *S.UPSERT_FIELDS))
 
 
 def stream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +88,12 @@ def stream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_stream(spark, sf_dir)}/statuses").select("message_key", "offset", "status")
 
 
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages per status over all micro-batches of both runs, and the number of batches."""
+    counts = spark.read.parquet(f"{_stream(spark, sf_dir)}/status_counts")
+    return counts.groupBy("status").agg(F.sum("messages").alias("messages"), F.count_distinct("batch").alias("batches"))
+
+
 def lake_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.lake_round_trip(_double_money(_scored(spark, sf_dir)), work_path(spark, "lake", unique=True), RUN_DAY)
 
@@ -109,6 +143,7 @@ def against_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t1_stream_store": stream_store,
     "t4_stream_status": stream_statuses,
+    "t1_stream_restart": stream_restart,
     "d4_round_trip": lake_round_trip,
     "d2_mart": warehouse_mart,
     "d3_backfill_status": backfill_status,
@@ -122,6 +157,7 @@ _P9 = SQL["p9_scored_transactions"]
 ORACLE: dict[str, str] = {
     "t1_stream_store": SQL["j4_upserted_transactions"],
     "t4_stream_status": with_ctes(MESSAGES, body='SELECT message_key, "offset", status FROM final'),
+    "t1_stream_restart": with_ctes(MESSAGES, body=f"SELECT status, COUNT(*) AS messages, CAST({TOPIC_FILES} AS BIGINT) AS batches FROM final GROUP BY status"),
     "d4_round_trip": f"SELECT *, DATE '{RUN_DAY}' AS date FROM ({_P9})",
     "d2_mart": f"SELECT * FROM ({SQL['a20_daily_transaction_summary']}) WHERE date = DATE '{RUN_DAY}'",
     "d3_backfill_status": f"""SELECT CAST(d.day AS DATE) AS date, COUNT(t.time_step) AS rows, COUNT(*) FILTER (WHERE t.is_fraud) AS fraud_rows

@@ -8,11 +8,14 @@ per batch id, which makes the sink effectively-once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow.sources.files import list_names
 from ledgerflow.streaming.decode import decode_messages
-from ledgerflow.streaming.dedup import dedup_batch, dedup_stream
+from ledgerflow.streaming.dedup import batch_statuses, dedup_batch, with_new_keys
 from ledgerflow.streaming.upsert import upsert_batch
 
 STATUSES = ["success", "duplicate", "invalid", "error"]
@@ -56,6 +59,25 @@ def process_messages(messages: DataFrame) -> DataFrame:
     return dedup_batch(decode_messages(messages))
 
 
+def _latest_time(spark: SparkSession, store_root: str) -> datetime | None:
+    """The latest time of a good message in the batches counted so far."""
+    counted = _counted(spark, store_root)
+    return counted.agg(F.max("latest")).first()[0] if counted is not None else None
+
+
+def _counted(spark: SparkSession, store_root: str) -> DataFrame | None:
+    if not list_names(spark, f"{store_root}/status_counts"):
+        return None
+    return spark.read.schema("status string, messages long, latest timestamp, batch int").parquet(f"{store_root}/status_counts")
+
+
+def _remembered(spark: SparkSession, store_root: str, batch_id: int) -> DataFrame:
+    """First good messages of earlier batches: (message_key, seen_at)."""
+    done = [n for n in list_names(spark, f"{store_root}/first_good") if n.startswith("batch=") and int(n[6:]) < batch_id]
+    schema = "message_key string, seen_at timestamp"
+    return spark.read.schema(schema).parquet(*[f"{store_root}/first_good/{n}" for n in done]) if done else spark.createDataFrame([], schema)
+
+
 def start_transaction_stream(
     source: DataFrame,
     store_root: str,
@@ -66,32 +88,38 @@ def start_transaction_stream(
     processing_time: str | None = None,
     now: Column | None = None,
     statuses: bool = False,
+    event_time: bool = False,
 ):
-    """Start the stream job; returns the StreamingQuery. ``state_ttl_ms`` is how long a key is remembered;
-    the source bounds a micro-batch (``max_offsets_per_trigger``, ``max_files_per_trigger``).
-
-    Only four columns pass through the keyed state operator (message key, offset, decode status and the
-    raw value); the fields of the successful messages are decoded again, JVM-side, inside the batch.
-    Per micro-batch: the batch is persisted once, its status counts are written to
-    ``<store_root>/status_counts/batch=<id>`` and its successes are upserted into the store; with ``statuses``
-    every message's final status is kept as well.
+    """Start the stream job; returns the StreamingQuery. ``state_ttl_ms`` is how long a key is remembered, by the time of
+    arrival, or with ``event_time`` by the messages' own timestamps; the source bounds a micro-batch
+    (``max_offsets_per_trigger``, ``max_files_per_trigger``).
+
+    Per micro-batch: the batch is persisted once and every message gets its final status (``dedup.batch_statuses``); first
+    good messages, status counts and the upsert of the successes are written under the batch's id, so a replay
+    changes nothing; with ``statuses`` every message's final status is kept as well. Only the key, offset, decode status,
+    time and raw value pass through the state; the successes' fields are decoded again inside the batch. Nothing
+    of it leaves the JVM.
     """
-    narrow = decode_messages(source, carry=["value"]).select("message_key", "offset", "status", "value")
-    deduped = dedup_stream(narrow, state_ttl_ms=state_ttl_ms)
+    spark = source.sparkSession
+    seen_at = F.col("message_timestamp") if event_time else F.current_timestamp()
+    narrow = decode_messages(source, carry=["value"]).select("message_key", "offset", "status", "value", seen_at.alias("seen_at"))
+    tagged = with_new_keys(narrow, "seen_at", state_ttl_ms)
+    remember = F.expr(f"INTERVAL {int(state_ttl_ms) // 1000} SECOND")
+    latest_before = {"time": _latest_time(spark, store_root)}
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        spark, batch = batch.sparkSession, batch.persist()
+        final = None
         try:
-            (
-                status_counts(batch)
-                .withColumn("batch", F.lit(batch_id))
-                .coalesce(1)
-                .write.mode("overwrite")
-                .parquet(f"{store_root}/status_counts/batch={batch_id}")
-            )
+            latest = batch.where("kind = 'row' AND status = 'ok'").agg(F.max("seen_at")).first()[0]
+            latest = max([t for t in (latest, latest_before["time"]) if t is not None], default=None)
+            horizon = F.lit(latest).cast("timestamp") - remember
+            final = batch_statuses(batch, "seen_at", horizon, _remembered(spark, store_root, batch_id)).persist()
+            success = final.where(F.col("status") == "success")
+            success.select("message_key", "seen_at").write.mode("overwrite").parquet(f"{store_root}/first_good/batch={batch_id}")
             if statuses:
-                batch.select("message_key", "offset", "status").write.mode("overwrite").parquet(f"{store_root}/statuses/batch={batch_id}")
-            successes = batch.where(F.col("status") == "success").select(
+                final.select("message_key", "offset", "status").write.mode("overwrite").parquet(f"{store_root}/statuses/batch={batch_id}")
+            successes = success.select(
                 F.col("message_key").alias("key"),
                 "value",
                 F.lit(None).cast("string").alias("topic"),
@@ -100,13 +128,23 @@ def start_transaction_stream(
                 F.lit(None).cast("timestamp").alias("timestamp"),
             )
             upsert_batch(decode_messages(successes), store_root, batch_id, now=now)
+            (
+                status_counts(final)
+                .withColumns({"latest": F.lit(latest).cast("timestamp"), "batch": F.lit(batch_id)})
+                .coalesce(1)
+                .write.mode("overwrite")
+                .parquet(f"{store_root}/status_counts/batch={batch_id}")
+            )
+            latest_before["time"] = latest
         finally:
             batch.unpersist()
+            if final is not None:
+                final.unpersist()
 
-    w = deduped.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    w = tagged.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     if processing_time or not available_now:
         return (w.trigger(processingTime=processing_time) if processing_time else w).start()
-    # state with a processing-time timeout asks for batches without data for ever; a run over what is there has none
+    # a moving watermark asks for batches without data; a run over what is there has none
     conf, name = source.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(name)
     conf.set(name, "false")

@@ -6,20 +6,16 @@ one); ``invalid``/``error`` messages before it keep their status. A key lives in
 offsets order its messages.
 
 Batch form: the first good offset per key is an aggregate (map-side combined, so a key with a third of
-all messages is one partial row per task), joined back on the key. Stream form: the same rule with the
-"seen" flag in the state store (``applyInPandasWithState``); a required state timeout bounds the state (the
-reference keeps an unbounded in-memory set that a restart loses); a duplicate arriving after its key
-expired is admitted and then absorbed by the idempotent upsert.
+all messages is one partial row per task), joined back on the key. Stream form: the state store holds the keys that have had a good message
+(``dropDuplicatesWithinWatermark``, no Python), and each micro-batch applies the rule to its own messages. A required time
+bounds the state (the reference keeps an unbounded in-memory set that a restart loses); a duplicate arriving
+after its key expired is admitted and then absorbed by the idempotent upsert.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def dedup_batch(classified: DataFrame) -> DataFrame:
@@ -59,45 +55,37 @@ def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "offset", *,
 # --- stream form --------------------------------------------------------------------------------
 
 
-def _dedup_fn(ttl_ms: int):
-    def dedup_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = list(batches)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        if len(pdf) > 1:
-            pdf = pdf.sort_values("offset", kind="stable")
-        seen = state.exists
-        statuses = []
-        for st in pdf["status"].tolist():
-            if seen:
-                statuses.append("duplicate")
-            elif st == "ok":
-                statuses.append("success")
-                seen = True
-            else:
-                statuses.append(st)
-        pdf = pdf.assign(status=statuses)
-        if seen:
-            state.update((True,))
-            state.setTimeoutDuration(ttl_ms)
-        yield pdf
-
-    return dedup_group
-
-
-def dedup_stream(classified: DataFrame, *, state_ttl_ms: int) -> DataFrame:
-    """T4: the W1 rule across micro-batches, keyed state per message key.
-
-    Each call gets one key's messages of one micro-batch, bounded by the trigger's batch size
-    (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``), never the key's whole history. Pass narrow rows:
-    the per-call cost of the state operator grows with the number of columns it converts.
-    """
-    return classified.groupBy("message_key").applyInPandasWithState(
-        _dedup_fn(int(state_ttl_ms)),
-        outputStructType=classified.schema,
-        stateStructType="seen boolean",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+def with_new_keys(classified: DataFrame, event_time: str, remember_ms: int) -> DataFrame:
+    """T4, the keyed state: every message (``kind`` = row) and, once per key that isn't remembered, one of its good messages
+    (``kind`` = new). The state is Spark's own for ``dropDuplicatesWithinWatermark``: a key is remembered until the watermark,
+    ``remember_ms`` behind the latest good message, has passed its time."""
+    good = classified.where(F.col("status") == "ok").withWatermark(event_time, f"{int(remember_ms)} milliseconds")
+    new = good.dropDuplicatesWithinWatermark(["message_key"])
+    return classified.withColumn("kind", F.lit("row")).unionByName(new.withColumn("kind", F.lit("new")))
+
+
+def batch_statuses(batch: DataFrame, event_time: str, horizon: Column, remembered: DataFrame) -> DataFrame:
+    """T4: the W1 rule for one micro-batch of ``with_new_keys``.
+
+    A key of the batch is known to be new, or, if it has a good message that isn't late, known to be remembered. Only the
+    others, keys without a good message and late ones (before ``horizon``), are looked up in ``remembered`` (message_key and
+    its first good message's time), of which times before the horizon are forgotten. Per-key results are aggregates joined
+    back, so a hot key is one row per task."""
+    rows = batch.where(F.col("kind") == "row").drop("kind")
+    new = batch.where(F.col("kind") == "new").select("message_key", F.lit(True).alias("_new")).distinct()
+    ok, time = F.col("status") == "ok", F.col(event_time)
+    per_key = rows.groupBy("message_key").agg(F.min(F.when(ok, F.col("offset"))).alias("_first_ok"), F.min(F.when(ok, time)).alias("_time"), F.count_if(ok & time.isNull()).alias("_untimed"))
+    unsure = F.col("_new").isNull() & (F.col("_first_ok").isNull() | (F.col("_untimed") > 0) | F.coalesce(F.col("_time") < horizon, F.lit(True)))
+    keys = per_key.join(new, "message_key", "left").withColumn("_unsure", unsure)
+    old = remembered.where(time >= horizon).join(keys.where("_unsure").select("message_key"), "message_key", "left_semi").select("message_key", F.lit(True).alias("_old")).distinct()
+    seen = F.when(F.col("_new"), F.lit(False)).when(F.col("_unsure"), F.coalesce("_old", F.lit(False))).otherwise(F.lit(True))
+    known = keys.join(old, "message_key", "left").select("message_key", "_first_ok", seen.alias("_seen"))
+    first = F.col("_first_ok")
+    status = (
+        F.when(F.col("_seen"), F.lit("duplicate"))
+        .when(first.isNull(), F.col("status"))
+        .when(F.col("offset") == first, F.lit("success"))
+        .when(F.col("offset") > first, F.lit("duplicate"))
+        .otherwise(F.col("status"))
     )
+    return rows.join(known, "message_key", "left").withColumn("status", status).drop("_first_ok", "_seen")
