@@ -10,14 +10,16 @@ metrics shuffle on their key after the map-side combine. Means come from exact d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerflow import schemas as S
 from ledgerflow.functions import features as X
 from ledgerflow.functions.stats import exact_percentiles
+from ledgerflow.session import work_path
 
 RISK_SUM_TYPE = "decimal(20,4)"
 
@@ -48,18 +50,51 @@ def fraud_metrics(df: DataFrame) -> DataFrame:
     First a per-type aggregate (one row per transaction type: the map's size is the type domain), then a
     global aggregate over those rows; the data is scanned once.
     """
-    risk = F.col("risk_score")
-    per_type = df.groupBy("transaction_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("is_fraud")).alias("nf"),
-        F.sum("amount").alias("amt"),
-        F.count("amount").alias("amt_n"),
-        F.sum(F.when(F.col("is_fraud"), F.col("amount"))).alias("famt"),
-        F.count(F.when(F.col("is_fraud"), F.col("amount"))).alias("famt_n"),
-        F.sum(risk.cast(RISK_SUM_TYPE)).alias("rsum"),
-        F.count(risk).alias("rn"),
-        F.count_if(X.gt_not_nan(risk, 0.5)).alias("hr"),
-    )
+    return _of_types(df.groupBy("transaction_type").agg(*_type_measures(F.lit(True))))
+
+
+def _type_measures(here: Column, tag: str = "") -> list[Column]:
+    """The additive measures of the rows where ``here`` holds."""
+    risk, amount = F.when(here, F.col("risk_score")), F.when(here, F.col("amount"))
+    fraud = here & F.col("is_fraud")
+    return [
+        F.count_if(here).alias(f"n{tag}"),
+        F.count_if(fraud).alias(f"nf{tag}"),
+        F.sum(amount).alias(f"amt{tag}"),
+        F.count(amount).alias(f"amt_n{tag}"),
+        F.sum(F.when(fraud, F.col("amount"))).alias(f"famt{tag}"),
+        F.count(F.when(fraud, F.col("amount"))).alias(f"famt_n{tag}"),
+        F.sum(risk.cast(RISK_SUM_TYPE)).alias(f"rsum{tag}"),
+        F.count(risk).alias(f"rn{tag}"),
+        F.count_if(X.gt_not_nan(risk, 0.5)).alias(f"hr{tag}"),
+    ]
+
+
+def observed_fraud_metrics(df: DataFrame, stored: Callable[[], DataFrame]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """A1 of rows while they are written, without a pass of their own: (the rows to write, a function that gives the metrics
+    row after the write). The known transaction types are observed; if rows of other types passed, the metrics
+    are taken from ``stored()`` instead."""
+    kind = F.col("transaction_type")
+    groups = [*S.TRANSACTION_TYPES, None]
+    here = [kind.isNull() if t is None else F.coalesce(kind == t, F.lit(False)) for t in groups]
+    seen = Observation()
+    measures = [m for i, h in enumerate(here) for m in _type_measures(h, f"_{i}")]
+    other = F.count_if(kind.isNotNull() & ~F.coalesce(kind.isin(S.TRANSACTION_TYPES), F.lit(False))).alias("other")
+
+    def finished() -> DataFrame:
+        got = seen.get
+        if got["other"]:
+            return fraud_metrics(stored())
+        names = ["n", "nf", "amt", "amt_n", "famt", "famt_n", "rsum", "rn", "hr"]
+        rows = [(t, *[got[f"{n}_{i}"] for n in names]) for i, t in enumerate(groups) if got[f"n_{i}"]]
+        schema = "transaction_type string, n long, nf long, amt decimal(38,2), amt_n long, famt decimal(38,2), famt_n long, rsum decimal(38,4), rn long, hr long"
+        return _of_types(df.sparkSession.createDataFrame(rows, schema))
+
+    return df.observe(seen, *measures, other), finished
+
+
+def _of_types(per_type: DataFrame) -> DataFrame:
+    """A1 from its measures per transaction type."""
     typed = F.col("transaction_type").isNotNull()
     return per_type.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_transactions"),
@@ -184,23 +219,78 @@ def detection_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def analytics_bundle(df: DataFrame) -> dict[str, DataFrame]:
-    """A10: the read-path bundle. Each metric reads ``df``; a caller whose input is costly stages or
-    persists it, and releases it, itself."""
-    base = df
+# grouping_id of the bundle's four grouping sets over (transaction_type, time_step, amount_category)
+_BY_TYPE, _BY_STEP, _BY_CATEGORY, _TOTAL = 3, 5, 6, 7
+
+
+def bundle_aggregate(df: DataFrame) -> DataFrame:
+    """A10: every number of the bundle in one pass: one aggregate with four grouping sets over narrow rows."""
+    keys = ["transaction_type", "time_step", "amount_category"]
+    rows = df.select("transaction_type", "time_step", X.amount_category(F.col("amount")).alias("amount_category"), "amount", "is_fraud", "is_flagged_fraud")
+    fraud = F.when(F.col("is_fraud"), F.col("amount"))
+    return rows.groupingSets([["transaction_type"], ["time_step"], ["amount_category"], []], *keys).agg(
+        F.grouping_id().cast("int").alias("grouping"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_fraud")).alias("fraud_n"),
+        F.count_if(F.col("is_flagged_fraud")).alias("flagged_n"), F.sum("amount").alias("volume"), F.count("amount").alias("amount_n"),
+        F.sum(fraud).alias("fraud_volume"), F.count(fraud).alias("fraud_amount_n"), F.max(fraud).alias("fraud_max"), F.min(fraud).alias("fraud_min"),
+    )
+
+
+def analytics_bundle(df: DataFrame, *, store: str | None = None) -> dict[str, DataFrame]:
+    """A10: the read-path bundle. ``df`` is read once: its grouping sets (a row per type, step and category) are written to
+    ``store``, or the work folder, and the nine frames are read off them."""
+    spark = df.sparkSession
+    path = store or work_path(spark, "bundle", unique=True)
+    sets = bundle_aggregate(df)
+    sets.write.mode("overwrite").parquet(path)
+    sets = spark.read.schema(sets.schema).parquet(path)
+    of = lambda kind: sets.where(F.col("grouping") == kind)
+    money = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    mean = lambda c, n: F.try_divide(F.sum(c).cast("double"), F.sum(n))
+    total, fraud_n = of(_TOTAL), count("fraud_n")
+
+    def ranked(kind: int, key: str, value: str, name: str) -> DataFrame:
+        return of(kind).where(F.col(key).isNotNull() & (F.col(value) > 0)).select(key, F.col(value).alias(name)).orderBy(F.desc(name), F.asc(key))
+
+    labels = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(S.AMOUNT_CATEGORIES)], "amount_category string, rank int"))
     return {
-        "summary": summary(base),
-        "transaction_types": type_distribution(base),
-        "transactions_by_step": transactions_by_step(base),
-        "amount_distribution": amount_distribution(base),
-        "fraud_by_type": fraud_by_type(base),
-        "fraud_amount_stats": fraud_amount_stats(base),
-        "fraud_by_step": fraud_by_step(base),
-        "fraud_statistics": detection_stats(base),
-        "generated_at": base.sparkSession.range(1).select(F.current_timestamp().alias("timestamp")),
+        "summary": total.agg(
+            count("n").alias("total_transactions"), fraud_n.alias("total_fraud"),
+            F.bround(F.coalesce(F.try_divide(fraud_n.cast("double"), count("n")), F.lit(0.0)) * 100, 2).alias("fraud_rate"),
+            F.bround(money("volume"), 2).alias("total_volume"), F.bround(mean("volume", "amount_n"), 2).alias("avg_amount"),
+            F.bround(money("fraud_volume"), 2).alias("fraud_amount"),
+            F.bround(F.when(fraud_n > 0, mean("fraud_volume", "fraud_amount_n")).otherwise(F.lit(0.0)), 2).alias("avg_fraud_amount")),
+        "transaction_types": ranked(_BY_TYPE, "transaction_type", "n", "transaction_count"),
+        "transactions_by_step": of(_BY_STEP).select("time_step", F.col("n").alias("transaction_count")),
+        "amount_distribution": labels.join(of(_BY_CATEGORY), "amount_category", "left")
+        .select("amount_category", F.coalesce("n", F.lit(0)).cast("long").alias("transaction_count"), "rank").orderBy(F.desc("transaction_count"), "rank").drop("rank"),
+        "fraud_by_type": ranked(_BY_TYPE, "transaction_type", "fraud_n", "fraud_count"),
+        "fraud_amount_stats": total.agg(
+            money("fraud_volume").alias("total_fraud_amount"), mean("fraud_volume", "fraud_amount_n").alias("avg_fraud_amount"),
+            F.max("fraud_max").cast("double").alias("max_fraud_amount"), F.min("fraud_min").cast("double").alias("min_fraud_amount")),
+        "fraud_by_step": of(_BY_STEP).where("fraud_n > 0").select("time_step", F.col("fraud_n").alias("fraud_count")),
+        "fraud_statistics": total.agg(
+            fraud_n.alias("total_fraud"), count("flagged_n").alias("flagged_fraud"),
+            F.when(fraud_n > 0, count("flagged_n") / fraud_n).otherwise(F.lit(0.0)).alias("detection_rate")),
+        "generated_at": spark.range(1).select(F.current_timestamp().alias("timestamp")),
     }
 
 
+def bundle_rows(bundle: dict[str, DataFrame]) -> DataFrame:
+    """The bundle in long form: (metric, item, value); one-row frames give a row per column."""
+    out = None
+    for name, frame in bundle.items():
+        if name == "generated_at":
+            continue
+        first, *rest = frame.columns
+        if len(rest) == 1:
+            long = frame.select(F.lit(name).alias("metric"), F.col(first).cast("string").alias("item"), F.col(rest[0]).cast("double").alias("value"))
+        else:
+            long = frame.select(*[F.col(c).cast("double").alias(c) for c in frame.columns]).unpivot([], frame.columns, "item", "value").select(F.lit(name).alias("metric"), "item", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 # --- A11-A17 -----------------------------------------------------------------------------------------
 
 

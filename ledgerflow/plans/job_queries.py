@@ -8,10 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow import schemas as S
 from ledgerflow.functions.stats import exact_percentiles, with_global
-from ledgerflow.operators import marts
+from ledgerflow.operators import marts, metrics
 from ledgerflow.operators.enrich import canonical_transactions, process_transactions
 from ledgerflow.plans import jobs
 from ledgerflow.plans.catalog import scored_transactions, stored_transactions
@@ -23,6 +24,7 @@ from ledgerflow.sources.topics import read_topic_files
 from ledgerflow.streaming import consumer, upsert
 
 RUN_DAY, RANGE = "2019-03-01", ("2019-02-20", "2019-03-10")
+ERRORS = 5  # failing rows of one check that a day may have in the backfill queries
 STAMP = "2024-01-01 00:00:00"
 KEPT_MS = 3650 * 24 * 3600 * 1000  # keys of the topic are remembered for ten years of event time: duplicates stand far apart
 TOPIC_FILES = 20
@@ -106,9 +108,61 @@ def warehouse_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backfill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: rows and fraud rows of every day of the range."""
+    """D3: the status row of every day of the range."""
     root = work_path(spark, "backfill", unique=True)
-    return jobs.backfill(spark, _scored(spark, sf_dir), root, *RANGE, now=F.lit(STAMP).cast("timestamp")).select("date", "rows", "fraud_rows")
+    return jobs.backfill(spark, _scored(spark, sf_dir), root, *RANGE, now=F.lit(STAMP).cast("timestamp"), error_above=ERRORS)
+
+
+def backfill_with_a_bad_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: a range is loaded, then loaded again with amounts one higher and no sender on one day: per day what is stored and
+    the second run's status. The bad day keeps the first load's rows."""
+    root, stamp = work_path(spark, "poisoned", unique=True), F.lit(STAMP).cast("timestamp")
+    scored = _scored(spark, sf_dir)
+    jobs.backfill(spark, scored, root, *RANGE, now=stamp)
+    bad = F.to_date("transaction_date") == F.lit(RUN_DAY).cast("date")
+    changed = scored.withColumns({"amount": (F.col("amount") + 1).cast(scored.schema["amount"].dataType), "sender_id": F.when(~bad, F.col("sender_id"))})
+    changed = changed.unionByName(changed.where(bad))  # the bad day has every row twice as well
+    status = jobs.backfill(spark, changed, root, *RANGE, now=stamp, error_above=ERRORS)
+    stored = files.read_lake(spark, f"{root}/transactions_processed").groupBy("date").agg(F.count(F.lit(1)).alias("stored_rows"), F.sum("amount").cast("double").alias("stored_amount"))
+    return status.select("date", "status").join(stored, "date", "left").select("date", "status", F.coalesce("stored_rows", F.lit(0)).cast("long").alias("stored_rows"), F.coalesce("stored_amount", F.lit(0.0)).alias("stored_amount"))
+
+
+def lake_etl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's result row, its metrics as columns."""
+    raw = {v: k for k, v in S.RAW_TO_CANONICAL.items() if k in RAW_ORDER}
+    source = fixtures.transactions(spark, sf_dir).withColumnsRenamed(raw)
+    row = jobs.daily_lake_etl(spark, source, work_path(spark, "etl", unique=True), RUN_DAY)
+    m = F.from_json("metrics", "fraud_rate double, avg_amount double, fraud_amount double, avg_risk_score double, high_risk_transactions long")
+    return row.select("status", "date", "transactions_processed", "fraud_alerts_processed", m.alias("m")).select("status", "date", "transactions_processed", "fraud_alerts_processed", "m.*")
+
+
+def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: the bundle in long form."""
+    return metrics.bundle_rows(metrics.analytics_bundle(_scored(spark, sf_dir)))
+
+
+def loaded_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of processed rows, the first of them repeated: per type the rows of the table and of the rejected ones,
+    in which every row stands once."""
+    path = work_path(spark, "loads", unique=True)
+    rows = process_transactions(_scored(spark, sf_dir), processed_at=F.lit(STAMP).cast("timestamp"))
+    first = F.pmod("time_step", F.lit(2)) == 0
+    for load, part in (("a", first), ("b", ~first), ("a", first)):
+        files.append_processed(rows.where(part), path, load_id=load)
+    stored = files.read_loads(spark, path, S.PROCESSED_TRANSACTION).select("transaction_type", F.col("amount").cast("decimal(18,2)").alias("amount"))
+    rejected = T.StructType([f for f in rows.schema.fields if f.name in ("transaction_type", "amount")])
+    stored = stored.unionByName(files.read_loads(spark, f"{path}_rejected", rejected))
+    return stored.groupBy("transaction_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("amount"))
+
+
+def inserted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions inserted under one load id, twice; the table's rows."""
+    path = work_path(spark, "inserts", unique=True)
+    rows = fixtures.transactions(spark, sf_dir)
+    for _ in range(2):
+        files.append_transactions(rows, path, load_id="only")
+    stored = files.read_loads(spark, path, S.TRANSACTION)
+    return stored.groupBy("transaction_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("amount"))
 
 
 def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +201,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d4_round_trip": lake_round_trip,
     "d2_mart": warehouse_mart,
     "d3_backfill_status": backfill_status,
+    "d3_bad_day": backfill_with_a_bad_day,
+    "d1_lake_etl": lake_etl,
+    "a10_bundle": bundle,
+    "s7_loaded_twice": loaded_twice,
+    "s14_inserted_twice": inserted_twice,
     "s1_p1_csv": csv_by_name,
     "s12_mart": stored_mart,
     "p15_load_stamps": load_stamps,
@@ -154,15 +213,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _P9 = SQL["p9_scored_transactions"]
+_CHECKS = ["amount IS NULL", "risk_score < 0 OR risk_score > 1", "transaction_date IS NULL", "receiver_id IS NULL OR trim(receiver_id) = ''",
+           "amount < 0.01 OR amount > 1000000", "amount <= 0", "amount > 100000", "sender_id IS NULL"]
+_P9_PLUS_ONE = f"SELECT * REPLACE (amount + 1 AS amount) FROM ({_P9})"
+_DAYS = f"""WITH t AS ({_P9}),
+    per_day AS (SELECT CAST(d.day AS DATE) AS date, COUNT(t.time_step) AS rows, COUNT(*) FILTER (WHERE t.is_fraud) AS fraud_rows,
+        greatest({', '.join(f"COUNT(t.time_step) FILTER (WHERE {c})" for c in _CHECKS)}) AS worst_check_failures
+        FROM generate_series(DATE '{RANGE[0]}', DATE '{RANGE[1]}', INTERVAL 1 DAY) d(day)
+        LEFT JOIN t ON CAST(t.transaction_date AS DATE) = CAST(d.day AS DATE) GROUP BY 1),
+    days AS (SELECT *, CASE WHEN rows = 0 THEN 'empty' WHEN worst_check_failures > {ERRORS} THEN 'failed' ELSE 'success' END AS status FROM per_day),
+    sums AS (SELECT CAST(d.day AS DATE) AS date, coalesce(SUM(CAST(amount AS DECIMAL(18,2))), 0) AS amount, COUNT(amount) AS amount_n
+        FROM generate_series(DATE '{RANGE[0]}', DATE '{RANGE[1]}', INTERVAL 1 DAY) d(day)
+        LEFT JOIN t ON CAST(t.transaction_date AS DATE) = CAST(d.day AS DATE) GROUP BY 1)
+"""
 ORACLE: dict[str, str] = {
     "t1_stream_store": SQL["j4_upserted_transactions"],
     "t4_stream_status": with_ctes(MESSAGES, body='SELECT message_key, "offset", status FROM final'),
     "t1_stream_restart": with_ctes(MESSAGES, body=f"SELECT status, COUNT(*) AS messages, CAST({TOPIC_FILES} AS BIGINT) AS batches FROM final GROUP BY status"),
     "d4_round_trip": f"SELECT *, DATE '{RUN_DAY}' AS date FROM ({_P9})",
     "d2_mart": f"SELECT * FROM ({SQL['a20_daily_transaction_summary']}) WHERE date = DATE '{RUN_DAY}'",
-    "d3_backfill_status": f"""SELECT CAST(d.day AS DATE) AS date, COUNT(t.time_step) AS rows, COUNT(*) FILTER (WHERE t.is_fraud) AS fraud_rows
-        FROM generate_series(DATE '{RANGE[0]}', DATE '{RANGE[1]}', INTERVAL 1 DAY) d(day)
-        LEFT JOIN ({_P9}) t ON CAST(t.transaction_date AS DATE) = CAST(d.day AS DATE) GROUP BY 1""",
+    "d3_backfill_status": _DAYS + "SELECT * FROM days",
+    "d3_bad_day": _DAYS.replace(f"WITH t AS ({_P9})", f"WITH t AS ({_P9_PLUS_ONE})") + f"""SELECT date, CASE WHEN date = DATE '{RUN_DAY}' THEN 'failed' ELSE status END AS status, rows AS stored_rows,
+        CAST(amount - CASE WHEN date = DATE '{RUN_DAY}' OR status = 'failed' THEN amount_n ELSE 0 END AS DOUBLE) AS stored_amount
+        FROM days JOIN sums USING (date)""",
+    "d1_lake_etl": f"""SELECT 'success' AS status, DATE '{RUN_DAY}' AS date, total_transactions AS transactions_processed, total_fraud AS fraud_alerts_processed,
+        fraud_rate, avg_amount, fraud_amount, avg_risk_score, high_risk_transactions FROM ({SQL['a1_fraud_metrics']})""",
+    "a10_bundle": " UNION ALL ".join([
+        *[f"SELECT '{m}' AS metric, CAST({k} AS VARCHAR) AS item, CAST({v} AS DOUBLE) AS value FROM ({SQL[q]})" for m, q, k, v in [
+            ("transaction_types", "a4_type_distribution", "transaction_type", "transaction_count"), ("transactions_by_step", "a3_transactions_by_step", "time_step", "transaction_count"),
+            ("amount_distribution", "a5_amount_distribution", "amount_category", "transaction_count"), ("fraud_by_type", "a6_fraud_by_type", "transaction_type", "fraud_count"),
+            ("fraud_by_step", "a8_fraud_by_step", "time_step", "fraud_count")]],
+        *[f"SELECT '{m}', '{c}', CAST({c} AS DOUBLE) FROM ({SQL[q]})" for m, q, cs in [
+            ("summary", "a2_summary", "total_transactions total_fraud fraud_rate total_volume avg_amount fraud_amount avg_fraud_amount"),
+            ("fraud_amount_stats", "a7_fraud_amount_stats", "total_fraud_amount avg_fraud_amount max_fraud_amount min_fraud_amount"),
+            ("fraud_statistics", "a9_detection_stats", "total_fraud flagged_fraud detection_rate")] for c in cs.split()]]),
+    "s7_loaded_twice": f"SELECT transaction_type, COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM ({_P9}) GROUP BY 1",
+    "s14_inserted_twice": f"SELECT transaction_type, COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM ({_P9}) WHERE amount > 0 GROUP BY 1",
     "s1_p1_csv": f"""SELECT time_step, transaction_type, amount, sender_id, sender_old_balance, sender_new_balance, receiver_id,
         receiver_old_balance, receiver_new_balance, is_fraud, is_flagged_fraud FROM ({_P9})""",
     "s12_mart": SQL["a20_daily_transaction_summary"],

@@ -8,6 +8,7 @@ date partitions, also by nothing where the input has no rows for a date any more
 
 from __future__ import annotations
 
+import logging
 from datetime import date as Date
 from datetime import datetime, timedelta
 
@@ -21,6 +22,8 @@ from ledgerflow.functions.stats import exact_percentiles
 from ledgerflow.session import work_path
 from ledgerflow.sources import files
 
+log = logging.getLogger(__name__)
+
 
 def _yesterday() -> str:
     return (datetime.now() - timedelta(days=1)).date().isoformat()
@@ -43,7 +46,7 @@ def daily_lake_etl(spark: SparkSession, source: DataFrame, lake_root: str, run_d
 
     As in the reference, the *whole* input is written under the run date (default: yesterday). The input
     is staged once (the percentile reads the amount column, the feature pass reads all columns); the
-    metrics are computed from the written partition. Returns the job result row (A24); a failure gives a
+    metrics are observed while the rows are written. Returns the job result row (A24); a failure gives a
     row with status ``error`` instead of raising.
     """
     day = run_date or _yesterday()
@@ -55,9 +58,10 @@ def daily_lake_etl(spark: SparkSession, source: DataFrame, lake_root: str, run_d
         p95 = exact_percentiles(base, "amount", [0.95])[0.95]
         enriched = enrich_transactions(base, p95=p95)
         rows_path = f"{lake_root.rstrip('/')}/paysim_transactions"
-        files.write_lake(enriched, rows_path, day)
-        written = files.read_lake(spark, rows_path).where(F.col("date") == F.lit(day).cast("date")).drop("date")
-        m = metrics.fraud_metrics(written)
+        written = lambda: files.read_lake(spark, rows_path).where(F.col("date") == F.lit(day).cast("date"))
+        observed, finished = metrics.observed_fraud_metrics(enriched, written)
+        files.write_lake(observed, rows_path, day)
+        m = finished()
         files.write_lake(m, f"{lake_root.rstrip('/')}/fraud_metrics", day)
         stored = files.read_lake(spark, f"{lake_root.rstrip('/')}/fraud_metrics").where(F.col("date") == F.lit(day).cast("date")).drop("date")
         return metrics.job_result(stored, status="success", run_date=day)
@@ -93,8 +97,7 @@ def _load_days(spark: SparkSession, processed: DataFrame, root: str, days: list[
     """Replace the declared days of the processed table and of the mart; the days' stored rows."""
     files.replace_partitions(processed, f"{root}/transactions_processed", "date", days)
     schema = T.StructType([*[f for f in processed.schema.fields if f.name != "date"], T.StructField("date", T.DateType())])
-    first, last = F.lit(days[0]).cast("date"), F.lit(days[-1]).cast("date")
-    stored = files.read_lake(spark, f"{root}/transactions_processed", schema).where(F.col("date").between(first, last))
+    stored = files.read_lake(spark, f"{root}/transactions_processed", schema).where(F.col("date").isin([Date.fromisoformat(d) for d in days]))
     mart = marts.daily_transaction_summary(stored, ordered=False)
     files.replace_partitions(mart, f"{root}/daily_transaction_summary", "date", days)
     return stored
@@ -104,25 +107,57 @@ def _load_days(spark: SparkSession, processed: DataFrame, root: str, days: list[
 
 
 def backfill(spark: SparkSession, transactions: DataFrame, warehouse_root: str, start: str, end: str,
-             *, now=None) -> DataFrame:
-    """D3: the inclusive date range as one job (not a loop of daily jobs): processed rows and mart rows of
-    every date replace what is stored, its failing rows are stored, then one status row per date:
-    ``success``, ``empty`` (no rows) or ``failed`` (an error-level quality check), with its counts.
+             *, now=None, error_above: int = quality.S.DQ_ERROR_ABOVE) -> DataFrame:
+    """D3: the inclusive date range as one job (not a loop of daily jobs): write, audit, publish.
+
+    All dates' processed rows are written to the work folder and audited per date. Dates that pass (or are empty) replace
+    what is stored of the processed table and the mart, in one publish each; a failed date keeps what was stored of it. The
+    failing rows of all dates are stored. Returns one status row per date: ``success``, ``empty`` (no rows), ``failed`` (more
+    than ``error_above`` failing rows of a check) or ``error`` (its rows can't be processed), with its counts.
     """
     root = warehouse_root.rstrip("/")
-    lo = F.to_timestamp_ntz(F.lit(f"{start} 00:00:00"))
-    hi = F.to_timestamp_ntz(F.lit(f"{end} 00:00:00")) + F.expr("INTERVAL 1 DAY")
-    ts = F.col("transaction_date")
-    rows = transactions.where((ts >= lo) & (ts < hi))
-    processed = process_transactions(rows, processed_at=now).withColumn("date", F.to_date(ts))
-    days = files.days_between(start, end)
-    stored = _load_days(spark, processed, root, days)
-    failing = quality.failing_rows(stored, quality.transaction_checks(stored))
-    files.replace_partitions(failing, f"{root}/dq_failures_by_date", "date", days)
-    return backfill_status(stored, start, end)
+    staging = work_path(spark, "staging", "backfill", unique=True)
+    written, broken = _stage_days(transactions, staging, files.days_between(start, end), now)
+    try:
+        schema = T.StructType([*[f for f in process_transactions(transactions, processed_at=now).schema.fields], T.StructField("date", T.DateType())])
+        staged = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*written) if written else spark.createDataFrame([], schema)
+        status = backfill_status(staged, start, end, error_above)
+        status = status.withColumn("status", F.when(F.col("date").cast("string").isin(broken), F.lit("error")).otherwise(F.col("status"))) if broken else status
+        result = work_path(spark, "backfill-status", unique=True)
+        status.coalesce(1).write.parquet(result)
+        status = spark.read.schema(status.schema).parquet(result)
+        kept = {str(r["date"]) for r in status.where(F.col("status").isin("failed", "error")).select("date").collect()}  # a row per date at most
+        good = [d for d in files.days_between(start, end) if d not in kept]
+        if good:
+            _load_days(spark, staged.where(F.col("date").cast("string").isin(good)), root, good)
+        audited = [d for d in files.days_between(start, end) if d not in broken]
+        if audited:
+            files.replace_partitions(quality.failing_rows(staged, quality.transaction_checks(staged)), f"{root}/dq_failures_by_date", "date", audited)
+        return status
+    finally:
+        files.remove_path(spark, staging)
 
 
-def backfill_status(stored: DataFrame, start: str, end: str) -> DataFrame:
+def _stage_days(transactions: DataFrame, staging: str, days: list[str], now) -> tuple[list[str], list[str]]:
+    """Write the processed rows of consecutive days: (folders, days whose rows can't be processed). A range that fails is
+    halved until the failing days stand alone, so one bad day costs some more jobs and no other day."""
+    ts = F.col("transaction_date")
+    lo, hi = (F.to_timestamp_ntz(F.lit(f"{d} 00:00:00")) for d in (days[0], days[-1]))
+    rows = transactions.where((ts >= lo) & (ts < hi + F.expr("INTERVAL 1 DAY")))
+    folder = f"{staging}/{days[0]}-{len(days)}"
+    try:
+        process_transactions(rows, processed_at=now).withColumn("date", F.to_date(ts)).write.parquet(folder)
+        return [folder], []
+    except Exception as e:
+        log.warning("days %s to %s can't be processed: %s", days[0], days[-1], str(e).split("\n")[0])
+        if len(days) == 1:
+            return [], days
+    half = len(days) // 2
+    parts = [_stage_days(transactions, staging, some, now) for some in (days[:half], days[half:])]
+    return parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]
+
+
+def backfill_status(stored: DataFrame, start: str, end: str, error_above: int = quality.S.DQ_ERROR_ABOVE) -> DataFrame:
     """One row per date of the range: rows, fraud rows, failing-check counts and status."""
     spark = stored.sparkSession
     days = spark.range(1).select(
@@ -136,7 +171,7 @@ def backfill_status(stored: DataFrame, start: str, end: str) -> DataFrame:
     )
     status = (
         F.when(F.coalesce("rows", F.lit(0)) == 0, F.lit("empty"))
-        .when(F.col("worst_check_failures") > quality.S.DQ_ERROR_ABOVE, F.lit("failed"))
+        .when(F.col("worst_check_failures") > error_above, F.lit("failed"))
         .otherwise(F.lit("success"))
     )
     return days.join(per_day, "date", "left").select(

@@ -241,10 +241,16 @@ def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
 
 
 def append_processed(df: DataFrame, path: str, schema: T.StructType = S.PROCESSED_TRANSACTION,
-                     partition_col: str | None = "transaction_day") -> bool:
+                     partition_col: str | None = "transaction_day", load_id: str | None = None) -> bool:
     """Append to a table with a fixed DDL, creating it when absent; empty input writes nothing. Rows that don't
-    fit the DDL go to ``<path>_rejected`` with the columns and values that don't. Returns whether the table got rows."""
+    fit the DDL go to ``<path>_rejected`` with the columns and values that don't. Returns whether the table got rows.
+
+    With ``load_id`` the append is idempotent: the load is a partition ``load_id=...`` of the table (instead of
+    ``partition_col``) that a repeated load replaces as a whole; see ``replace_partitions``."""
     good, rejected = conform(df, schema)
+    if load_id is not None:
+        _replace_load(rejected, f"{path.rstrip('/')}_rejected", load_id)
+        return _replace_load(good, path, load_id)
     if not rejected.isEmpty():
         rejected.write.mode("append").parquet(f"{path.rstrip('/')}_rejected")
     if good.isEmpty():
@@ -256,6 +262,24 @@ def append_processed(df: DataFrame, path: str, schema: T.StructType = S.PROCESSE
     return True
 
 
+def _replace_load(rows: DataFrame, path: str, load_id: str) -> bool:
+    """Make the partition of a load hold exactly these rows; whether there are any. A load without rows only clears what an
+    earlier attempt has left."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", load_id):
+        raise ValueError("a load id has letters, digits, '_', '.' and '-' only")
+    name = f"{path.rstrip('/')}/load_id={load_id}"
+    if rows.isEmpty() and not path_exists(rows.sparkSession, name):
+        return False
+    replace_partitions(rows.withColumn("load_id", F.lit(load_id)), path, "load_id", [load_id])
+    return path_exists(rows.sparkSession, name)
+
+
+def read_loads(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all loads of a table that is appended to by load id."""
+    whole = T.StructType([*schema.fields, T.StructField("load_id", T.StringType())])
+    return read_lake(spark, path, whole).select(*schema.names)
+
+
 def materialize(df: DataFrame, name: str, kind: str = "view", path: str | None = None) -> DataFrame:
     """A named model. ``view`` registers a temp view (staging); ``table`` writes it (marts) and
     returns the stored table, so later models read the materialized result, not the lineage."""
@@ -274,10 +298,11 @@ def materialize(df: DataFrame, name: str, kind: str = "view", path: str | None =
     raise ValueError(f"unknown kind {kind!r}")
 
 
-def append_transactions(df: DataFrame, path: str) -> DataFrame:
+def append_transactions(df: DataFrame, path: str, load_id: str | None = None) -> DataFrame:
     """Insert new transaction rows after the stream's classification (T3). A row is ``invalid`` where the validity
     rule fails and ``error`` where a value doesn't fit its type; such rows are written to ``<path>_rejected`` with
-    their reason and returned from there, so a later change of the input doesn't change them."""
+    their reason and returned from there, so a later change of the input doesn't change them. With ``load_id`` a
+    repeated load replaces itself instead of being added once more (as in ``append_processed``)."""
     from ledgerflow.functions.features import is_valid_transaction
     from ledgerflow.session import work_path
 
@@ -285,10 +310,17 @@ def append_transactions(df: DataFrame, path: str) -> DataFrame:
     fitted = _fitted(df, S.TRANSACTION)
     valid = F.coalesce(is_valid_transaction(fitted), F.lit(False))
     tagged = fitted.withColumn("reason", F.when(F.size("rejected") > 0, F.lit("error")).when(~valid, F.lit("invalid")))
-    tagged.where("reason is null").select(*S.TRANSACTION.names).write.mode("append").parquet(path)
+    good = tagged.where("reason is null").select(*S.TRANSACTION.names)
+    if load_id is None:
+        good.write.mode("append").parquet(path)
+    else:
+        _replace_load(good, path, load_id)
     bad = tagged.where("reason is not null").select("own.*", "reason")
     out = work_path(spark, "rejected", unique=True)
     bad.write.parquet(out)
     stored = spark.read.schema(bad.schema).parquet(out)
-    stored.write.mode("append").parquet(f"{path.rstrip('/')}_rejected")
+    if load_id is None:
+        stored.write.mode("append").parquet(f"{path.rstrip('/')}_rejected")
+    else:
+        _replace_load(stored, f"{path.rstrip('/')}_rejected", load_id)
     return stored
