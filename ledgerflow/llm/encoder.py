@@ -47,13 +47,13 @@ def word_keys(texts: list[str | None]) -> list[list[str] | None]:
         if not t:
             out.append(None)
             continue
-        keys = t.split(" ")
-        if "\n" in t:
-            plain = t.replace("\n", " ").split(" ") == t.split()
-            keys = t.replace("\n", " \n").split(" ") if plain else None
-        elif keys != t.split():
-            keys = None
-        out.append(keys)
+        spaced = t.replace("\n", " ") if "\n" in t else t
+        # of all white space only the ASCII space counts as printable; other unprintable characters are rare
+        clean = "  " not in spaced and spaced[0] != " " and spaced[-1] != " "
+        if clean and (spaced.isprintable() or spaced.split(" ") == spaced.split()):
+            out.append((t if spaced is t else t.replace("\n", " \n")).split(" "))
+        else:
+            out.append(None)
     return out
 
 
