@@ -143,6 +143,8 @@ def percentile_row(
 
 
 def with_global(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach a statistics frame to every row (J3): a broadcast of one row, no shuffle of ``df``. Whatever
-    ``stats`` is, one row of it is attached; it should be a global aggregate."""
-    return df.crossJoin(F.broadcast(stats.limit(1)))
+    """Attach a statistics frame to every row (J3): a broadcast of one row, no shuffle of ``df``. More than one row of
+    statistics is an error when the result is computed; none leaves no rows."""
+    one = stats.limit(2).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("*")).alias("row"))
+    several = F.raise_error(F.lit("statistics for with_global have more than one row")).cast("boolean")
+    return df.crossJoin(F.broadcast(one.where(F.when(F.col("n") > 1, several).otherwise(F.col("n") == 1)).select("row.*")))

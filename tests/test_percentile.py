@@ -51,3 +51,15 @@ def test_infinities_are_end_values(spark):
     vals = [float("-inf")] * 2 + [1.0, 2.0, 3.0, 4.0] + [float("inf")] * 3
     got = exact_percentiles(spark.createDataFrame([(v,) for v in vals], "v double"), "v", [0.0, 0.25, 0.5, 1.0], buckets=2)
     assert got == {0.0: float("-inf"), 0.25: 1.0, 0.5: 3.0, 1.0: float("inf")}
+
+
+def test_global_statistics_have_one_row(spark):
+    import pytest
+
+    from ledgerflow.functions.stats import with_global
+
+    df = spark.range(3)
+    assert [tuple(r) for r in with_global(df, spark.range(1).selectExpr("5 AS m", "'x' AS s")).orderBy("id").collect()] == [(0, 5, "x"), (1, 5, "x"), (2, 5, "x")]
+    assert with_global(df, spark.range(0).selectExpr("5 AS m")).collect() == []
+    with pytest.raises(Exception, match="more than one row"):
+        with_global(df, spark.range(2).selectExpr("5 AS m")).collect()
