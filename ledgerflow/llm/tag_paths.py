@@ -12,11 +12,13 @@ to WRAPPER of it the name stands and the path is out; from there to all of it th
 article that share needs only be ARTICLE_WRAPPER. Paths that reach the threshold are content; all
 their blocks are taken, in page order.
 
-Character references are decoded, white space within a block becomes one space, blocks are joined by a line feed. Pages
-are parsed one by one within Arrow batches, and nothing is shuffled.
+Character references are decoded, white space within a block (all that Unicode calls so, no-break spaces included) becomes
+one space, blocks are joined by a line feed. Pages are parsed one by one within Arrow batches, and nothing is shuffled. A
+page costs time and memory in proportion to its length, whatever is left unclosed and however deep it goes.
 
 Edge cases: a null, empty or tag-only page has the empty text; text without any tag is one block; unclosed elements end
-where HTML ends them or with the page; a page cut off within a tag loses that tag only; scripts, styles and comments
+where HTML ends them or with the page; a page cut off within a tag loses that tag only; a quote
+inside an unquoted value or a name opens nothing; scripts, styles and comments
 may hold anything; pages of any length are parsed whole; repeated rows are extracted each; an empty table gives no
 rows; other columns are ignored.
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# a quote opens a value only where it stands first after the equals sign; anywhere else it is a character like others
+_SPACE = r"[ \t\n\f\r]"
+_ATTRIBUTE = rf"""([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:{_SPACE}*={_SPACE}*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\f\r>"'][^ \t\n\f\r>]*)?)?"""
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r/]+|{_ATTRIBUTE.replace('(', '(?:').replace('(?:?:', '(?:')})*)(?:>|\Z)", re.S)
 _RAW = {"script", "style", "noscript", "iframe", "title", "textarea", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
@@ -66,7 +72,7 @@ _COMPANIONS = {
 _BOILER_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "navigation", "search", "menu", "menubar"}
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 _WORD = re.compile(r"[a-z]+")
-_HEADING = re.compile(r"(?:^|/)h[1-6](?:\.[^/]*)?$")
+_HEADING = re.compile("h[1-6]")
 
 THRESHOLD = 0.5
 WRAPPER, ARTICLE_WRAPPER = 0.9, 0.5  # shares of the page's text from which a container is rather a wrapper than what its name says
@@ -76,31 +82,43 @@ _HALF_LENGTH, _HALF_MARKS = 60.0, 1.0  # ratios at which the measures reach one
 
 @dataclass
 class Block:
-    path: str
+    path: int  # number of the tag path in its page
     place: str  # article, named, boilerplate or plain
     text: str
     linked: int = 0  # characters of it in links
-    named: tuple[int, ...] = ()  # the containers around it whose names are boilerplate
+    named: int = 0  # the innermost container around it whose name is boilerplate; 0: none
 
 
 @dataclass
 class _Open:
     tag: str
-    step: str
+    path: int
     place: str
     inline: bool = False
     link: bool = False
-    named: tuple[int, ...] = ()
+    named: int = 0
+
+
+_ROOT = _Open("", 0, "plain")
 
 
 @dataclass
-class _Page:
-    stack: list[_Open] = field(default_factory=list)
+class Page:
+    """A page while it is read. A path is a number given to (the path around it, its last step), and a container knows the one
+    around it, so an element costs the same at any depth."""
+
     blocks: list[Block] = field(default_factory=list)
+    around: list[int] = field(default_factory=lambda: [0])  # per container the one around it, which has a smaller number
+    headings: set[int] = field(default_factory=set)  # paths that end in a heading
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+    stack: list[_Open] = field(default_factory=list)
+    depths: dict[str, list[int]] = field(default_factory=dict)  # places in the stack per tag
     run: list[str] = field(default_factory=list)
-    at: tuple[str, str, tuple[int, ...]] | None = None
+    at: tuple[int, str, int] | None = None
     linked: int = 0
-    containers: int = 0
+
+    def top(self) -> _Open:
+        return self.stack[-1] if self.stack else _ROOT
 
     def flush(self) -> None:
         if self.run:
@@ -111,23 +129,49 @@ class _Page:
         self.at = None
 
     def text(self, s: str) -> None:
+        top = self.top()
         if self.at is None:
             if not s.strip():
                 return
-            steps = [e for e in self.stack if not e.inline]
-            top = self.stack[-1] if self.stack else _Open("", "", "plain")
-            self.at = "/".join(e.step for e in steps), top.place, top.named
-        elif self.stack and (self.stack[-1].place == "boilerplate" and self.at[1] != "boilerplate" or self.stack[-1].named != self.at[2]):
+            self.at = top.path, top.place, top.named
+        elif self.stack and (top.place == "boilerplate" and self.at[1] != "boilerplate" or top.named != self.at[2]):
             return  # an inline element that is itself ruled out or named
         self.run.append(s)
-        if self.stack and self.stack[-1].link:
+        if top.link:
             self.linked += len(s.strip())
 
+    def open(self, tag: str, attributes: str) -> None:
+        outer, inline = self.top(), tag in _INLINE
+        step, place, named = _place(tag, attributes, outer.place)
+        path, container = outer.path, outer.named
+        if not inline:
+            path = self.paths.setdefault((outer.path, step), len(self.paths) + 1)
+            if _HEADING.fullmatch(tag):
+                self.headings.add(path)
+        if named:
+            self.around.append(outer.named)
+            container = len(self.around) - 1
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_Open(tag, path, place, inline, tag == "a" or outer.link, container))
+
     def close(self, i: int) -> None:
+        """Close the element at this place of the stack and all inside it."""
         if any(not e.inline for e in self.stack[i:]):
             self.flush()
+        for e in self.stack[i:]:
+            self.depths[e.tag].pop()
         del self.stack[i:]
 
+    def close_ended(self, tag: str) -> None:
+        """Close what this start tag ends: the outermost of the elements it ends that no barrier stands around."""
+        own, barrier = ({"p"}, _SCOPES) if tag in _P_ENDS else _CLOSES.get(tag, (set(), set()))
+        own_depths = [d for d in map(self.depths.get, own) if d]
+        if own_depths:
+            lowest = max((d[-1] for d in map(self.depths.get, barrier - own) if d), default=-1)
+            found = [d[i] for d in own_depths if (i := bisect_right(d, lowest)) < len(d)]
+            if found:
+                self.close(min(found))
+
 
 def _boiler_name(name: str) -> bool:
     words = re.split(r"[-_:]+|(?<=[a-z])\d+", name)
@@ -141,8 +185,10 @@ def _place(tag: str, attributes: str, outer: str) -> tuple[str, str, bool]:
     boiler = tag in _BOILER_TAGS or (tag == "header" and outer != "article")
     named = False
     if attributes:
-        for key, value in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower()
+        for key, value in _ATTRIBUTES.findall(attributes):
+            key, value = key.lower(), value.lower()
+            if value[:1] in ("'", '"'):
+                value = value[1:].removesuffix(value[0])
             if key in ("class", "id"):
                 own = value.split()
                 names += own
@@ -152,7 +198,7 @@ def _place(tag: str, attributes: str, outer: str) -> tuple[str, str, bool]:
                     named = named or (tag not in ("html", "body", "main") and any(_boiler_name(x) for x in own))
             elif key == "role":
                 boiler = boiler or value in _BOILER_ROLES
-            else:
+            elif key in ("hidden", "aria-hidden", "style"):
                 boiler = boiler or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
     step = ".".join([tag, *sorted(names)])
     if outer == "boilerplate" or boiler:
@@ -162,9 +208,9 @@ def _place(tag: str, attributes: str, outer: str) -> tuple[str, str, bool]:
     return step, "article" if outer == "article" or tag in ("article", "main") else outer, False
 
 
-def blocks_of(page: str) -> list[Block]:
+def parse(page: str) -> Page:
     """All text blocks of a page with their tag paths."""
-    p, at, n = _Page(), 0, len(page)
+    p, at, n = Page(), 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -178,70 +224,58 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(p.stack) - 1, -1, -1):
-                if p.stack[i].tag == tag:
-                    p.close(i)
-                    break
-            else:
-                if tag not in _INLINE:
-                    p.flush()
+            if p.depths.get(tag):
+                p.close(p.depths[tag][-1])
+            elif tag not in _INLINE:
+                p.flush()
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = n if end is None else page.find(">", end.start()) + 1 or n
             continue
-        inline = tag in _INLINE
         if tag == "br":
             p.text(" ")
             continue
-        if not inline:
+        if tag not in _INLINE:
             p.flush()
-            own, barrier = ({"p"}, _SCOPES) if tag in _P_ENDS else _CLOSES.get(tag, (set(), set()))
-            found = None
-            for i in range(len(p.stack) - 1, -1, -1):
-                if p.stack[i].tag in own:
-                    found = i
-                elif p.stack[i].tag in barrier:
-                    break
-            if found is not None:
-                p.close(found)
-        if tag in _VOID or m[3].endswith("/"):
-            continue
-        outer = p.stack[-1] if p.stack else _Open("", "", "plain")
-        step, place, named = _place(tag, m[3], outer.place)
-        p.containers += named
-        p.stack.append(_Open(tag, step, place, inline, tag == "a" or outer.link, (*outer.named, p.containers) if named else outer.named))
+            p.close_ended(tag)
+        if tag not in _VOID and not m[3].endswith("/"):
+            p.open(tag, m[3])
     p.flush()
-    return p.blocks
+    return p
 
 
-def name_weights(blocks: list[Block]) -> dict[str, float]:
+def name_weights(page: Page) -> dict[int, float]:
     """Of each path inside containers with boilerplate names: 0 where a name stands, 1 where all are wrappers' names."""
-    own = [b for b in blocks if b.place != "boilerplate"]
+    own = [b for b in page.blocks if b.place != "boilerplate"]
     whole = sum(len(b.text) for b in own)
-    held: dict[int, int] = {}
-    around: set[int] = set()  # containers with an article inside
+    held = [0] * len(page.around)
+    article = [False] * len(page.around)  # containers with an article inside
     for b in own:
-        for c in b.named:
-            held[c] = held.get(c, 0) + len(b.text)
-        if b.place == "article":
-            around.update(b.named)
-    out: dict[str, float] = {}
+        held[b.named] += len(b.text)
+        article[b.named] |= b.place == "article"
+    for c in range(len(held) - 1, 0, -1):
+        held[page.around[c]] += held[c]
+        article[page.around[c]] |= article[c]
+    weight = [1.0] * len(held)
+    for c in range(1, len(held)):
+        share = held[c] / max(1, whole)
+        w = 1.0 if article[c] and share >= ARTICLE_WRAPPER else max(0.0, (share - WRAPPER) / (1 - WRAPPER))
+        weight[c] = min(w, weight[page.around[c]])
+    out: dict[int, float] = {}
     for b in own:
-        for c in b.named:
-            share = held[c] / whole
-            w = 1.0 if c in around and share >= ARTICLE_WRAPPER else max(0.0, (share - WRAPPER) / (1 - WRAPPER))
-            out[b.path] = min(out.get(b.path, 1.0), w)
+        if b.named:
+            out[b.path] = min(out.get(b.path, 1.0), weight[b.named])
     return out
 
 
-def path_scores(blocks: list[Block]) -> dict[str, float]:
+def path_scores(page: Page) -> dict[int, float]:
     """Score of every path that isn't ruled out: smoothed, fused ratios, the place's prior and its names' weight."""
-    weight = name_weights(blocks)
-    own = [b for b in blocks if b.place != "boilerplate" and weight.get(b.path, 1.0) > 0]
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
+    weight = name_weights(page)
+    own = [b for b in page.blocks if b.place != "boilerplate" and weight.get(b.path, 1.0) > 0]
+    length: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
     for b in own:
         length[b.path] = length.get(b.path, 0) + len(b.text)
         marks[b.path] = marks.get(b.path, 0) + len(_PUNCTUATION.findall(b.text))
@@ -251,14 +285,14 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
         text, punctuation = length[path] / c, marks[path] / c
         fused[path] = (text / (text + _HALF_LENGTH)) * (0.5 + 0.5 * punctuation / (punctuation + _HALF_MARKS))
     raw = [fused[b.path] for b in own]
-    smooth: dict[str, float] = {}
+    smooth: dict[int, float] = {}
     for i, b in enumerate(own):
         near = [(0.5, raw[i])] + [(0.25, raw[k]) for k in (i - 1, i + 1) if 0 <= k < len(raw)]
         smooth[b.path] = smooth.get(b.path, 0.0) + sum(a * x for a, x in near) / sum(a for a, _ in near)
-    links: dict[str, int] = {}
+    links: dict[int, int] = {}
     for b in own:
         links[b.path] = links.get(b.path, 0) + b.linked
-    mean = {path: smooth[path] / c * (1.0 if _HEADING.search(path) else 1 - links[path] / length[path]) for path, c in count.items()}
+    mean = {path: smooth[path] / c * (1.0 if path in page.headings else 1 - links[path] / length[path]) for path, c in count.items()}
     top = max(mean.values(), default=1.0) or 1.0
     place = {b.path: b.place for b in own}
     prior = IN_ARTICLE * sum(len(b.text) for b in own if b.place == "article") / max(1, sum(length.values()))
@@ -268,9 +302,9 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
-    scores = path_scores(blocks)
-    return "\n".join(b.text for b in blocks if b.place != "boilerplate" and scores.get(b.path, threshold - 1) >= threshold)
+    read = parse(page)
+    scores = path_scores(read)
+    return "\n".join(b.text for b in read.blocks if b.place != "boilerplate" and scores.get(b.path, threshold - 1) >= threshold)
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
