@@ -128,6 +128,18 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(path_class(path))]
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    fs, path_class = _files(spark, path)
+    return fs.getContentSummary(path_class(path)).getLength()
+
+
+def write_marker(spark: SparkSession, path: str) -> None:
+    """An empty file whose name says something."""
+    fs, path_class = _files(spark, path)
+    fs.create(path_class(path), True).close()
+
+
 def _renamed(fs, path_class, source: str, target: str) -> None:
     if not fs.rename(path_class(source), path_class(target)):
         raise OSError(f"can't move {source} to {target}")
