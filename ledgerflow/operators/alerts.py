@@ -296,12 +296,8 @@ def with_velocity_and_first(df: DataFrame, hours: int = VELOCITY_HOURS, min_coun
 ALERT_RULES = ["suspicious_amount", "unusual_pattern", "velocity_check", "new_merchant"]
 
 
-def generate_alerts(scored: DataFrame) -> DataFrame:
-    """one alert per (transaction, rule that fires), status open.
-
-    suspicious_amount: unusual_amount; unusual_pattern: balance ratio > 0.5 and risk_score > 0.5;
-    velocity_check: W3; new_merchant: first payment to the receiver (W4) of a high-value amount.
-    """
+def _fired(scored: DataFrame) -> DataFrame:
+    """One row per (transaction, rule that fires): the transaction's columns and alert_type."""
     df = with_velocity_and_first(scored)
     rules = F.array_compact(
         F.array(
@@ -314,12 +310,54 @@ def generate_alerts(scored: DataFrame) -> DataFrame:
             F.when(F.col("first_to_receiver") & F.col("high_value_transaction"), F.lit("new_merchant")),
         )
     )
-    return df.select(
+    return df.withColumn("alert_type", F.explode(rules))
+
+
+def generate_alerts(scored: DataFrame) -> DataFrame:
+    """one alert per (transaction, rule that fires), status open.
+
+    suspicious_amount: unusual_amount; unusual_pattern: balance ratio > 0.5 and risk_score > 0.5;
+    velocity_check: W3; new_merchant: first payment to the receiver (W4) of a high-value amount.
+    """
+    return _fired(scored).select(
         "time_step",
         "sender_id",
         "receiver_id",
         F.col("amount").cast("double").alias("amount"),
         "risk_score",
-        F.explode(rules).alias("alert_type"),
+        "alert_type",
         F.lit("open").alias("status"),
     )
+
+
+# what a transaction's id is made of
+ID_COLUMNS = ["time_step", "transaction_type", "amount", "sender_id", "receiver_id", "sender_old_balance", "receiver_old_balance"]
+
+
+def _id(*parts: Column) -> Column:
+    """60 bits of the digest of the parts' texts (null: empty): the same in every run, on every partition."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def with_transaction_id(df: DataFrame) -> DataFrame:
+    """Transactions with an ``id`` made of their content; rows equal in ID_COLUMNS share it."""
+    return df.withColumn("id", _id(*[F.col(c) for c in ID_COLUMNS]))
+
+
+def alert_rows(scored: DataFrame) -> DataFrame:
+    """F1 in the alert table's layout, for J1, J2, Q9 and the insert of alerts: an id made of the transaction's and the rule, so
+    that a repeated run makes the same rows; created_at is the transaction's time."""
+    fired = with_transaction_id(_fired(scored)).withColumnRenamed("id", "transaction_id")
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    return fired.select(
+        _id(F.col("transaction_id"), F.col("alert_type")).alias("id"),
+        "transaction_id",
+        "alert_type",
+        F.lit("open").alias("status"),
+        "risk_score",
+        F.col("amount").cast("double").alias("amount"),
+        F.col("transaction_type").alias("payment_method"),
+        F.concat(F.col("alert_type"), F.lit(": "), known("transaction_type"), F.lit(" of "), known("amount"), F.lit(" from "), known("sender_id"), F.lit(" to "), known("receiver_id")).alias("description"),
+        F.col("transaction_date").alias("created_at"),
+    )

@@ -154,6 +154,19 @@ def generated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AL.generate_alerts(scored_transactions(spark, sf_dir))
 
 
+def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AL.alert_rows(scored_transactions(spark, sf_dir))
+
+
+def alert_table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9 on F1's own alerts, their transactions looked up by id."""
+    scored = scored_transactions(spark, sf_dir)
+    alerts = AL.alert_rows(scored)
+    path = work_path(spark, "alerts", unique=True)
+    alerts.write.parquet(path)
+    return quality.alert_quality(spark.read.schema(alerts.schema).parquet(path), AL.with_transaction_id(scored).select("id"))
+
+
 def transaction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.transaction_quality(scored_transactions(spark, sf_dir))
 
@@ -287,6 +300,8 @@ QUERIES: dict[str, Query] = {
     "w3_velocity": velocity,
     "w4_first_payment": first_payment,
     "f1_generated_alerts": generated_alerts,
+    "f1_alert_table": alert_table,
+    "f1_alert_checks": alert_table_checks,
     "q_transaction_checks": transaction_checks,
     "q_payment_checks": payment_checks,
     "q_alert_checks": alert_checks,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow import schemas as S
+from ledgerflow.functions.features import col_or
 from ledgerflow.functions.stats import exact_percentiles, with_global
 from ledgerflow.operators import marts, metrics
 from ledgerflow.operators.enrich import canonical_transactions, process_transactions
@@ -20,6 +21,7 @@ from ledgerflow.plans.oracle_sql import ORACLE as SQL
 from ledgerflow.plans.oracle_sql import MESSAGES, with_ctes
 from ledgerflow.session import work_path
 from ledgerflow.sources import files, fixtures
+from ledgerflow.sources.synthetic import first_available
 from ledgerflow.sources.topics import read_topic_files
 from ledgerflow.streaming import consumer, upsert
 
@@ -165,6 +167,40 @@ def inserted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("transaction_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("amount"))
 
 
+SEED_TYPES = {"c_custkey": "bigint", "c_mktsegment": "varchar(9)", "c_acctbal": "decimal(10,2)"}  # AUTOMOBILE is one too long
+
+
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a seed CSV, loaded into a table with declared lengths: rows and sums per segment, stored and rejected."""
+    path = work_path(spark, "seed", unique=True)
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select(*SEED_TYPES).write.option("header", True).csv(f"{path}/csv")
+    stored, rejected = files.store_seed(spark, f"{path}/csv", SEED_TYPES, f"{path}/table")
+    both = stored.select(F.lit("stored").alias("place"), "*").unionByName(rejected.select(F.lit("rejected").alias("place"), *SEED_TYPES))
+    return both.groupBy("place", "c_mktsegment").agg(F.count(F.lit(1)).alias("rows"), F.sum("c_acctbal").cast("double").alias("balance"))
+
+
+def from_first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an absent lake, an empty one and the transactions, the first that has rows, with its name; counts per type."""
+    path = work_path(spark, "sources", unique=True)
+    rows = fixtures.transactions(spark, sf_dir)
+    rows.where("false").write.parquet(f"{path}/empty")
+    sources = [("absent", lambda: spark.read.parquet(f"{path}/absent")), ("empty", lambda: files.read_lake(spark, f"{path}/empty", rows.schema)), ("tables", lambda: rows)]
+    found, label = first_available(sources)
+    return found.groupBy(F.lit(label).alias("source"), "transaction_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def either_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: the same totals from tables with raw and with canonical names."""
+    canonical = fixtures.transactions(spark, sf_dir)
+    raw = canonical.withColumnsRenamed({v: k for k, v in S.RAW_TO_CANONICAL.items() if k in RAW_ORDER})
+    parts = [
+        df.select(F.lit(label).alias("spelling"), col_or(df, "type", "transaction_type").alias("transaction_type"), col_or(df, "oldbalanceOrg", "sender_old_balance").alias("balance"))
+        for label, df in (("raw", raw), ("canonical", canonical))
+    ]
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("spelling", "transaction_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("balance").cast("double").alias("balance"))
+
+
 def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transactions written as CSV with raw names in another order, read back by name."""
     raw = {v: k for k, v in S.RAW_TO_CANONICAL.items() if k in RAW_ORDER}
@@ -206,6 +242,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a10_bundle": bundle,
     "s7_loaded_twice": loaded_twice,
     "s14_inserted_twice": inserted_twice,
+    "s13_seed": seeded,
+    "s11_first_available": from_first_available,
+    "p20_either_spelling": either_spelling,
     "s1_p1_csv": csv_by_name,
     "s12_mart": stored_mart,
     "p15_load_stamps": load_stamps,
@@ -249,6 +288,11 @@ ORACLE: dict[str, str] = {
             ("fraud_statistics", "a9_detection_stats", "total_fraud flagged_fraud detection_rate")] for c in cs.split()]]),
     "s7_loaded_twice": f"SELECT transaction_type, COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM ({_P9}) GROUP BY 1",
     "s14_inserted_twice": f"SELECT transaction_type, COUNT(*) AS rows, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM ({_P9}) WHERE amount > 0 GROUP BY 1",
+    "s13_seed": """SELECT CASE WHEN length(c_mktsegment) > 9 THEN 'rejected' ELSE 'stored' END AS place, c_mktsegment, COUNT(*) AS rows,
+        CAST(SUM(CAST(c_acctbal AS DECIMAL(10,2))) AS DOUBLE) AS balance FROM customer GROUP BY 1, 2""",
+    "s11_first_available": f"SELECT 'tables' AS source, transaction_type, COUNT(*) AS rows FROM ({_P9}) GROUP BY 2",
+    "p20_either_spelling": f"""SELECT spelling, transaction_type, COUNT(*) AS rows, CAST(SUM(CAST(sender_old_balance AS DECIMAL(18,2))) AS DOUBLE) AS balance
+        FROM ({_P9}) CROSS JOIN (VALUES ('raw'), ('canonical')) v(spelling) GROUP BY 1, 2""",
     "s1_p1_csv": f"""SELECT time_step, transaction_type, amount, sender_id, sender_old_balance, sender_new_balance, receiver_id,
         receiver_old_balance, receiver_new_balance, is_fraud, is_flagged_fraud FROM ({_P9})""",
     "s12_mart": SQL["a20_daily_transaction_summary"],

@@ -295,6 +295,27 @@ velocity AS (
   FROM enriched
 )"""
 
+FIRED = """
+fired AS (
+  SELECT *, unnest(list_filter([
+    CASE WHEN unusual_amount THEN 'suspicious_amount' END,
+    CASE WHEN balance_change_ratio > 0.5 AND NOT isnan(balance_change_ratio) AND risk_score > 0.5 THEN 'unusual_pattern' END,
+    CASE WHEN sender_velocity >= 3 THEN 'velocity_check' END,
+    CASE WHEN first_to_receiver AND high_value_transaction THEN 'new_merchant' END], lambda x: x IS NOT NULL)) AS alert_type,
+    CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(time_step AS VARCHAR), ''), coalesce(transaction_type, ''), coalesce(CAST(amount AS VARCHAR), ''),
+      coalesce(sender_id, ''), coalesce(receiver_id, ''), coalesce(CAST(sender_old_balance AS VARCHAR), ''), coalesce(CAST(receiver_old_balance AS VARCHAR), ''))), 1, 15) AS BIGINT) AS transaction_id
+  FROM velocity
+)"""
+
+OWN_ALERTS = """
+own_alerts AS (
+  SELECT CAST('0x' || substr(md5(CAST(transaction_id AS VARCHAR) || '|' || alert_type), 1, 15) AS BIGINT) AS id, transaction_id, alert_type, 'open' AS status,
+    risk_score, CAST(amount AS DOUBLE) AS amount, transaction_type AS payment_method,
+    alert_type || ': ' || coalesce(transaction_type, 'unknown') || ' of ' || coalesce(CAST(amount AS VARCHAR), 'unknown') || ' from ' || coalesce(sender_id, 'unknown')
+      || ' to ' || coalesce(receiver_id, 'unknown') AS description, transaction_date AS created_at
+  FROM fired
+)"""
+
 ORACLE.update(
     {
         "p21_p25_payment_features": with_ctes(
@@ -378,16 +399,11 @@ ORACLE.update(
             "SELECT time_step, sender_id, receiver_id, first_to_receiver FROM velocity", VELOCITY
         ),
         "f1_generated_alerts": _scored(
-            """SELECT time_step, sender_id, receiver_id, CAST(amount AS DOUBLE) AS amount, risk_score, alert_type, 'open' AS status
-               FROM (
-                 SELECT *, unnest(list_filter([
-                   CASE WHEN unusual_amount THEN 'suspicious_amount' END,
-                   CASE WHEN balance_change_ratio > 0.5 AND NOT isnan(balance_change_ratio) AND risk_score > 0.5 THEN 'unusual_pattern' END,
-                   CASE WHEN sender_velocity >= 3 THEN 'velocity_check' END,
-                   CASE WHEN first_to_receiver AND high_value_transaction THEN 'new_merchant' END], lambda x: x IS NOT NULL)) AS alert_type
-                 FROM velocity)""",
+            """SELECT time_step, sender_id, receiver_id, CAST(amount AS DOUBLE) AS amount, risk_score, alert_type, 'open' AS status FROM fired""",
             VELOCITY,
+            FIRED,
         ),
+        "f1_alert_table": _scored("SELECT * FROM own_alerts", VELOCITY, FIRED, OWN_ALERTS),
     }
 )
 
@@ -403,6 +419,14 @@ def _checks(table: str, checks: list[tuple[str, str]], extra: list[str] = ()) ->
     FROM ({' UNION ALL '.join(parts)})"""
 
 
+_ALERT_CHECKS = [
+    ("check_risk_scores_in_range", "risk_score < 0 OR risk_score > 1"),
+    ("check_alert_type_allowed", "alert_type NOT IN ('suspicious_amount', 'new_merchant', 'unusual_pattern', 'high_risk_location', 'velocity_check', 'device_mismatch')"),
+    ("check_alert_status_allowed", "status NOT IN ('open', 'investigating', 'resolved', 'false_positive', 'confirmed_fraud')"),
+    ("check_transaction_id_not_null", "transaction_id IS NULL"),
+]
+_ORPHANS = "SELECT 'check_alert_transaction_exists', COUNT(*)"
+
 ORACLE.update(
     {
         "q_transaction_checks": _scored(
@@ -440,22 +464,9 @@ ORACLE.update(
             ),
         ),
         "q_alert_checks": with_ctes(
-            PAYMENTS,
-            ALERTS,
-            body=_checks(
-                "alerts",
-                [
-                    ("check_risk_scores_in_range", "risk_score < 0 OR risk_score > 1"),
-                    ("check_alert_type_allowed", "alert_type NOT IN ('suspicious_amount', 'new_merchant', 'unusual_pattern', 'high_risk_location', 'velocity_check', 'device_mismatch')"),
-                    ("check_alert_status_allowed", "status NOT IN ('open', 'investigating', 'resolved', 'false_positive', 'confirmed_fraud')"),
-                    ("check_transaction_id_not_null", "transaction_id IS NULL"),
-                ],
-                [
-                    "SELECT 'check_alert_transaction_exists', COUNT(*) FROM alerts a "
-                    "WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.id = a.transaction_id)"
-                ],
-            ),
+            PAYMENTS, ALERTS, body=_checks("alerts", _ALERT_CHECKS, [_ORPHANS + " FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.id = a.transaction_id)"])
         ),
+        "f1_alert_checks": _scored(_checks("own_alerts", _ALERT_CHECKS, [_ORPHANS + " FROM own_alerts WHERE false"]), VELOCITY, FIRED, OWN_ALERTS),
         "q7_payment_completeness": with_ctes(
             PAYMENTS,
             body=_checks(

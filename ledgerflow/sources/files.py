@@ -96,11 +96,32 @@ def _read_published(spark: SparkSession, root: str, schema: T.StructType | None,
 
 def read_seed(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """A seed CSV with declared column types (e.g. ``{"amount": "decimal(10,2)"}``). ``varchar(n)`` /
-    ``char(n)`` are read as strings; their lengths belong to the quality checks."""
+    ``char(n)`` are read as strings; ``store_seed`` makes a table in which their lengths hold."""
     ddl = ", ".join(f"`{k}` {re.sub(r'^(var)?char\(\d+\)$', 'string', v.strip(), flags=re.I)}" for k, v in types.items())
     return spark.read.schema(ddl).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def store_seed(spark: SparkSession, path: str, types: dict[str, str], table: str) -> tuple[DataFrame, DataFrame]:
+    """Load a seed CSV into a Parquet table at ``table`` (replaced) with the declared types; the table's rows and the rejected
+    ones. The table is declared with its ``varchar(n)`` and ``char(n)`` columns, so Spark itself checks lengths at the
+    write (spaces at the end beyond a length are cut, as in SQL). Rows that it would refuse go to ``<table>_rejected`` as
+    they stand in the file, with the names of the columns that are too long."""
+    rows = read_seed(spark, path, types)
+    lengths = {c: int(m[1]) for c, t in types.items() if (m := re.fullmatch(r"(?:var)?char\((\d+)\)", t.strip(), flags=re.I))}
+    too_long = F.array_compact(F.array(*[F.when(F.char_length(F.rtrim(c)) > n, F.lit(c)) for c, n in lengths.items()]).cast("array<string>"))
+    tagged = rows.withColumn("rejected", too_long)
+    name, rejected = f"ledgerflow_seed_{uuid.uuid4().hex}", f"{table.rstrip('/')}_rejected"
+    tagged.where(F.size("rejected") > 0).write.mode("overwrite").parquet(rejected)
+    remove_path(spark, table)
+    spark.sql(f"CREATE TABLE {name} ({', '.join(f'`{c}` {t}' for c, t in types.items())}) USING parquet LOCATION '{table}'")
+    try:
+        tagged.where(F.size("rejected") == 0).drop("rejected").write.insertInto(name)
+        stored = spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the entry of the session's catalog; the files stay
+    return stored, spark.read.schema(tagged.schema).parquet(rejected)
+
+
 # --- writes --------------------------------------------------------------------------------------
 
 
