@@ -56,6 +56,14 @@ def discard(spark: SparkSession, path: str) -> None:
     remove_path(spark, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame hasn't, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 

@@ -10,8 +10,13 @@ place is verified with Myers' bit-parallel edit distance over the words that an
 The items travel to the tasks in blocks of at most ``block_bytes`` of text, one pass over the documents each; a
 benchmark of usual size is one block. Documents never move.
 
-Edge cases: a null or empty text matches nothing; a null or empty item, or one of fewer than ``min_words`` words, is
-not searched for (a common word or two would match everywhere); repeated items and documents match each for itself; an
+An item of up to six words has no budget and must stand in a text word by word. Items of fewer than ``min_words`` words
+aren't searched for: the query op9 asks for all (1) and reports each match with its item's words (``n_item_words``), while
+``drop_contaminated``, and so the pipeline, leaves out items under MIN_WORDS unless the caller says otherwise, as a word or two
+would match, and remove, clean documents everywhere.
+
+Edge cases: a null or empty text matches nothing; a null or empty item, or one without a letter or digit, is never found;
+of matches with equal distance the first in the text is reported; texts and items of any length are compared whole; repeated items and documents match each for itself; an
 empty table on either side gives no matches; other columns are ignored by ``find`` and kept by ``drop_contaminated``.
 """
 

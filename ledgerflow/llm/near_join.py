@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import Words, mix64, staged
+from ledgerflow.llm.common import Words, free_name, mix64, staged
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -315,5 +315,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the first by id (null ids last) and then by a hash of id and text, with all its columns;
     rows equal in id and text count as one document and stay or go together."""
-    gone = _joined(docs, threshold, recall, id_col, text_col).where("n_links > 0 and row != keep").select(F.col("row").alias("_gone"))
-    return docs.join(gone.distinct(), _row(id_col, text_col) == F.col("_gone"), "left_anti")
+    gone = _joined(docs, threshold, recall, id_col, text_col).where("n_links > 0 and row != keep")
+    name = free_name(docs, "_gone")
+    return docs.join(gone.select(F.col("row").alias(name)).distinct(), _row(id_col, text_col) == F.col(name), "left_anti")

@@ -48,12 +48,12 @@ def op8_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=1)
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_templates.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_templates.drop_repeated_lines(docs, fields=None, min_tokens=1).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
