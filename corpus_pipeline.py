@@ -2,6 +2,12 @@
 
 Each stage works on all that the one before kept and is written as Parquet to the shared folder before the next reads
 it, so a lost executor costs no more than its part of one stage. All but the last return the columns of documents.
+
+Edge cases, as the operators' docstrings say them for each stage: a null, empty or short text fails the base rule and goes in
+the first stage; a later stage that is given such texts keeps them. Texts of any length are worked on whole. Null ids count as
+the smallest for lines and the last among copies; rows equal in id and text stay or go together. An empty table gives no
+rows. Columns beyond those of documents, whatever their names, are kept up to the last stage, n_chars follows the text
+where it is there, and the last stage returns its own columns.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import byte_bpe, decontaminate, line_templates, near_join, weak_quality
-from ledgerflow.llm.common import staged
+from ledgerflow.llm.common import free_name, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,10 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat templates of earlier documents; n_chars follows the text."""
-    out = line_templates.drop_repeated_lines(docs)
+    counts = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    out = line_templates.drop_repeated_lines(docs, counts=counts)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
