@@ -134,28 +134,46 @@ def repeated_lines(
     return by_line.where(F.col("seen") >= F.lit(similarity) * F.col("tokens")).groupBy("row").agg(F.collect_list("line").alias("lines"))
 
 
-def parsed_by_token(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, line, tokens, leaf, whole, words): whole is a hash of leaf and line, words 32 bits of each token's hash."""
+def _whole(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Hashes of leaf and line."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64(p["leaf"]) + p["total"][p["first"] + p["tokens"]] - p["total"][p["first"]]).view(np.int64)
+
+
+def _hashed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """(row, doc_id, line, tokens, leaf, whole) of documents (row, doc_id, text): a line's place and hashes, not its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 some = b.slice(at, 1000)
                 p = _lines_of(some.column(2).to_pylist(), depth, min_tokens)
-                first, count = p["first"], p["tokens"]
-                with np.errstate(over="ignore"):
-                    whole = mix64(mix64(p["leaf"]) + p["total"][first + count] - p["total"][first])
-                ends = np.concatenate(([0], np.cumsum(count)))
-                own = np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)
-                words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((p["token"][own] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 doc = pa.array(p["doc"], pa.int64())
                 yield pa.record_batch([
-                    some.column(0).take(doc), some.column(1).take(doc), pa.array(p["line"], pa.int32()), pa.array(count, pa.int32()),
-                    pa.array(p["leaf"].view(np.int64)), pa.array(whole.view(np.int64)), words,
-                ], names=["row", "doc_id", "line", "tokens", "leaf", "whole", "words"])
+                    some.column(0).take(doc), some.column(1).take(doc), pa.array(p["line"], pa.int32()), pa.array(p["tokens"], pa.int32()), pa.array(p["leaf"].view(np.int64)), pa.array(_whole(p)),
+                ], names=["row", "doc_id", "line", "tokens", "leaf", "whole"])
 
-    rows = docs.select(_row(id_col, text_col).alias("row"), _order(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, line int, tokens int, leaf long, whole long, words array<int>")
+    return docs.mapInArrow(run, "row long, doc_id long, line int, tokens int, leaf long, whole long")
+
+
+def _words_of(docs: DataFrame, wanted: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """(whole, words): 32 bits of each token's hash, for the wanted lines (row, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                p = _lines_of(some.column(0).to_pylist(), depth, min_tokens)
+                asked = {(d, x) for d, own in enumerate(some.column(1).to_pylist()) for x in own}
+                keep = np.array([x in asked for x in zip(p["doc"].tolist(), p["line"].tolist())], bool)
+                first, count = p["first"][keep], p["tokens"][keep]
+                ends = np.concatenate(([0], np.cumsum(count)))
+                own = np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)
+                words = pa.array((p["token"][own] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                yield pa.record_batch([pa.array(_whole(p)[keep]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words)], names=["whole", "words"])
+
+    by_row = wanted.groupBy("row").agg(F.collect_list("line").alias("lines"))
+    return docs.select("row", "text").join(by_row, "row").select("text", "lines").mapInArrow(run, "whole long, words array<int>")
 
 
 def _values(lines: DataFrame, *columns: str) -> DataFrame:
@@ -164,11 +182,12 @@ def _values(lines: DataFrame, *columns: str) -> DataFrame:
     return words.select(*columns, F.xxhash64("leaf", "place", "word").alias("key"))
 
 
-def _first_documents(lines: DataFrame, variants: DataFrame, need: int) -> DataFrame:
+def _first_documents(per: DataFrame, variants: DataFrame, need: int) -> DataFrame:
     """(key, first_doc): values that stand in ``need`` documents or more, with the smallest id. Two documents are what any
     document after the first asks for, so there the variants' own first documents tell all; else documents are counted."""
     if need <= 2:
         return _values(variants, "first_doc").groupBy("key").agg(F.min("first_doc").alias("first_doc"))
+    lines = per.select("whole", "doc_id").join(variants.select("whole", "leaf", "words"), "whole")
     each = _values(lines, "doc_id").groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     return each.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.sum("one").alias("n")).where(F.col("n") >= need).drop("n")
 
@@ -177,19 +196,30 @@ def repeated_lines_by_token(
     docs: DataFrame, similarity: float = SIMILARITY, min_documents: int = MIN_DOCUMENTS, few_documents: int = FEW_DOCUMENTS, long_line: int = LONG_LINE,
     depth: int = DEPTH, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """As ``repeated_lines``, every token a field."""
-    lines = staged(parsed_by_token(docs, depth, min_tokens, id_col, text_col), "lines")
-    shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("leaf")
-    lines = staged(lines.join(shared, "leaf", "left_semi"), "lines_of_shared_leaves")
-    variants = lines.groupBy("whole").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("leaf", "tokens", "words")])
-    variants = staged(variants, "variants")
+    """As ``repeated_lines``, every token a field.
+
+    Most lines are alone in their leaf, or with equal ones only, which their hashes tell: there all tokens stand in the same
+    documents. Tokens are looked at for one line of each variant in the leaves that hold several."""
+    rows = docs.select(_row(id_col, text_col).alias("row"), _order(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    lines = staged(_hashed_lines(rows, depth, min_tokens), "lines")
+    per = lines.groupBy("whole", "doc_id").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.min(F.struct("row", "line")).alias("at"))
+    variants = per.groupBy("whole").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.min("at").alias("at"))
+    leaves = variants.groupBy("leaf").agg(F.count("*").alias("n_variants"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).where("a < b").select("leaf", "n_variants")
+    variants = staged(variants.join(leaves, "leaf"), "variants")
+
     is_long = F.col("tokens") >= long_line
-    first = _first_documents(lines.where(is_long), variants.where(is_long), few_documents).unionByName(
-        _first_documents(lines.where(~is_long), variants.where(~is_long), min_documents))
+    alone = variants.where((F.col("n_variants") == 1) & (F.col("n_docs") >= F.when(is_long, few_documents).otherwise(min_documents)))
+    several = variants.where("n_variants > 1")
+    words = _words_of(rows, several.select("at.*"), depth, min_tokens).groupBy("whole").agg(F.first("words").alias("words"))  # rows may repeat
+    several = staged(several.select("whole", "leaf", "tokens", "first_doc").join(words, "whole"), "variants_of_full_leaves")
+    first = _first_documents(lines.where(is_long).select("whole", "doc_id").distinct(), several.where(is_long), few_documents).unionByName(
+        _first_documents(lines.where(~is_long).select("whole", "doc_id").distinct(), several.where(~is_long), min_documents))
     wanted = F.ceil(F.lit(similarity) * F.col("tokens") - 1e-9).cast("int")
     after = (
-        _values(variants, "whole", "tokens").join(first, "key").groupBy("whole", "tokens").agg(F.sort_array(F.collect_list("first_doc")).alias("firsts"))
+        _values(several, "whole", "tokens").join(first, "key").groupBy("whole", "tokens").agg(F.sort_array(F.collect_list("first_doc")).alias("firsts"))
         .where(F.size("firsts") >= wanted).select("whole", F.get("firsts", F.greatest(wanted, F.lit(1)) - 1).alias("after"))
+        .unionByName(alone.select("whole", F.col("first_doc").alias("after")))
     )
     gone = lines.select("row", "doc_id", "line", "whole").join(after, "whole").where("doc_id > after")
     return gone.groupBy("row").agg(F.collect_list("line").alias("lines"))
