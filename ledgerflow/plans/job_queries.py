@@ -30,6 +30,7 @@ ERRORS = 5  # failing rows of one check that a day may have in the backfill quer
 STAMP = "2024-01-01 00:00:00"
 KEPT_MS = 3650 * 24 * 3600 * 1000  # keys of the topic are remembered for ten years of event time: duplicates stand far apart
 TOPIC_FILES = 20
+STATE_BYTES, LEAST_STATES = 8 << 20, 4  # stored bytes of the topic for each partition of the stream's state
 MONEY = ["amount", "sender_old_balance", "sender_new_balance", "receiver_old_balance", "receiver_new_balance"]
 RAW_ORDER = ["isFlaggedFraud", "nameDest", "newbalanceOrg", "oldbalanceOrg", "amount", "type", "step", "nameOrig", "newbalanceDest", "oldbalanceDest", "isFraud"]
 
@@ -52,6 +53,12 @@ def _topic_files(spark: SparkSession, messages: DataFrame, folder: str, n: int)
     return names
 
 
+def _state_partitions(spark: SparkSession, folder: str) -> int:
+    """State partitions for a topic, which grow with it up to the session's shuffle partitions."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(LEAST_STATES, -(-files.stored_bytes(spark, folder) // STATE_BYTES)))
+
+
 _STREAMS: dict[tuple[str, str], str] = {}
 
 
@@ -68,6 +75,7 @@ def _run_stream(spark: SparkSession, sf_dir: str) -> str:
     checkpoint."""
     root = work_path(spark, "stream", unique=True)
     names = _topic_files(spark, fixtures.topic_messages(spark, sf_dir), f"{root}/all", TOPIC_FILES)
+    states = _state_partitions(spark, f"{root}/all")
     fs, path_class = files._files(spark, root)
     fs.mkdirs(path_class(f"{root}/topic"))
     for arrived in (names[: TOPIC_FILES // 2], names[TOPIC_FILES // 2 :]):
@@ -75,7 +83,7 @@ def _run_stream(spark: SparkSession, sf_dir: str) -> str:
             if not fs.rename(path_class(f"{root}/all/{name}"), path_class(f"{root}/topic/{name}")):
                 raise OSError(f"can't move {name}")
         source = read_topic_files(spark, f"{root}/topic", max_files_per_trigger=1)
-        query = consumer.start_transaction_stream(source, f"{root}/store", f"{root}/progress", state_ttl_ms=KEPT_MS, statuses=True, event_time=True)
+        query = consumer.start_transaction_stream(source, f"{root}/store", f"{root}/progress", state_ttl_ms=KEPT_MS, statuses=True, event_time=True, state_partitions=states)
         query.awaitTermination()
         upsert.compact(spark, f"{root}/store")
     files.remove_path(spark, f"{root}/topic")

@@ -89,11 +89,16 @@ def start_transaction_stream(
     now: Column | None = None,
     statuses: bool = False,
     event_time: bool = False,
+    state_partitions: int | None = None,
 ):
     """Start the stream job; returns the StreamingQuery. ``state_ttl_ms`` is how long a key is remembered, by the time of
     arrival, or with ``event_time`` by the messages' own timestamps; the source bounds a micro-batch
     (``max_offsets_per_trigger``, ``max_files_per_trigger``).
 
+    Every micro-batch has a task and a state file per state partition, and its own shuffles have as many tasks, however few
+    its messages are. ``state_partitions`` is that number (default: the session's shuffle partitions); a checkpoint keeps
+    the one that it was started with.
+
     Per micro-batch: the batch is persisted once and every message gets its final status (``dedup.batch_statuses``); first
     good messages, status counts and the upsert of the successes are written under the batch's id, so a replay
     changes nothing; with ``statuses`` every message's final status is kept as well. Only the key, offset, decode status,
@@ -142,16 +147,23 @@ def start_transaction_stream(
                 final.unpersist()
 
     w = tagged.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    settings = {}
+    if state_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(int(state_partitions))
     if processing_time or not available_now:
-        return (w.trigger(processingTime=processing_time) if processing_time else w).start()
-    # a moving watermark asks for batches without data; a run over what is there has none
-    conf, name = source.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
+        w = w.trigger(processingTime=processing_time) if processing_time else w
+    else:
+        # a moving watermark asks for batches without data; a run over what is there has none
+        w, settings["spark.sql.streaming.noDataMicroBatches.enabled"] = w.trigger(availableNow=True), "false"
+    conf = spark.conf
+    before = {name: conf.get(name) for name in settings}
     try:
-        return w.trigger(availableNow=True).start()  # the query keeps the settings that it starts with
+        for name, value in settings.items():
+            conf.set(name, value)
+        return w.start()  # the query keeps the settings that it starts with
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def lag_from_progress(progress: dict) -> list[dict]:

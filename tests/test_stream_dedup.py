@@ -65,3 +65,24 @@ def test_no_python_in_the_plan(spark, tmp_dir):
     out = dedup.batch_statuses(tagged, "seen_at", F.current_timestamp(), spark.createDataFrame([], "message_key string, seen_at timestamp"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_state_partitions_follow_the_topic_not_the_session(spark, tmp_dir):
+    import os
+
+    from ledgerflow.plans import job_queries
+
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64")
+    try:
+        spark.createDataFrame([message("a", 0, 0), message("a", 1, 0), message("b", 2, 0, good=False)], S.TOPIC_MESSAGE).coalesce(1).write.parquet(f"{tmp_dir}/topic")
+        n = job_queries._state_partitions(spark, f"{tmp_dir}/topic")
+        q = consumer.start_transaction_stream(
+            read_topic_files(spark, f"{tmp_dir}/topic"), f"{tmp_dir}/store", f"{tmp_dir}/ckpt", state_ttl_ms=HOUR, statuses=True, event_time=True, state_partitions=n)
+        q.awaitTermination(600)
+        assert spark.conf.get(name) == "64"
+    finally:
+        spark.conf.set(name, before)
+    assert n == job_queries.LEAST_STATES == len([x for x in os.listdir(f"{tmp_dir}/ckpt/state/0") if x.isdigit()])
+    assert {r.offset: r.status for r in spark.read.parquet(f"{tmp_dir}/store/statuses").collect()} == {0: "success", 1: "duplicate", 2: "invalid"}
