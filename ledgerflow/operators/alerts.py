@@ -232,9 +232,8 @@ def _pair_steps(df: DataFrame) -> DataFrame:
     return df.groupBy("sender_id", "receiver_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _velocity_table(counts: DataFrame, hours: int) -> DataFrame:
-    """Sender velocity per (sender, step) from row counts keyed by (sender, step[, receiver])."""
-    per_step = counts.groupBy("sender_id", "time_step").agg(F.sum("_n").alias("_n"))
+def _velocity_table(per_step: DataFrame, hours: int) -> DataFrame:
+    """Sender velocity per (sender, step) from row counts keyed by (sender, step)."""
     w = Window.partitionBy("sender_id").orderBy("time_step").rangeBetween(-hours, 0)
     return per_step.select("sender_id", "time_step", F.sum("_n").over(w).alias("sender_velocity"))
 
@@ -243,11 +242,15 @@ def _first_table(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("sender_id", "receiver_id").agg(F.min("time_step").alias("_first_step"))
 
 
+def _step_counts(df: DataFrame) -> DataFrame:
+    """Rows per (sender, time_step), map-side combined."""
+    return df.groupBy("sender_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def with_velocity(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = VELOCITY_MIN_COUNT) -> DataFrame:
     """``sender_velocity`` = the sender's transactions with time_step in [t - hours, t] (ties included),
     ``velocity_check`` = sender_velocity ≥ min_count."""
-    per_step = df.groupBy("sender_id", "time_step").agg(F.count(F.lit(1)).alias("_n"))
-    vel = _velocity_table(per_step, hours)
+    vel = _velocity_table(_step_counts(df), hours)
     return _null_safe_left(df, vel, ["sender_id", "time_step"]).withColumn(
         "velocity_check", F.col("sender_velocity") >= min_count
     )
@@ -274,21 +277,18 @@ def _with_first(df: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def with_velocity_and_first(df: DataFrame, hours: int = VELOCITY_HOURS, min_count: int = VELOCITY_MIN_COUNT) -> DataFrame:
-    """W3 and W4 together. Both come from one (sender, receiver, step) aggregate; the velocity and the
-    pair's first step are joined onto that aggregate (small joins between aggregated tables), and the
-    result is joined back to the rows once, on the three keys."""
-    pairs = _pair_steps(df)
-    timed = _null_safe_left(pairs, _velocity_table(pairs, hours), ["sender_id", "time_step"])
-    per_pair_step = (
-        _null_safe_left(timed, _first_table(pairs), ["sender_id", "receiver_id"])
-        .select(
-            "sender_id",
-            "receiver_id",
-            "time_step",
-            "sender_velocity",
-            (F.col("sender_velocity") >= min_count).alias("velocity_check"),
-            F.coalesce(F.col("time_step") == F.col("_first_step"), F.lit(False)).alias("first_to_receiver"),
-        )
+    """W3 and W4 together. Each (sender, receiver, step) gets the pair's first step by a window over the pair, in which a row
+    is one distinct step, and the velocity of its (sender, step) by a join; the result is joined back to the rows once, on
+    the three keys. So the aggregated keys are shuffled four times, the velocities three and the rows once."""
+    first = F.min("time_step").over(Window.partitionBy("sender_id", "receiver_id"))
+    pairs = df.select("sender_id", "receiver_id", "time_step").distinct().withColumn("_first_step", first)
+    per_pair_step = _null_safe_left(pairs, _velocity_table(_step_counts(df), hours), ["sender_id", "time_step"]).select(
+        "sender_id",
+        "receiver_id",
+        "time_step",
+        "sender_velocity",
+        (F.col("sender_velocity") >= min_count).alias("velocity_check"),
+        F.coalesce(F.col("time_step") == F.col("_first_step"), F.lit(False)).alias("first_to_receiver"),
     )
     return _null_safe_left(df, per_pair_step, ["sender_id", "receiver_id", "time_step"])
 
@@ -298,19 +298,18 @@ ALERT_RULES = ["suspicious_amount", "unusual_pattern", "velocity_check", "new_me
 
 def _fired(scored: DataFrame) -> DataFrame:
     """One row per (transaction, rule that fires): the transaction's columns and alert_type."""
-    df = with_velocity_and_first(scored)
+    # the ratio is read here, before the rows are shuffled, so that it needn't go with them
+    pattern = X.gt_not_nan(F.col("balance_change_ratio"), S.RATIO_THRESHOLD) & X.gt_not_nan(F.col("risk_score"), 0.5)
+    df = with_velocity_and_first(scored.withColumn("_pattern", pattern))
     rules = F.array_compact(
         F.array(
             F.when(F.col("unusual_amount"), F.lit("suspicious_amount")),
-            F.when(
-                X.gt_not_nan(F.col("balance_change_ratio"), S.RATIO_THRESHOLD) & X.gt_not_nan(F.col("risk_score"), 0.5),
-                F.lit("unusual_pattern"),
-            ),
+            F.when(F.col("_pattern"), F.lit("unusual_pattern")),
             F.when(F.col("velocity_check"), F.lit("velocity_check")),
             F.when(F.col("first_to_receiver") & F.col("high_value_transaction"), F.lit("new_merchant")),
         )
     )
-    return df.withColumn("alert_type", F.explode(rules))
+    return df.withColumn("alert_type", F.explode(rules)).drop("_pattern")
 
 
 def generate_alerts(scored: DataFrame) -> DataFrame:
