@@ -43,6 +43,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_transactions(spark, sf_dir)
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the work folder, for a query that passes over them several times."""
+    spark, path = rows.sparkSession, work_path(rows.sparkSession, name, unique=True)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _topic_files(spark: SparkSession, messages: DataFrame, folder: str, n: int) -> list[str]:
     """Write the topic as ``n`` files in offset order, times of change included; their names in that order."""
     messages.repartitionByRange(n, "offset").sortWithinPartitions("offset").write.parquet(folder)
@@ -155,7 +162,8 @@ def loaded_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads of processed rows, the first of them repeated: per type the rows of the table and of the rejected ones,
     in which every row stands once."""
     path = work_path(spark, "loads", unique=True)
-    rows = process_transactions(_scored(spark, sf_dir), processed_at=F.lit(STAMP).cast("timestamp"))
+    # a load reads its rows twice, for those that fit and those that don't: scored once and stored
+    rows = _stored(process_transactions(_scored(spark, sf_dir), processed_at=F.lit(STAMP).cast("timestamp")), "processed")
     first = F.pmod("time_step", F.lit(2)) == 0
     for load, part in (("a", first), ("b", ~first), ("a", first)):
         files.append_processed(rows.where(part), path, load_id=load)
@@ -168,7 +176,7 @@ def loaded_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inserted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions inserted under one load id, twice; the table's rows."""
     path = work_path(spark, "inserts", unique=True)
-    rows = fixtures.transactions(spark, sf_dir)
+    rows = stored_transactions(spark, sf_dir)  # each insert reads its rows twice
     for _ in range(2):
         files.append_transactions(rows, path, load_id="only")
     stored = files.read_loads(spark, path, S.TRANSACTION)

@@ -257,11 +257,13 @@ def write_lake(df: DataFrame, path: str, run_date: str | Date) -> str:
 def _fitted(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The DDL's columns (what doesn't fit is null), the row's own columns as ``own``, and ``rejected``."""
     there = [f for f in schema.fields if f.name in df.columns]
+    # a column of the DDL's own type fits: a check of each such column would only make the generated code too long to compile
+    cast = [f for f in there if df.schema[f.name].dataType != f.dataType]
     unfit = F.array_compact(F.array(*[
         F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value")))
-        for f in there
-    ]))
-    cols = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f in there else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        for f in cast
+    ]).cast("array<struct<column: string, value: string>>"))
+    cols = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f in cast else F.col(f.name) if f in there else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
     return df.select(*cols, F.struct(*df.columns).alias("own"), unfit.alias("rejected"))
 
 
@@ -301,7 +303,7 @@ def _replace_load(rows: DataFrame, path: str, load_id: str) -> bool:
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", load_id):
         raise ValueError("a load id has letters, digits, '_', '.' and '-' only")
     name = f"{path.rstrip('/')}/load_id={load_id}"
-    if rows.isEmpty() and not path_exists(rows.sparkSession, name):
+    if not path_exists(rows.sparkSession, name) and rows.isEmpty():  # looking for a first row may read them all
         return False
     replace_partitions(rows.withColumn("load_id", F.lit(load_id)), path, "load_id", [load_id])
     return path_exists(rows.sparkSession, name)
