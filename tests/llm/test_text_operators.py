@@ -96,6 +96,22 @@ def test_filter_reads_levels_and_keeps_its_limit():
     assert bloom_lm.level(np.array([0, 1, 2, 3, 4, 1023, 1024])).tolist() == [0, 1, 2, 2, 3, 10, 11]
 
 
+def test_filters_beyond_the_limit_score_the_same(frame, spark, empty, monkeypatch):
+    def rows(df, **options):
+        got = bloom_lm.score(df, **options)
+        key = lambda r: tuple(-1 if x is None else x for x in r)
+        return got.columns, sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got.collect()), key=key)
+
+    odd = spark.createDataFrame([(None, "a b a"), (None, None), (7, "a b a"), (7, "a b a"), (8, ""), (3, "c a b")], "doc_id long, text string")
+    for chunk in (bloom_lm.CHUNK, 5_000):
+        monkeypatch.setattr(bloom_lm, "CHUNK", chunk)
+        for df in (frame, odd, odd.where("text is null"), odd.where("false")):
+            (columns, want), (own, got) = rows(df, hot=64), rows(df, max_filter_bytes=0)
+            assert columns == own and [r[:5] for r in got] == [r[:5] for r in want]
+            assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]])
+    assert bloom_lm.score(empty, max_filter_bytes=0).count() == 0
+
+
 def test_no_documents_no_scores(empty):
     assert bloom_lm.score(empty).count() == 0
 
