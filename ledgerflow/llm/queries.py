@@ -36,7 +36,7 @@ def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_frames.round_trip(table(spark, sf_dir, "documents"))
+    return token_frames.round_trip(table(spark, sf_dir, "documents"), plain_specials=False)
 
 
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

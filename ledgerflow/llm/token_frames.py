@@ -116,14 +116,15 @@ class FrameFile:
 
 def write_token_files(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
-    end_id: int = END_ID, file_bytes: int = FILE_BYTES,
+    end_id: int = END_ID, file_bytes: int = FILE_BYTES, plain_specials: bool = True,
 ) -> list[tuple[str, int, int]]:
-    """Encode and write all documents below ``path``; (file, documents, ids) per file in ascending order of the ids."""
+    """Encode and write all documents below ``path``; (file, documents, ids) per file in ascending order of the ids. With
+    ``plain_specials``, special tokens' strings in a text are plain text; else they are what the library makes of them."""
     end = np.asarray([end_id], "<u4").tobytes()
     spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = worker_encoder(vocabulary, plain_specials=False), TaskContext.get()
+        encode, task = worker_encoder(vocabulary, plain_specials), TaskContext.get()
 
         def contents() -> Iterator[tuple[int | None, bytes]]:
             for b in batches:

@@ -303,6 +303,20 @@ def test_token_files_round_trip(spark, frame, docs):
     assert sorted(tuple(r) for r in token_frames.round_trip(frame, file_bytes=50_000).collect()) == sorted(want)
 
 
+def test_special_strings_as_the_library_reads_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from ledgerflow.llm.queries import QUERIES
+
+    t = Tokenizer.from_file(public("byte_bpe_50k.json"))
+    text = "a <|endoftext|> b"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for plain, got in ((False, QUERIES["op6_token_frames"](spark, str(tmp_path))), (True, token_frames.round_trip(spark.read.parquet(f"{tmp_path}/documents.parquet")))):
+        t.encode_special_tokens = plain
+        ids = np.asarray([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert [tuple(r) for r in got.collect()] == [(1, 0, len(ids), zlib.crc32(ids.tobytes()))]
+
+
 class Source(io.BytesIO):
     def size(self):
         return len(self.getvalue())
