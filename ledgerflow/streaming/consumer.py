@@ -1,6 +1,6 @@
 """The transaction stream job (T1) with its counters (T6), lag (T7) and delay histogram.
 
-source (Kafka or files) -> decode/classify (T2, T3) -> keyed de-duplication in the state store (T4)
+source (Kafka or files) -> dealt by message key -> decode/classify (T2, T3) -> keyed de-duplication in the state store (T4)
 -> foreachBatch: status counts + upsert of the successes (T5). Progress and state live in the query's
 checkpoint folder, so a restart resumes where the last committed batch ended; the upsert is idempotent
 per batch id, which makes the sink effectively-once.
@@ -13,12 +13,23 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow import schemas as S
 from ledgerflow.sources.files import list_names
+from ledgerflow.sources.topics import message_key
 from ledgerflow.streaming.decode import decode_messages
-from ledgerflow.streaming.dedup import batch_statuses, dedup_batch, with_new_keys
+from ledgerflow.streaming.dedup import batch_keys, batch_statuses, dedup_batch, unsure_keys, with_new_keys
 from ledgerflow.streaming.upsert import upsert_batch
 
 STATUSES = ["success", "duplicate", "invalid", "error"]
+FEW_KEYS = 500_000  # keys of a micro-batch that are looked up by sending them to the executors; more are shuffled
+_STORE = "spark.sql.streaming.stateStore."
+#: The keys' state lies on the executors' disks, with a bound on the memory of all partitions together.
+STATE_SETTINGS = {
+    f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}rocksdb.maxMemoryUsageMB": "400",
+}
 
 
 def status_counts(messages_final: DataFrame) -> DataFrame:
@@ -74,8 +85,13 @@ def _counted(spark: SparkSession, store_root: str) -> DataFrame | None:
 def _remembered(spark: SparkSession, store_root: str, batch_id: int) -> DataFrame:
     """First good messages of earlier batches: (message_key, seen_at)."""
     done = [n for n in list_names(spark, f"{store_root}/first_good") if n.startswith("batch=") and int(n[6:]) < batch_id]
-    schema = "message_key string, seen_at timestamp"
-    return spark.read.schema(schema).parquet(*[f"{store_root}/first_good/{n}" for n in done]) if done else spark.createDataFrame([], schema)
+    if not done:
+        return _none_remembered(spark)
+    return spark.read.schema("message_key string, seen_at timestamp").parquet(*[f"{store_root}/first_good/{n}" for n in done])
+
+
+def _none_remembered(spark: SparkSession) -> DataFrame:
+    return spark.range(0).select(F.lit(None).cast("string").alias("message_key"), F.lit(None).cast("timestamp").alias("seen_at"))
 
 
 def start_transaction_stream(
@@ -97,18 +113,20 @@ def start_transaction_stream(
 
     Every micro-batch has a task and a state file per state partition, and its own shuffles have as many tasks, however few
     its messages are. ``state_partitions`` is that number (default: the session's shuffle partitions); a checkpoint keeps
-    the one that it was started with.
+    the one that it was started with. So it does the state's store, which is RocksDB for a new one (``STATE_SETTINGS``).
 
-    Per micro-batch: the batch is persisted once and every message gets its final status (``dedup.batch_statuses``); first
+    The source's messages are dealt out by their key before they are decoded, as a file of a micro-batch may be read by one
+    task. Per micro-batch: the batch is persisted once and every message gets its final status (``dedup.batch_statuses``); first
     good messages, status counts and the upsert of the successes are written under the batch's id, so a replay
-    changes nothing; with ``statuses`` every message's final status is kept as well. Only the key, offset, decode status,
-    time and raw value pass through the state; the successes' fields are decoded again inside the batch. Nothing
-    of it leaves the JVM.
+    changes nothing; with ``statuses`` every message's final status is kept as well. Only the key and time of good messages
+    pass through the state; the decoded fields go with the batch. Nothing of it leaves the JVM.
     """
     spark = source.sparkSession
     seen_at = F.col("message_timestamp") if event_time else F.current_timestamp()
-    narrow = decode_messages(source, carry=["value"]).select("message_key", "offset", "status", "value", seen_at.alias("seen_at"))
-    tagged = with_new_keys(narrow, "seen_at", state_ttl_ms)
+    dealt = source.repartition(message_key(*map(F.col, ("key", "topic", "partition", "offset"))))
+    decoded = decode_messages(dealt).select(
+        "message_key", F.col("offset").alias("offset"), "status", seen_at.alias("seen_at"), *S.UPSERT_KEY, *S.UPSERT_FIELDS)
+    tagged = with_new_keys(decoded, "seen_at", state_ttl_ms)
     remember = F.expr(f"INTERVAL {int(state_ttl_ms) // 1000} SECOND")
     latest_before = {"time": _latest_time(spark, store_root)}
 
@@ -116,23 +134,19 @@ def start_transaction_stream(
         spark, batch = batch.sparkSession, batch.persist()
         final = None
         try:
-            latest = batch.where("kind = 'row' AND status = 'ok'").agg(F.max("seen_at")).first()[0]
+            # cut off from the batch: a plan that has the batch twice would run the stream's operators a second time
+            keys = batch_keys(batch, "seen_at").localCheckpoint(eager=False)
+            latest = keys.agg(F.max("_latest")).first()[0]
             latest = max([t for t in (latest, latest_before["time"]) if t is not None], default=None)
             horizon = F.lit(latest).cast("timestamp") - remember
-            final = batch_statuses(batch, "seen_at", horizon, _remembered(spark, store_root, batch_id)).persist()
+            asked = unsure_keys(keys, horizon).limit(FEW_KEYS + 1).count()
+            remembered = _remembered(spark, store_root, batch_id) if asked else _none_remembered(spark)
+            final = batch_statuses(batch, "seen_at", horizon, remembered, keys=keys, few=asked <= FEW_KEYS).persist()
             success = final.where(F.col("status") == "success")
             success.select("message_key", "seen_at").write.mode("overwrite").parquet(f"{store_root}/first_good/batch={batch_id}")
             if statuses:
                 final.select("message_key", "offset", "status").write.mode("overwrite").parquet(f"{store_root}/statuses/batch={batch_id}")
-            successes = success.select(
-                F.col("message_key").alias("key"),
-                "value",
-                F.lit(None).cast("string").alias("topic"),
-                F.lit(None).cast("int").alias("partition"),
-                "offset",
-                F.lit(None).cast("timestamp").alias("timestamp"),
-            )
-            upsert_batch(decode_messages(successes), store_root, batch_id, now=now)
+            upsert_batch(success, store_root, batch_id, now=now)
             (
                 status_counts(final)
                 .withColumns({"latest": F.lit(latest).cast("timestamp"), "batch": F.lit(batch_id)})
@@ -147,7 +161,9 @@ def start_transaction_stream(
                 final.unpersist()
 
     w = tagged.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
-    settings = {}
+    # the state's tasks stand alone, where the state of their partition lies; put together with those of the decoded messages
+    # they would run wherever these came from, and load it anew in each micro-batch
+    settings = STATE_SETTINGS | {"spark.sql.unionOutputPartitioning": "false"}
     if state_partitions is not None:
         settings["spark.sql.shuffle.partitions"] = str(int(state_partitions))
     if processing_time or not available_now:
@@ -156,14 +172,14 @@ def start_transaction_stream(
         # a moving watermark asks for batches without data; a run over what is there has none
         w, settings["spark.sql.streaming.noDataMicroBatches.enabled"] = w.trigger(availableNow=True), "false"
     conf = spark.conf
-    before = {name: conf.get(name) for name in settings}
+    before = {name: conf.get(name, None) for name in settings}
     try:
         for name, value in settings.items():
             conf.set(name, value)
         return w.start()  # the query keeps the settings that it starts with
     finally:
         for name, value in before.items():
-            conf.set(name, value)
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def lag_from_progress(progress: dict) -> list[dict]:

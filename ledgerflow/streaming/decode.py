@@ -40,17 +40,19 @@ DECODED_FIELDS = list(FIELD_TYPES)
 def decode_messages(messages: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
     """Typed fields + ``message_key`` + ``status`` (ok / invalid / error) for each message.
 
-    The body is parsed once per message: the parse results are columns of a first projection and the
-    per-field logic refers to those columns (Catalyst keeps the projections apart because merging them
-    would repeat the expensive parse in every conditional branch).
+    The body is parsed once per message: the parse results are the output of a generator and the per-field
+    logic refers to those columns. Out of a projection Catalyst would still push a filter on the status, with
+    the parse repeated in every conditional branch of it; no filter passes a generator whose output it names.
     """
     value = F.col("value")
     body = F.coalesce(F.get_json_object(value, "$.data"), value)
     meta = ["key", "topic", "partition", "offset", "timestamp", *[c for c in carry]]
     stage1 = messages.select(*meta, body.alias("_body")).select(
         *meta,
-        F.json_object_keys("_body").alias("_keys"),
-        F.from_json("_body", S.TRANSACTION_MESSAGE_BODY).alias("_p"),
+        F.inline(F.array(F.struct(
+            F.json_object_keys("_body").alias("_keys"),
+            F.from_json("_body", S.TRANSACTION_MESSAGE_BODY).alias("_p"),
+        ))),
     )
     keys = F.col("_keys")
     present = {n: F.coalesce(F.array_contains(keys, F.lit(n)), F.lit(False)) for n in FIELD_TYPES}

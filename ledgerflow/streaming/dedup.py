@@ -56,30 +56,43 @@ def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "offset", *,
 
 
 def with_new_keys(classified: DataFrame, event_time: str, remember_ms: int) -> DataFrame:
-    """T4, the keyed state: every message (``kind`` = row) and, once per key that isn't remembered, one of its good messages
-    (``kind`` = new). The state is Spark's own for ``dropDuplicatesWithinWatermark``: a key is remembered until the watermark,
+    """T4, the keyed state: every message (``kind`` = row) and, once per key that isn't remembered, the key and time of one of its
+    good messages (``kind`` = new, other columns null). The state is Spark's own for ``dropDuplicatesWithinWatermark``: a key is remembered until the watermark,
     ``remember_ms`` behind the latest good message, has passed its time."""
-    good = classified.where(F.col("status") == "ok").withWatermark(event_time, f"{int(remember_ms)} milliseconds")
+    good = classified.where(F.col("status") == "ok").select("message_key", event_time).withWatermark(event_time, f"{int(remember_ms)} milliseconds")
     new = good.dropDuplicatesWithinWatermark(["message_key"])
-    return classified.withColumn("kind", F.lit("row")).unionByName(new.withColumn("kind", F.lit("new")))
+    return classified.withColumn("kind", F.lit("row")).unionByName(new.withColumn("kind", F.lit("new")), allowMissingColumns=True)
 
 
-def batch_statuses(batch: DataFrame, event_time: str, horizon: Column, remembered: DataFrame) -> DataFrame:
+def batch_keys(batch: DataFrame, event_time: str) -> DataFrame:
+    """Per key of a micro-batch of ``with_new_keys``: its first good offset, the times of its good messages, how many have none,
+    and whether the state didn't have the key."""
+    time, ok = F.col(event_time), (F.col("kind") == "row") & (F.col("status") == "ok")
+    return batch.groupBy("message_key").agg(
+        F.min(F.when(ok, F.col("offset"))).alias("_first_ok"), F.min(F.when(ok, time)).alias("_time"), F.max(F.when(ok, time)).alias("_latest"),
+        F.count_if(ok & time.isNull()).alias("_untimed"), F.bool_or(F.col("kind") == "new").alias("_new"))
+
+
+def unsure_keys(keys: DataFrame, horizon: Column) -> DataFrame:
+    """The keys of ``batch_keys`` that the state says nothing about: without a good message or with a late one."""
+    return keys.where(~F.col("_new") & (F.col("_first_ok").isNull() | (F.col("_untimed") > 0) | F.coalesce(F.col("_time") < horizon, F.lit(True))))
+
+
+def batch_statuses(batch: DataFrame, event_time: str, horizon: Column, remembered: DataFrame, *, keys: DataFrame | None = None, few: bool = False) -> DataFrame:
     """T4: the W1 rule for one micro-batch of ``with_new_keys``.
 
     A key of the batch is known to be new, or, if it has a good message that isn't late, known to be remembered. Only the
     others, keys without a good message and late ones (before ``horizon``), are looked up in ``remembered`` (message_key and
     its first good message's time), of which times before the horizon are forgotten. Per-key results are aggregates joined
-    back, so a hot key is one row per task."""
+    back, so a hot key is one row per task. ``keys`` is the batch's ``batch_keys`` where it is kept already. ``few`` says that the
+    keys to look up can be sent to every executor: what is remembered, all earlier batches, is then read without a shuffle."""
     rows = batch.where(F.col("kind") == "row").drop("kind")
-    new = batch.where(F.col("kind") == "new").select("message_key", F.lit(True).alias("_new")).distinct()
-    ok, time = F.col("status") == "ok", F.col(event_time)
-    per_key = rows.groupBy("message_key").agg(F.min(F.when(ok, F.col("offset"))).alias("_first_ok"), F.min(F.when(ok, time)).alias("_time"), F.count_if(ok & time.isNull()).alias("_untimed"))
-    unsure = F.col("_new").isNull() & (F.col("_first_ok").isNull() | (F.col("_untimed") > 0) | F.coalesce(F.col("_time") < horizon, F.lit(True)))
-    keys = per_key.join(new, "message_key", "left").withColumn("_unsure", unsure)
-    old = remembered.where(time >= horizon).join(keys.where("_unsure").select("message_key"), "message_key", "left_semi").select("message_key", F.lit(True).alias("_old")).distinct()
-    seen = F.when(F.col("_new"), F.lit(False)).when(F.col("_unsure"), F.coalesce("_old", F.lit(False))).otherwise(F.lit(True))
-    known = keys.join(old, "message_key", "left").select("message_key", "_first_ok", seen.alias("_seen"))
+    keys = batch_keys(batch, event_time) if keys is None else keys
+    unsure = unsure_keys(keys, horizon).select("message_key")
+    old = remembered.where(F.col(event_time) >= horizon).join(F.broadcast(unsure) if few else unsure, "message_key", "left_semi").select("message_key").distinct()
+    # a key is seen unless it is new or, looked up, not found
+    asked = unsure.join(old, "message_key", "left_anti").select("message_key", F.lit(True).alias("_unseen"))
+    known = keys.join(asked, "message_key", "left").select("message_key", "_first_ok", (~F.col("_new") & F.col("_unseen").isNull()).alias("_seen"))
     first = F.col("_first_ok")
     status = (
         F.when(F.col("_seen"), F.lit("duplicate"))

@@ -86,3 +86,59 @@ def test_state_partitions_follow_the_topic_not_the_session(spark, tmp_dir):
         spark.conf.set(name, before)
     assert n == job_queries.LEAST_STATES == len([x for x in os.listdir(f"{tmp_dir}/ckpt/state/0") if x.isdigit()])
     assert {r.offset: r.status for r in spark.read.parquet(f"{tmp_dir}/store/statuses").collect()} == {0: "success", 1: "duplicate", 2: "invalid"}
+
+
+def test_a_filter_on_the_status_doesn_t_parse_again(spark):
+    from ledgerflow.streaming.decode import decode_messages
+
+    rows = spark.createDataFrame([message("a", 0, 0), message("a", 1, 0, good=False), ("b", "no json", "t", 0, 2, None)], S.TOPIC_MESSAGE)
+    good = decode_messages(rows).where("status = 'ok'")
+    assert [r.offset for r in good.collect()] == [0]
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("get_json_object") == 1
+
+
+def test_one_file_is_decoded_in_several_tasks_and_state_is_asked_once(spark, tmp_dir):
+    rows = [message(f"k{i % 40}", i, 0, good=i % 5 > 0) for i in range(100)]
+    spark.createDataFrame(rows, S.TOPIC_MESSAGE).coalesce(1).write.parquet(f"{tmp_dir}/topic")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.unset(provider)  # as in a session that isn't get_session's
+    try:
+        there = spark.conf.get(provider)
+        q = consumer.start_transaction_stream(read_topic_files(spark, f"{tmp_dir}/topic"), f"{tmp_dir}/store", f"{tmp_dir}/ckpt", state_ttl_ms=HOUR, statuses=True, event_time=True)
+        q.awaitTermination(600)
+        assert spark.conf.get(provider) == there
+    finally:
+        spark.conf.set(provider, before)
+    plan = q._jsq.explainInternal(False)
+    assert "ReusedExchange" in plan and plan.index("Generate inline") < plan.index("hashpartitioning(coalesce") < plan.index("FileScan")
+    state = q.lastProgress["stateOperators"][0]
+    # the operators of the stream ran once: each of the good messages' keys was put into the state once
+    assert state["numRowsTotal"] == state["numRowsUpdated"] == 32 and state["customMetrics"]["rocksdbPutCount"] == 32
+    first = {}
+    want = {}
+    for i in range(100):
+        k, good = i % 40, i % 5 > 0
+        want[i] = "duplicate" if k in first else "success" if good else "invalid"
+        if good:
+            first.setdefault(k, i)
+    assert {r.offset: r.status for r in spark.read.parquet(f"{tmp_dir}/store/statuses").collect()} == want
+
+
+def test_what_is_remembered_is_looked_up_without_a_shuffle(spark, tmp_dir):
+    from ledgerflow.streaming import dedup
+
+    rows = spark.createDataFrame([message("a", 5, 1, good=False), message("b", 6, 1, good=False), message("c", 7, 1)], S.TOPIC_MESSAGE)
+    batch = consumer.decode_messages(rows).select("message_key", "offset", "status", F.col("message_timestamp").alias("seen_at")).withColumn("kind", F.lit("row"))
+    batch = batch.unionByName(batch.where("message_key = 'c'").withColumn("kind", F.lit("new")))
+    spark.createDataFrame([("a", dt.datetime(2024, 1, 1))], "message_key string, seen_at timestamp").write.parquet(f"{tmp_dir}/old")
+    old = spark.read.parquet(f"{tmp_dir}/old")
+    horizon = F.lit("2023-01-01").cast("timestamp")
+    statuses = []
+    for few in (False, True):
+        out = dedup.batch_statuses(batch, "seen_at", horizon, old, few=few)
+        statuses.append({r.message_key: r.status for r in out.collect()})
+    assert statuses == [{"a": "duplicate", "b": "invalid", "c": "success"}] * 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
