@@ -31,7 +31,7 @@ from ledgerflow import schemas as S
 from ledgerflow.sources.files import list_names, path_exists, remove_path, stored_bytes, write_marker
 from ledgerflow.streaming.dedup import latest_per_key
 
-BUCKET_BYTES = 512 << 20  # stored bytes a bucket from which a compaction takes more buckets
+BUCKET_BYTES = 32 << 20  # stored bytes a bucket from which a compaction takes more buckets
 MARKER = "_buckets-"
 TABLE_COLUMNS = [f.name for f in S.STORED_TRANSACTION.fields]
 LOG_SCHEMA = T.StructType(S.STORED_TRANSACTION.fields + [T.StructField("offset", T.LongType()), T.StructField("batch", T.LongType())])

@@ -80,3 +80,12 @@ def check_plan(spark, tmp_dir):
     files = [n for n in os.listdir(f"{root}/base/upto=1") if n.startswith("part-")]
     assert len(files) <= max(buckets, int([n for n in os.listdir(f"{root}/base/upto=1") if n.startswith(upsert.MARKER)][0][len(upsert.MARKER):]))
     assert upsert.read_table(spark, root).count() == 501
+
+
+def test_a_large_base_is_compacted_in_many_tasks(spark, tmp_dir, monkeypatch):
+    root = f"{tmp_dir}/store"
+    upsert.upsert_batch(successes(spark, [(i, f"A{i}", "B", Decimal(i), i) for i in range(200)]), root, 0)
+    want = stored(spark, root)
+    monkeypatch.setattr(upsert, "stored_bytes", lambda *_: 250 << 20)
+    assert upsert.compact(spark, root) == 0
+    assert upsert._read_base(spark, f"{root}/base/upto=0")[1] == 8 and stored(spark, root) == want
