@@ -34,12 +34,9 @@ STATE_SETTINGS = {
 
 def status_counts(messages_final: DataFrame) -> DataFrame:
     """Messages per final status; all four statuses appear (0 when absent)."""
-    spark = messages_final.sparkSession
-    labels = spark.createDataFrame([(s,) for s in STATUSES], "status string")
-    counts = messages_final.groupBy("status").agg(F.count(F.lit(1)).alias("messages"))
-    return F.broadcast(labels).join(counts, "status", "left").select(
-        "status", F.coalesce("messages", F.lit(0)).cast("long").alias("messages")
-    )
+    wide = messages_final.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    rows = F.array(*[F.struct(F.lit(s).alias("status"), F.col(s).alias("messages")) for s in STATUSES])
+    return wide.select(F.inline(rows))
 
 
 def consumer_lag(processed: DataFrame, end_offsets: DataFrame) -> DataFrame:

@@ -172,3 +172,21 @@ def test_text_longer_than_its_column_is_an_error(spark):
     rows = [message(0, "T" * 20, "é" * 32), message(1, "T" * 21, "A"), message(2, "T", "A" * 33)]
     got = consumer.process_messages(spark.createDataFrame(rows, S.TOPIC_MESSAGE)).orderBy("offset").collect()
     assert [r.status for r in got] == ["success", "error", "error"]
+
+
+def test_status_counts_are_one_aggregate(spark):
+    counts = consumer.status_counts(spark.range(5).select(F.when(F.col("id") < 3, "success").otherwise("error").alias("status")))
+    assert {r.status: r.messages for r in counts.collect()} == {"success": 3, "duplicate": 0, "invalid": 0, "error": 2}
+    assert {r.status: r.messages for r in consumer.status_counts(counts.where("false")).collect()} == dict.fromkeys(consumer.STATUSES, 0)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "LogicalRDD" not in plan
+
+
+def test_topic_files_are_in_offset_order(spark, tmp_dir):
+    from ledgerflow.plans import job_queries
+
+    rows = [(None, f"v{i}", "t", i % 4, (i * 37) % 1000, None) for i in range(1000)] + [("a", "again", "t", 0, 500, None)]
+    names = job_queries._topic_files(spark, spark.createDataFrame(rows, S.TOPIC_MESSAGE), f"{tmp_dir}/all", 20)
+    offsets = [[r.offset for r in spark.read.parquet(f"{tmp_dir}/all/{n}").collect()] for n in names]
+    assert len(offsets) == 20 and sum(offsets, []) == sorted([*range(1000), 500]) and all(20 < len(x) < 80 for x in offsets)
+    assert [os.path.getmtime(f"{tmp_dir}/all/{n}") for n in names] == sorted(os.path.getmtime(f"{tmp_dir}/all/{n}") for n in names)
