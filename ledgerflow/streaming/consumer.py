@@ -28,7 +28,7 @@ STATE_SETTINGS = {
     f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}rocksdb.boundedMemoryUsage": "true",
-    f"{_STORE}rocksdb.maxMemoryUsageMB": "400",
+    f"{_STORE}rocksdb.maxMemoryUsageMB": "200",
 }
 
 

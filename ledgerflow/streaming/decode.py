@@ -45,7 +45,8 @@ def decode_messages(messages: DataFrame, carry: list[str] | tuple = ()) -> DataF
     the parse repeated in every conditional branch of it; no filter passes a generator whose output it names.
     """
     value = F.col("value")
-    body = F.coalesce(F.get_json_object(value, "$.data"), value)
+    wrapped = value.contains("data") | value.contains("\\")  # a name may be escaped; others aren't parsed for it
+    body = F.coalesce(F.when(wrapped, F.get_json_object(value, "$.data")), value)
     meta = ["key", "topic", "partition", "offset", "timestamp", *[c for c in carry]]
     stage1 = messages.select(*meta, body.alias("_body")).select(
         *meta,

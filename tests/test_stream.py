@@ -190,3 +190,10 @@ def test_topic_files_are_in_offset_order(spark, tmp_dir):
     offsets = [[r.offset for r in spark.read.parquet(f"{tmp_dir}/all/{n}").collect()] for n in names]
     assert len(offsets) == 20 and sum(offsets, []) == sorted([*range(1000), 500]) and all(20 < len(x) < 80 for x in offsets)
     assert [os.path.getmtime(f"{tmp_dir}/all/{n}") for n in names] == sorted(os.path.getmtime(f"{tmp_dir}/all/{n}") for n in names)
+
+
+def test_wrapped_bodies_are_found_however_their_name_is_written(spark):
+    body = '{"amount": 1, "sender_id": "A", "receiver_id": "B", "time_step": 1, "transaction_type": "PAYMENT"}'
+    values = [body, '{"data": %s}' % body, "{'data': %s}" % body, '{"\\u0064ata": %s}' % body, '{"date": %s}' % body, body.replace("PAYMENT", "data"), None]
+    got = consumer.process_messages(spark.createDataFrame([(None, v, "t", 0, i, None) for i, v in enumerate(values)], S.TOPIC_MESSAGE)).orderBy("offset").collect()
+    assert [r.status for r in got] == ["success"] * 4 + ["invalid", "success", "invalid"]
