@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow import schemas as S
-from ledgerflow.sources.files import list_names
+from ledgerflow.sources.files import list_names, remove_path
 from ledgerflow.sources.topics import message_key
 from ledgerflow.streaming.decode import decode_messages
 from ledgerflow.streaming.dedup import batch_keys, batch_statuses, dedup_batch, unsure_keys, with_new_keys
@@ -129,10 +129,12 @@ def start_transaction_stream(
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark, batch = batch.sparkSession, batch.persist()
-        final = None
+        final, own = None, f"{store_root}/keys-{batch_id}"
         try:
-            # cut off from the batch: a plan that has the batch twice would run the stream's operators a second time
-            keys = batch_keys(batch, "seen_at").localCheckpoint(eager=False)
+            # stored for the batch's time: a plan that has the batch twice may run the stream's operators a second time
+            keys = batch_keys(batch, "seen_at")
+            keys.write.mode("overwrite").parquet(own)
+            keys = spark.read.schema(keys.schema).parquet(own)
             latest = keys.agg(F.max("_latest")).first()[0]
             latest = max([t for t in (latest, latest_before["time"]) if t is not None], default=None)
             horizon = F.lit(latest).cast("timestamp") - remember
@@ -156,6 +158,7 @@ def start_transaction_stream(
             batch.unpersist()
             if final is not None:
                 final.unpersist()
+            remove_path(spark, own)
 
     w = tagged.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     # the state's tasks stand alone, where the state of their partition lies; put together with those of the decoded messages

@@ -1,6 +1,7 @@
 """T4 in the state store and in one micro-batch: late duplicates, keys without a good message, expiry, and the plan."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -116,6 +117,7 @@ def test_one_file_is_decoded_in_several_tasks_and_state_is_asked_once(spark, tmp
     state = q.lastProgress["stateOperators"][0]
     # the operators of the stream ran once: each of the good messages' keys was put into the state once
     assert state["numRowsTotal"] == state["numRowsUpdated"] == 32 and state["customMetrics"]["rocksdbPutCount"] == 32
+    assert not [n for n in os.listdir(f"{tmp_dir}/store") if n.startswith("keys")]
     first = {}
     want = {}
     for i in range(100):
